@@ -44,17 +44,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _keys() -> tuple[Column, Column]:
+    kid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return kid, F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
+
+
 def doc_rows(docs: DataFrame) -> DataFrame:
     """kid, h, text: the join key of a row (null ids included) and its text, null as empty.
 
     Rows with the same id and text share a key; every caller says what that means for its result.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("kid"),
-        F.xxhash64(F.col("doc_id").isNull(), text).alias("h"),
-        text.alias("text"),
-    )
+    kid, h = _keys()
+    return docs.select(kid.alias("kid"), h.alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns and the join key as ``__kid`` and ``__h``."""
+    kid, h = _keys()
+    return docs.withColumn("__kid", kid).withColumn("__h", h)
 
 
 def doc_id_of(kid: Column) -> Column:
