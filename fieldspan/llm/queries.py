@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, secrets, sharding, simhash, substring
+from . import fingerprint, langid, pieces, ppm, secrets, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": lambda s, d: fingerprint.fingerprints(table(s, d, "documents")),
         "op2_sharding": lambda s, d: sharding.shards(table(s, d, "documents")),
+        "op3_ppm": lambda s, d: ppm.score(table(s, d, "documents")),
+        "op4_pieces": lambda s, d: pieces.encode(table(s, d, "documents")),
         "op5_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
         "op6_substring": lambda s, d: substring.removed(table(s, d, "documents")),
         "op9_language": lambda s, d: langid.identify(table(s, d, "documents")),
