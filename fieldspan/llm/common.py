@@ -68,7 +68,7 @@ def doc_id_of(kid: Column) -> Column:
     return F.when(kid != NO_ID, kid).alias("doc_id")
 
 
-def numbered(df: DataFrame, order: list[Column], key: list[str]) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` staged with ``part`` (range partition) and ``pos`` (gapless from 0 over the whole order).
 
     No task ever sees more than one range partition: rows are numbered within their partition and

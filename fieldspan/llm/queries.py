@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, pieces, ppm, secrets, sharding, simhash, substring
+from . import chat, decontam, fingerprint, langid, pieces, ppm, secrets, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pieces": lambda s, d: pieces.encode(table(s, d, "documents")),
         "op5_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
         "op6_substring": lambda s, d: substring.removed(table(s, d, "documents")),
+        "op7_decontamination": lambda s, d: decontam.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op8_chat": lambda s, d: chat.rotated(table(s, d, "conversations")),
         "op9_language": lambda s, d: langid.identify(table(s, d, "documents")),
         "op10_secrets": lambda s, d: secrets.scan(table(s, d, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat": chat.ROTATED_SQL}
