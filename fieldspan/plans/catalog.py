@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from fieldspan.plans import queries_cover, queries_motion
+
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (queries_motion, queries_cover)
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
