@@ -17,13 +17,13 @@ row each; null ids are kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
@@ -31,10 +31,10 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 #: Where the public model lies unless the caller says otherwise.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MOST_CACHED, MOST_PAIRS = 200_000, 1_000_000
-BLOCK = 256
+MOST_CACHED, MOST_PAIRS = 600_000, 1_000_000
+BLOCK = 1024
 
-_WORD = regex.compile(f"{MARK}+[^{MARK}\n\t]*|[^{MARK}\n\t]+|[\n\t]")
+_WORD = re.compile(r" +[^ \n\t]*|[^ \n\t]+|[\n\t]")
 
 
 class Pieces:
@@ -42,13 +42,19 @@ class Pieces:
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int]) -> None:
         self.ids = {p: i for i, p in enumerate(pieces) if i > 2 and i not in set(byte_ids)}
+        self.coded = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
         self.scores = {p: scores[i] for p, i in self.ids.items()}
         self.byte_ids = byte_ids
-        self.longest = max(map(len, self.ids))
+        #: How long the pieces are that end in three given characters, longest first.
+        sizes: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], {2}).add(len(p))
+        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
         values = {i: b for b, i in enumerate(byte_ids)}
         self.bytes = [bytes([values[i]]) if i in values else b"" if i < 3 else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit integers
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -61,53 +67,63 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """The text's pieces by merging the best pair, leftmost first, again and again."""
-        parts = list(text)
-        while True:
-            best = max(((self.scores[m], -i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in self.scores), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
+        parts, score, never = list(text), self.scores.get, float("-inf")
+        gains = [score(a + b, never) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > never:
+            i = gains.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            for j in (i - 1, i):
+                if 0 <= j < len(gains):
+                    gains[j] = score(parts[j] + parts[j + 1], never)
+        return parts
+
+    def spelled(self, char: str) -> bytes:
+        """The byte pieces of a character that has no piece."""
+        return np.array([self.byte_ids[b] for b in char.encode()], np.int32).tobytes()
 
     def fits(self, last: str, piece: str) -> bool:
         """Whether ``piece`` can follow ``last`` (empty: begin a word)."""
-        known = self.pairs.get((last, piece))
-        if known is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[last, piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
-        return known
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        fit = self.pairs[last, piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
+        return fit
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words, in sorted order, into the cache."""
-        ids, fits, longest = self.ids, self.fits, self.longest
-        before, path = "", [("", 0)]  # path[d]: the piece that ends at d and where it starts
-        for word in sorted(words):
+        ids, fits, sizes, known = self.ids, self.fits, self.sizes.get, self.pairs.get
+        coded = self.coded.get
+        before, path = "", [("", b"")]  # path[d]: the piece that ends at d, and the ids up to there
+        for raw in sorted(words):
+            word = raw.replace(" ", MARK)
             common, most = 0, min(len(before), len(word))
             while common < most and before[common] == word[common]:
                 common += 1
             del path[common + 1 :]
             for end in range(common + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if (piece in ids and fits(path[start][0], piece)) or start == end - 1:
-                        path.append((piece, start))
-                        break
-            out, at = [], len(word)
-            while at:
-                piece, at = path[at]
-                out.append(piece)
-            self.words[word] = [i for p in reversed(out) for i in ((ids[p],) if p in ids else [self.byte_ids[b] for b in p.encode()])]
+                for size in sizes(word[end - 3 : end], (2,)) if end > 2 else (end,):
+                    piece = word[end - size : end] if size <= end else ""
+                    if piece in ids:
+                        pair = (path[end - size][0], piece)
+                        fit = known(pair)
+                        if fit if fit is not None else fits(*pair):
+                            break
+                else:
+                    size, piece = 1, word[end - 1]
+                path.append((piece, path[end - size][1] + (coded(piece) or self.spelled(piece))))
+            self.words[raw] = path[-1][1]
             before = word
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = set(chain.from_iterable(cut))
+        cut = [_WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        words = set(chain.from_iterable(cut))
+        fresh = words.difference(self.words)
         if len(self.words) + len(fresh) > MOST_CACHED:
             self.words.clear()
-        self.learn(w for w in fresh if w not in self.words)
+            fresh = words
+        self.learn(fresh)
         of = self.words.__getitem__
-        return [np.fromiter(chain.from_iterable(map(of, words)), np.int32) for words in cut]
+        return [np.frombuffer(b"".join(map(of, words)), np.int32) for words in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
