@@ -14,7 +14,7 @@ PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss")
 def to_epoch(s: Column) -> Column:
     """Seconds since 1970 of a text; null if it is none of the spellings. Without a zone it is UTC."""
     s = F.trim(s)
-    number = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), s.try_cast("double"))
+    number = F.when(s.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), s.try_cast("double"))
     iso = F.regexp_replace(s, r"(\.\d{6})\d+", "$1")
     moment = F.coalesce(
         F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}.*)?$"), iso.try_cast("timestamp")), *(F.try_to_timestamp(s, F.lit(p)) for p in PATTERNS)

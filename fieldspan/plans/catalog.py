@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspan.plans import queries_cover, queries_motion
+from fieldspan.plans import queries_cover, queries_more, queries_motion
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (queries_motion, queries_cover)
+MODULES = (queries_motion, queries_cover, queries_more)
 
 
 def queries() -> dict[str, Query]:

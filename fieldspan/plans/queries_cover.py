@@ -55,14 +55,14 @@ def _(spark, d):
 @query("o71_coverage_stats", over("SELECT project_id, field_area_m2, sprayed_area_m2, gap_area_m2, overlap_area_m2, heavy_overlap_area_m2, round(mean_passes, 9) AS mean_passes FROM sta", "sta"))
 def _(spark, d):
     t = Tables(spark, d)
-    return metrics.coverage_stats(t.field, t.cells, t.missed, t.grid).withColumn("mean_passes", F.round("mean_passes", 9))
+    return t.stats.withColumn("mean_passes", F.round("mean_passes", 9))
 
 
 @query("o37_percentages", over("""SELECT project_id, round(CASE WHEN field_area_m2 > 0 THEN 100*sprayed_area_m2/field_area_m2 ELSE 0 END, 6) AS coverage_pct,
   round(CASE WHEN field_area_m2 > 0 THEN 100*gap_area_m2/field_area_m2 ELSE 0 END, 6) AS gap_pct, round(CASE WHEN sprayed_area_m2 > 0 THEN 100*overlap_area_m2/sprayed_area_m2 ELSE 0 END, 6) AS overlap_pct FROM sta""", "sta"))
 def _(spark, d):
     t = Tables(spark, d)
-    return metrics.percentages(metrics.coverage_stats(t.field, t.cells, t.missed, t.grid)).select("project_id", r6("coverage_pct"), r6("gap_pct"), r6("overlap_pct"))
+    return metrics.percentages(t.stats).select("project_id", r6("coverage_pct"), r6("gap_pct"), r6("overlap_pct"))
 
 
 @query("o73_unit_areas", over("""SELECT level, project_id, track_ord, coalesce(load_no, -1) AS load_no, coalesce(pass_no, -1) AS pass_no, n * cell * cell AS area_m2 FROM (
@@ -71,7 +71,7 @@ def _(spark, d):
   UNION ALL SELECT 'track', project_id, track_ord, NULL, NULL, count(DISTINCT (r, c)) FROM hit GROUP BY ALL) JOIN gd USING (project_id)""", "hit", "gd"))
 def _(spark, d):
     t = Tables(spark, d)
-    return coverage.unit_areas(t.load_hits, t.grid).fillna(-1, ["load_no", "pass_no"])
+    return t.unit_areas.fillna(-1, ["load_no", "pass_no"])
 
 
 @query("o74_new_areas", over("SELECT project_id, first_track_ord AS track_ord, count(*) * any_value(cell) * any_value(cell) AS new_area_m2 FROM cel JOIN gd USING (project_id) GROUP BY 1, 2", "cel", "gd"))
@@ -80,19 +80,14 @@ def _(spark, d):
     return coverage.new_areas(t.cells, t.grid)
 
 
-def _volumes(t: Tables) -> DataFrame:
-    areas = coverage.unit_areas(t.load_hits, t.grid).where("level = 'load'").select("project_id", "load_no", "area_m2")
-    return metrics.volumes(t.loads.join(areas, ["project_id", "load_no"]), t.settings)
-
-
 @query("o77_volumes", over("SELECT project_id, load_no, is_complete, area_m2, round(volume_l, 6) AS volume_l, round(CASE WHEN area_m2 > 0 THEN volume_l / (area_m2 / 10000) ELSE 0 END, 6) AS rate_l_per_ha FROM vo", "vo"))
 def _(spark, d):
-    return _volumes(Tables(spark, d)).select("project_id", "load_no", "is_complete", "area_m2", r6("volume_l"), r6("rate_l_per_ha"))
+    return Tables(spark, d).volumes.select("project_id", "load_no", "is_complete", "area_m2", r6("volume_l"), r6("rate_l_per_ha"))
 
 
 @query("o64_track_volumes", over("SELECT track_id, count(*) AS n_loads, round(sum(volume_l), 6) AS volume_l FROM vo GROUP BY 1", "vo"))
 def _(spark, d):
-    return _volumes(Tables(spark, d)).groupBy("track_id").agg(F.count(F.lit(1)).alias("n_loads"), F.round(F.sum("volume_l"), 6).alias("volume_l"))
+    return Tables(spark, d).volumes.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_loads"), F.round(F.sum("volume_l"), 6).alias("volume_l"))
 
 
 @query("o78_rates", over("""SELECT project_id, greatest(0, count(*) - 1) AS refills, round(sum(volume_l) / (any_value(m2) / 10000), 4) AS overall_rate_l_per_ha FROM vo
@@ -100,7 +95,7 @@ JOIN (SELECT project_id, sum(area_m2) AS m2 FROM his GROUP BY 1) USING (project_
 def _(spark, d):
     t = Tables(spark, d)
     ground = coverage.histogram(t.cells, t.grid).groupBy("project_id").agg(F.sum("area_m2").alias("m2"))
-    total = _volumes(t).groupBy("project_id").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - 1).alias("refills"), F.sum("volume_l").alias("l"))
+    total = t.volumes.groupBy("project_id").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - 1).alias("refills"), F.sum("volume_l").alias("l"))
     return total.join(ground, "project_id").select("project_id", "refills", F.round(F.col("l") / (F.col("m2") / 10000), 4).alias("overall_rate_l_per_ha"))
 
 
@@ -160,15 +155,15 @@ _TRACKS = """SELECT hit_t.project_id, hit_t.track_id, track_ord, area_m2, coales
 @query("d13_track_summaries", over(_TRACKS, "hit", "cel", "gd"))
 def _(spark, d):
     t = Tables(spark, d)
-    rows = metrics.track_summaries(coverage.unit_areas(t.load_hits, t.grid), coverage.new_areas(t.cells, t.grid), t.order, t.segments, _volumes(t))
+    rows = metrics.track_summaries(coverage.unit_areas(t.load_hits, t.grid), coverage.new_areas(t.cells, t.grid), t.order, t.segments, t.volumes)
     return rows.select("project_id", "track_id", "track_ord", "area_m2", "new_area_m2", "repeat_area_m2")
 
 
 def summary_of(t: Tables) -> DataFrame:
     """The summary with the fixed rings as boundary and every missed cell as a gap (no speck filter)."""
-    stats = metrics.coverage_stats(t.field, t.cells, t.missed, t.grid)
+    stats = t.stats
     patches = t.missed.groupBy("project_id").agg(F.count(F.lit(1)).alias("gap_patches"))
-    return metrics.summary(stats, _volumes(t), metrics.worked_times(t.segments, t.passes), metrics.extents_in_time(t.fixes, t.positions, t.passes), t.passes, patches)
+    return metrics.summary(stats, t.volumes, metrics.worked_times(t.segments, t.passes), metrics.extents_in_time(t.fixes, t.positions, t.passes), t.passes, patches)
 
 
 _SUM = """SELECT project_id, round(field_area_m2/10000, 6) AS field_area_ha, round(sprayed_area_m2/10000, 6) AS sprayed_area_ha, round(gap_area_m2/10000, 6) AS gap_area_ha,

@@ -1,4 +1,4 @@
-"""The tables of an analysis over the derived logs, each as one lazy DataFrame."""
+"""The analysis over the derived logs, on their own plane and with fixed rings as boundary."""
 
 from __future__ import annotations
 
@@ -8,104 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspan.model import Settings
-from fieldspan.operators import coverage, motion
+from fieldspan.operators import coverage, metrics, motion
+from fieldspan.plans.analysis import Analysis
 from fieldspan.sources import fixture
 
 #: Fixed rings of the catalogue's boundary queries: a rectangle and a triangle, in plane metres.
 RINGS = {1: [(11.5, -2.0), (30.0, -2.0), (30.0, 26.0), (11.5, 26.0)], 2: [(30.0, 0.0), (60.0, 0.0), (45.0, 20.0)]}
 
 
-class Tables:
-    """Default settings, base at the plane's origin, accuracy filter on."""
+class Tables(Analysis):
+    """Default settings, base at the plane's origin, accuracy filter on, no spike filter, no speck filter."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings | None = None) -> None:
-        self.spark, self.sf_dir, self.settings = spark, sf_dir, settings or Settings()
+        super().__init__(fixture.fixes(spark, sf_dir), settings)
 
     @cached_property
     def fixes(self) -> DataFrame:
-        return fixture.fixes(self.spark, self.sf_dir)
+        return self.raw
 
     @cached_property
     def positions(self) -> DataFrame:
-        kept = motion.drop_inaccurate(self.fixes, self.settings)
-        return kept.withColumn("in_base", motion.in_base_plane(F.col("x"), F.col("y"), 8.0))
-
-    @cached_property
-    def segments(self) -> DataFrame:
-        return motion.segments(self.positions, self.settings)
-
-    @cached_property
-    def work(self) -> DataFrame:
-        return motion.working_segments(self.segments)
-
-    @cached_property
-    def passes(self) -> DataFrame:
-        return motion.passes(self.work)
-
-    @cached_property
-    def visits(self) -> DataFrame:
-        return motion.visits(self.positions, 60.0)
-
-    @cached_property
-    def refills(self) -> DataFrame:
-        return motion.refills(self.visits, self.passes)
+        return self.accurate.withColumn("in_base", motion.in_base_plane(F.col("x"), F.col("y"), 8.0))
 
     @cached_property
     def order(self) -> DataFrame:
         return motion.track_order(self.positions)
 
     @cached_property
-    def intervals(self) -> DataFrame:
-        return motion.load_intervals(self.positions, self.refills)
-
-    @cached_property
-    def loads(self) -> DataFrame:
-        return motion.loads(self.intervals, self.passes, self.order)
-
-    @cached_property
-    def pass_loads(self) -> DataFrame:
-        return motion.pass_loads(self.passes, self.loads)
-
-    @cached_property
-    def gaps_s(self) -> DataFrame:
-        return motion.reentry_gap(self.segments, self.settings)
+    def visits(self) -> DataFrame:
+        return motion.visits(self.positions, 60.0)
 
     @cached_property
     def grid(self) -> DataFrame:
         return coverage.grids(coverage.extents(self.work), self.settings)
 
     @cached_property
-    def hits(self) -> DataFrame:
-        """Touched cells with track_ord; only what counting needs."""
-        placed = self.work.join(self.order, motion.TRACK)
-        return coverage.stamp(placed, self.grid, self.settings).select("project_id", "track_id", "track_ord", "pass_no", "i", "t1", "r", "c")
-
-    @cached_property
-    def load_hits(self) -> DataFrame:
-        return self.hits.join(self.pass_loads.select(*motion.TRACK, "pass_no", "load_no"), [*motion.TRACK, "pass_no"])
-
-    @cached_property
-    def touches(self) -> DataFrame:
-        return coverage.touches(self.hits, self.gaps_s)
-
-    @cached_property
-    def cells(self) -> DataFrame:
-        return coverage.cells(self.touches)
-
-    @cached_property
-    def rings(self) -> DataFrame:
+    def ring_points(self) -> DataFrame:
         points = {k: F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring)) for k, ring in RINGS.items()}
         each = [self.grid.select("project_id", F.lit(k).alias("ring_id"), p.alias("points")) for k, p in points.items()]
         return each[0].union(each[1])
 
     @cached_property
-    def boundary(self) -> DataFrame:
-        return coverage.polygon_cells(self.rings, self.grid)
-
-    @cached_property
-    def field(self) -> DataFrame:
-        return coverage.union_cells(self.boundary, self.cells)
-
-    @cached_property
-    def missed(self) -> DataFrame:
-        return coverage.minus_cells(self.field, self.cells)
+    def stats(self) -> DataFrame:
+        return metrics.coverage_stats(self.field, self.cells, self.missed, self.grid)
