@@ -84,7 +84,7 @@ def near_fingerprints(items: DataFrame, windows: DataFrame, radius: int = RADIUS
     index = items.select("item_id", "copy", F.col("fp").alias("item_fp"), blocks).select("item_id", "copy", "item_fp", "b", F.explode(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1))).alias("mask"))
     index = index.where(F.bit_count("mask") <= radius // BLOCKS).select("item_id", "copy", "item_fp", "b.block", F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"))
     asked = windows.select("*", blocks).select(*windows.columns, "b.block", "b.value")
-    found = asked.join(index, ["item_id", "copy", "block", "value"])
+    found = asked.join(index.hint("merge"), ["item_id", "copy", "block", "value"])  # many rows an item: never broadcast
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     return found.withColumn("hamming", hamming).where(F.col("hamming") <= radius).select(*windows.columns, "hamming").distinct()
 
