@@ -149,11 +149,11 @@ def train(docs: DataFrame) -> Model:
         for batch in batches:
             counts = [gram_counts(t) for t in batch["text"]]
             index = [np.flatnonzero(c).astype(np.int32) for c in counts]
-            yield pd.DataFrame({"__order": batch["__order"], "lang": batch["lang"], "index": index, "count": [c[i].astype(np.int32) for c, i in zip(counts, index)]})
+            yield pd.DataFrame({"__order": batch["__order"], "lang": batch["lang"], "index": [i.tobytes() for i in index], "count": [c[i].astype(np.int32).tobytes() for c, i in zip(counts, index)]})
 
-    sample = labelled.where(uniform < share).limit(MOST_SAMPLED).mapInPandas(features, "__order long, lang string, index array<int>, count array<int>").collect()
+    sample = labelled.where(uniform < share).limit(MOST_SAMPLED).mapInPandas(features, "__order long, lang string, index binary, count binary").collect()
     sample.sort(key=lambda r: (r["__order"], r["lang"]))
-    rows = [(classes.index(r["lang"]), np.asarray(r["index"], np.int64), np.asarray(r["count"], np.float64)) for r in sample if r["index"]]
+    rows = [(classes.index(r["lang"]), np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int32)) for r in sample if r["index"]]
     return learn(rows, classes, idf)
 
 
