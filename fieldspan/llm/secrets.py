@@ -56,7 +56,8 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
     def close(strings: set[str]) -> set[str]:
         if strings and all(len(x) >= 3 for x in strings):
-            groups.append(sorted({frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in strings}, key=sorted))
+            sets = {frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in strings}
+            groups.append(sorted((x for x in sets if not any(y < x for y in sets)), key=sorted))  # a weaker option covers a stronger
         return {""}
 
     def finite(item) -> set[str] | None:
@@ -197,15 +198,16 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret replaced by its kind in brackets (overlapping ones by the first's) and n_chars renewed."""
     names = [r.kind for r in rules]
     found = _scanned(with_keys(docs), ["__kid", "__h"], docs, rules)
-    listed = found.withColumn("__spans", _listed(names))
+    # The text under another name: inside the lambdas below, "text" would mean the new column of that name.
+    listed = found.withColumns({"__spans": _listed(names), "__source": F.col("text")})
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         fresh = x["start"] >= a["at"]
-        clean = F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"])
+        clean = F.substring(F.col("__source"), a["at"] + 1, x["start"] - a["at"])
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], clean, F.lit("["), x["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"))
 
-    rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    text = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(F.col("text"))
+    rest = lambda a: F.concat(a["out"], F.substring(F.col("__source"), a["at"] + 1, F.length("__source")))
+    text = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(F.col("__source"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return listed.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
