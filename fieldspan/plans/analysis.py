@@ -17,7 +17,7 @@ from fieldspan.operators import coverage, kernels, metrics, motion, sinks
 from fieldspan.operators.motion import TRACK
 
 #: Tables that several others read; ``keep`` persists them.
-SHARED = ("positions", "segments", "grid", "cells", "patches")
+SHARED = ("positions", "segments", "grid", "cells", "load_hits", "patches")
 
 
 class Analysis:
@@ -297,7 +297,7 @@ class Analysis:
         """The text report of one project: its summary and its short lists are brought to the driver."""
         own = F.col("project_id") == project_id
         rows = lambda df, *order: [r.asDict() for r in df.where(own).orderBy(*order).collect()]
-        s = rows(self.summary)[0]
+        s = rows(self.summary, "project_id")[0]
         names = {r["track_id"]: r["name"] for r in self.fixes.where(own).groupBy("track_id").agg(F.min("track_name" if "track_name" in self.fixes.columns else F.col("track_id").cast("string")).alias("name")).collect()}
         tracks = [t | {"name": names[t["track_id"]]} for t in rows(self.tracks, "track_ord")]
         return sinks.report(s, rows(self.volumes, "load_no"), tracks, rows(self.gaps, "patch"), [r["text"] for r in rows(self.warnings, "rank")], self.settings.tank_capacity_l)
