@@ -79,7 +79,7 @@ def matched(header: Column, key: str) -> Column:
 def csv(files_: DataFrame) -> DataFrame:
     """Separated values with a header; the separator is the one that the header holds most of."""
     lines = files_.select("path", F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines")).where(F.size("lines") > 1)
-    head = F.col("lines")[0]
+    head = F.get("lines", F.lit(0))
     counts = [F.struct(F.length(head) - F.length(F.replace(head, F.lit(s), F.lit(""))), F.lit(-i), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)]
     lines = lines.select("path", "lines", F.greatest(*counts)["sep"].alias("sep"))
     schema = ", ".join(f"c{i} string" for i in range(WIDEST))
@@ -92,7 +92,7 @@ def csv(files_: DataFrame) -> DataFrame:
 
         # The structs are columns of their own, so that a line is parsed once and not once a cell.
         cells = lambda c: F.array(*(F.col(f"{c}.c{i}") for i in range(WIDEST)))
-        own = own.select("path", F.slice("lines", 2, F.size("lines")).alias("rest"), parsed(F.col("lines")[0]).alias("h"))
+        own = own.select("path", F.slice("lines", 2, F.size("lines")).alias("rest"), parsed(F.get("lines", F.lit(0))).alias("h"))
         own = own.select("path", "rest", F.transform(cells("h"), lambda x: _normal(F.coalesce(x, F.lit("")))).alias("header"))
         own = own.select("path", *(matched(F.col("header"), k).cast("int").alias(k) for k in ALIASES), F.posexplode("rest").alias("input_ord", "line"))
         own = own.select("path", "input_ord", *ALIASES, parsed("line").alias("s")).select("path", "input_ord", *ALIASES, cells("s").alias("v"))
