@@ -120,6 +120,29 @@ def test_ppm_is_a_distribution_and_counts_are_exact(docs, rows):
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found)
     assert want == got
     assert all(r["score"] < 0 for r in found)
+    # the score: the document's own words, then the trie's paths, then the spelling
+    words = docs.sparkSession.createDataFrame([(bytearray(w), k) for w, k in {**dict.fromkeys((w for _, ws in tokens for w in ws), 0), **c}.items()], "word binary, c long")
+    spelt = {bytes(r["word"]): r["lp"] for r in ppm.score_words(words, ppm.model(words)).collect()}
+    free = 1 - sum(10 ** spelt[w] for w in c)
+    p = {w: (c[w] - ppm.DISCOUNT) / n if c[w] else ppm.DISCOUNT * v / n * 10 ** spelt[w] / free for w in spelt}
+    want = []
+    for i, ws in tokens:
+        seen, total = Counter(), 0.0
+        for k, w in enumerate(ws):
+            total += math.log10(ppm.ADAPTIVE * seen[w] / k + (1 - ppm.ADAPTIVE) * p[w] if k else p[w])
+            seen[w] += 1
+        want.append((-1 if i is None else i, round(total, 5)))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 5)) for r in found)
+    for a, b in zip(sorted(want), got, strict=True):
+        assert a == pytest.approx(b, abs=1e-4)
+
+
+def test_ppm_words_that_are_not_frequent_are_joined(docs, monkeypatch):
+    whole = sorted((r["doc_id"] or -1, r["score"], r["base_score"], r["n_known"]) for r in ppm.score(docs).collect())
+    monkeypatch.setattr(ppm, "MOST_FREQUENT", 5)
+    few = sorted((r["doc_id"] or -1, r["score"], r["base_score"], r["n_known"]) for r in ppm.score(docs).collect())
+    for a, b in zip(whole, few, strict=True):
+        assert a == pytest.approx(b)
 
 
 def brute_ppm(counts, word, order, d=ppm.DISCOUNT):
