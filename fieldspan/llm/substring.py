@@ -90,12 +90,17 @@ def seeds(hashes: np.ndarray, length: int, gram: int, powers: _Powers) -> tuple[
     return grams[at], _mix(whole + shape), first, last, at
 
 
+def _spot(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A seed's place in one long: its first window, and how far its last window and its anchor are from there (under 64)."""
+    return (first << 12) | ((last - first) << 6) | (at - first)
+
+
 def _hashes(words: list[bytes], cache: _WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
 def find_seeds(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, whole, kid, h, first, last, at: one row for each seed of each document."""
+    """anchor, whole, kid, h, spot: one row for each seed of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, powers = _WordHashes(), _Powers()
@@ -107,15 +112,15 @@ def find_seeds(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 anchor, whole, first, last, place = (np.concatenate(x) for x in zip(*found))
                 yield pd.DataFrame({
                     "anchor": anchor.view(np.int64), "whole": whole.view(np.int64), "kid": np.repeat(part["kid"].to_numpy(), many), "h": np.repeat(part["h"].to_numpy(), many),
-                    "first": first.astype(np.int32), "last": last.astype(np.int32), "at": place.astype(np.int32),
+                    "spot": _spot(first, last, place),
                 })
 
-    return rows.select("kid", "h", F.col("text").cast("binary").alias("text")).mapInPandas(run, "anchor long, whole long, kid long, h long, first int, last int, at int")
+    return rows.select("kid", "h", F.col("text").cast("binary").alias("text")).mapInPandas(run, "anchor long, whole long, kid long, h long, spot long")
 
 
 def _windows(wanted: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """Each window of the wanted seeds, read again from their documents: anchor, off, content, n, kid, h, start."""
-    asked = wanted.groupBy("kid", "h").agg(F.collect_list(F.struct("anchor", "n", "first", "last", "at")).alias("seeds"))
+    asked = wanted.groupBy("kid", "h").agg(F.collect_list(F.struct("anchor", "n", "spot")).alias("seeds"))
     texts = rows.select("kid", "h", F.col("text").cast("binary").alias("text")).join(asked.hint("shuffle_hash"), ["kid", "h"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +128,9 @@ def _windows(wanted: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for kid, h, text, asked_of in zip(batch["kid"], batch["h"], batch["text"], batch["seeds"]):
                 prefix = _prefixes(_hashes(bytes(text).split(), cache), powers)
-                anchor, n, first, last, at = (np.array([s[k] for s in asked_of], np.int64) for k in ("anchor", "n", "first", "last", "at"))
-                many = last - first + 1
+                anchor, n, spot = (np.array([s[k] for s in asked_of], np.int64) for k in ("anchor", "n", "spot"))
+                first, many = spot >> 12, ((spot >> 6) & 63) + 1
+                at = first + (spot & 63)
                 start = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
                 content = _spans_hash(prefix, powers, start, start + length).view(np.int64)
                 yield pd.DataFrame({"anchor": np.repeat(anchor, many), "off": np.repeat(at, many) - start, "content": content, "n": np.repeat(n, many), "kid": kid, "h": h, "start": start})
@@ -137,11 +143,11 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     found = staged(find_seeds(rows, length, gram))
     different = staged(
         found.groupBy("anchor", "whole")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kid", "h", "first", "last", "at")).alias("one"))
-        .select("anchor", "whole", "n", "one.*")
+        .agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("kid", "h", "spot")))
     )
     again = different.where("n > 1").select("anchor", "whole")
-    whole = found.join(again, ["anchor", "whole"]).select("kid", "h", F.col("first").cast("long").alias("start"), (F.col("last") + length).cast("long").alias("stop"))
+    first, more = F.shiftright("spot", 12), F.shiftright("spot", 6).bitwiseAND(F.lit(63))
+    whole = found.join(again, ["anchor", "whole"]).select("kid", "h", first.alias("start"), (first + more + length).alias("stop"))
 
     mixed = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
     windows = staged(_windows(different.join(mixed, "anchor"), rows, length))
@@ -151,7 +157,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the text left, words joined by a space) for every document."""
+    """(``length`` - ``gram`` must be under 63.) doc_id, n_words, n_removed, kept (the text left, words joined by a space) for every document."""
     rows = doc_rows(docs)
     marks = repeats(rows, length, gram).groupBy("kid", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     marked = rows.select("kid", "h", F.col("text").cast("binary").alias("text")).join(marks.hint("shuffle_hash"), ["kid", "h"], "left")

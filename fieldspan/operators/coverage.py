@@ -61,11 +61,11 @@ def stamp(work: DataFrame, grid: DataFrame, settings: Settings) -> DataFrame:
     return raw.where(inside).select(*work.columns, "r", "c")
 
 
-def touches(hits: DataFrame, gaps: DataFrame) -> DataFrame:
-    """``hits`` with ``fresh``: the cell's first touch, or one later than the track's re-entry gap after the one before."""
+def touches(hits: DataFrame) -> DataFrame:
+    """``hits`` (with gap_s, the touching track's re-entry gap) with ``fresh``: a cell's first touch, or one later
+    than that gap after the touch before. Hits move once, by cell."""
     w = Window.partitionBy(*CELL).orderBy("track_ord", "i")
-    joined = hits.join(gaps, ["project_id", "track_id"])
-    return joined.withColumn("before", F.lag("t1").over(w)).withColumn("fresh", F.col("before").isNull() | (F.col("t1") - F.col("before") > F.col("gap_s"))).drop("before", "gap_s")
+    return hits.withColumn("before", F.lag("t1").over(w)).withColumn("fresh", F.col("before").isNull() | (F.col("t1") - F.col("before") > F.col("gap_s"))).drop("before", "gap_s")
 
 
 def cells(touch: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from fieldspan.operators import coverage, kernels, metrics, motion, sinks
 from fieldspan.operators.motion import TRACK
 
 #: Tables that several others read; ``keep`` persists them.
-SHARED = ("positions", "segments", "grid", "cells", "load_hits", "patches")
+SHARED = ("positions", "segments", "grid", "load_hits", "cells", "patches")
 
 
 class Analysis:
@@ -134,19 +134,24 @@ class Analysis:
             extent = both.groupBy("project_id").agg(*((F.min if c.endswith("min") else F.max)(c).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")))
         return coverage.grids(extent, self.settings)
 
+    def _stamped(self, work: DataFrame, *more: str) -> DataFrame:
+        # What hits need to know of their track and load is joined to the segments, which are far fewer.
+        placed = work.join(self.order, TRACK).join(self.gaps_s, TRACK)
+        return coverage.stamp(placed, self.grid, self.settings).select("project_id", "track_id", "track_ord", "pass_no", "i", "t1", "gap_s", *more, "r", "c")
+
     @cached_property
     def hits(self) -> DataFrame:
         """Touched cells with track_ord; only what counting needs."""
-        placed = self.work.join(self.order, TRACK)
-        return coverage.stamp(placed, self.grid, self.settings).select("project_id", "track_id", "track_ord", "pass_no", "i", "t1", "r", "c")
+        return self._stamped(self.work)
 
     @cached_property
     def load_hits(self) -> DataFrame:
-        return self.hits.join(self.pass_loads.select(*TRACK, "pass_no", "load_no"), [*TRACK, "pass_no"])
+        loads = self.pass_loads.select(*TRACK, "pass_no", "load_no")
+        return self._stamped(self.work.join(loads, [*TRACK, "pass_no"]), "load_no")
 
     @cached_property
     def touches(self) -> DataFrame:
-        return coverage.touches(self.hits, self.gaps_s)
+        return coverage.touches(self.__dict__.get("load_hits", self.hits))
 
     @cached_property
     def cells(self) -> DataFrame:
