@@ -43,6 +43,7 @@ MOST_HELD = 300_000
 PRIOR, DISCOUNT = 0.1, 0.5
 #: The weight of the document's own words; what is left escapes to what was learnt.
 ADAPTIVE = 0.2
+_LN10 = math.log(10)
 
 
 def held_out() -> Column:
@@ -232,14 +233,14 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     tokens, kinds = tokens or 0, kinds or 0
     base = F.log10((F.col("c") + PRIOR) / (tokens + PRIOR * (kinds + 1)))
     scored = learnt_words(staged(score_words(words, staged(model(words, order)), order)), tokens, kinds)
-    scored = staged(scored.select("word", "c", base.alias("base"), F.pow(F.lit(10.0), F.col("lp")).alias("p")))
+    scored = staged(scored.select("word", "c", base.alias("base"), "lp"))  # lp, not 10^lp: a long word's is beyond floats
     often, rest = _frequent(scored, MOST_FREQUENT)
     table = often.toArrow()
     index = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-    shared = spark.sparkContext.broadcast((index, *(table.column(c).to_numpy() for c in ("c", "base", "p"))))
+    shared = spark.sparkContext.broadcast((index, *(table.column(c).to_numpy() for c in ("c", "base", "lp"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, count, base_of, p_of = shared.value
+        index, count, base_of, lp_of = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -251,14 +252,16 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     row = known[which]
                     share = before / np.maximum(place, 1)
                     common = row >= 0
-                    p = (ADAPTIVE * share + np.where(place > 0, 1 - ADAPTIVE, 1.0) * p_of[row])[common] if len(p_of) else np.zeros(0)
                     found = row[common]
-                    heads.append((kid, h, len(which), int((count[found] > 0).sum()), float(base_of[found].sum()), float(np.log10(p).sum())))
+                    lp = lp_of[found] + np.where(place[common] > 0, math.log10(1 - ADAPTIVE), 0.0)
+                    again = common & (share > 0)
+                    lp[again[common]] = np.logaddexp(np.log(ADAPTIVE * share[again]), _LN10 * lp[again[common]]) / _LN10
+                    heads.append((kid, h, len(which), int((count[found] > 0).sum()), float(base_of[found].sum()), float(lp.sum())))
                     if not common.all():
-                        group, again, where = which[~common], share[~common], place[~common]
+                        group, shares, where = which[~common], share[~common], place[~common]
                         begin = np.flatnonzero(np.concatenate((np.ones(1, bool), group[1:] != group[:-1])))
                         for k, a, b in zip(group[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(group)]):
-                            rare.append((kid, h, different[k], b - a, bool(where[a] == 0), again[a + 1 : b].tolist() or None))
+                            rare.append((kid, h, different[k], b - a, bool(where[a] == 0), shares[a + 1 : b].tolist() or None))
                 many, few = len(heads), len(rare)
                 columns = [[*x, *y] for x, y in zip(zip(*heads), ([r[0] for r in rare], [r[1] for r in rare], [0] * few, [0] * few, [0.0] * few, [0.0] * few))]
                 own = [[None] * many + [r[2] for r in rare], [0] * many + [r[3] for r in rare], [False] * many + [r[4] for r in rare], [None] * many + [r[5] for r in rare], [1] * many + [0] * few]
@@ -269,9 +272,14 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     rows = doc_rows(docs).select("kid", "h", F.col("text").cast("binary").alias("text"))
     parts = staged(rows.mapInArrow(run, "kid long, h long, total long, seen long, base double, lp double, word binary, tf long, opens boolean, again array<double>, copies long"))
     heads = parts.where("word is null").select("kid", "h", "copies", "total", "seen", "base", "lp")
-    rare = parts.where("word is not null").select("kid", "h", "word", "tf", "opens", "again").join(rest.withColumnRenamed("base", "b"), "word")
-    first = F.log10(F.when(F.col("opens"), F.col("p")).otherwise((1 - ADAPTIVE) * F.col("p")))
-    later = F.when(F.col("again").isNull(), F.lit(0.0)).otherwise(F.aggregate("again", F.lit(0.0), lambda a, x: a + F.log10(ADAPTIVE * x + (1 - ADAPTIVE) * F.col("p"))))
+    rare = parts.where("word is not null").select("kid", "h", "word", "tf", "opens", "again").join(rest.withColumnsRenamed({"base": "b", "lp": "p"}), "word")
+    escaped = F.col("p") + math.log10(1 - ADAPTIVE)
+    first = F.when(F.col("opens"), F.col("p")).otherwise(escaped)
+
+    def either(own: Column) -> Column:  # log10(10^own + 10^escaped)
+        return F.greatest(own, escaped) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(own - escaped)))
+
+    later = F.when(F.col("again").isNull(), F.lit(0.0)).otherwise(F.aggregate("again", F.lit(0.0), lambda a, x: a + either(F.log10(ADAPTIVE * x))))
     none = F.lit(0).cast("long")
     rare = rare.select("kid", "h", none.alias("copies"), none.alias("total"), F.when(F.col("c") > 0, F.col("tf")).otherwise(none).alias("seen"), (F.col("tf") * F.col("b")).alias("base"), (first + later).alias("lp"))
     sums = heads.union(rare).groupBy("kid", "h").agg(*(F.sum(c).alias(c) for c in ("copies", "total", "seen", "base", "lp")))

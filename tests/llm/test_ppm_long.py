@@ -1,0 +1,35 @@
+"""Words whose probability is beyond floats."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from fieldspan.llm import ppm
+
+from test_text_operators import prose, table
+
+
+@pytest.mark.parametrize("most", [120_000, 0])
+def test_ppm_words_of_thousands_of_bytes(spark, monkeypatch, most):
+    monkeypatch.setattr(ppm, "MOST_FREQUENT", most)
+    rng = random.Random(5)
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    long = "".join(rng.choice("0123456789+/QZXJ") for _ in range(4000))
+    texts = {i: prose(rng, 20) for i in range(40) if i not in held}
+    texts |= {held[0]: f"{long} ba {long} {long}", held[1]: f"ba {long}", held[2]: "ba"}
+    docs = table(spark, [(i, t, "en") for i, t in texts.items()])
+    score = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
+    tokens = {i: [*t.encode().lower().split(), b""] for i, t in texts.items()}
+    c = Counter(w for i, ws in tokens.items() if i not in held for w in ws)
+    words = spark.createDataFrame([(bytearray(w), c[w]) for w in {w for ws in tokens.values() for w in ws}], "word binary, c long")
+    lp = {bytes(r["word"]): r["lp"] for r in ppm.learnt_words(ppm.score_words(words, ppm.model(words)), c.total(), len(c)).collect()}
+    assert lp[long.encode().lower()] < -1000
+    for i in held[:3]:
+        seen, want = Counter(), 0.0
+        for k, w in enumerate(tokens[i]):
+            low = lp[w] + (math.log10(1 - ppm.ADAPTIVE) if k else 0.0)
+            want += math.log10(ppm.ADAPTIVE * seen[w] / k + 10**low) if seen[w] else low
+            seen[w] += 1
+        assert score[i] == pytest.approx(want)
