@@ -1,7 +1,8 @@
 """Benchmark passages in documents.
 
 Similarity is the weighted Jaccard of five-word shingles, weighted by how often they occur, between a
-benchmark item and the windows of a document that have as many words. Steps, all DataFrame code:
+benchmark item and the windows of a document that have as many words; a document of fewer words than
+the item is one window, the whole of it. Steps, all DataFrame code:
 
 1. Seeds: places of a document whose shingle is one of an item's. A window reaches the similarity
    only with a fixed number of seeds, so windows without them are never built. Moving a window's
@@ -90,7 +91,7 @@ def near_fingerprints(items: DataFrame, windows: DataFrame, radius: int = RADIUS
 
 
 def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """kid, h, item_id, first (word), m, hamming, similarity: the best window of each document and item."""
+    """kid, h, item_id, first (word), m (words of the window), hamming, similarity: the best window of each document and item."""
     wanted, widths = item_shingles(items)
     rows = doc_rows(docs).select("kid", "h", words(F.col("text")).alias("words"))
     keys = wanted.select("width", "shingle", "item_id", "copy", "n")
@@ -101,36 +102,36 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, r
         # The items' shingles are broadcast while Spark's size limit allows, and joined by shuffle beyond.
         met = places.join(keys.where(F.col("width") == w).drop("width"), "shingle")
         seeds = met if seeds is None else seeds.union(met)
-    # 2 n shared shingles at most in a union of weight 2 n - shared: shared >= n 2 s / (1 + s)
-    least = F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
+    # nw: the window's shingles. A union of weight nw + n - shared: shared >= (nw + n) s / (1 + s)
+    least = F.ceil((F.col("nw") + F.col("n")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
     grouped = seeds.groupBy("kid", "h", "item_id", "copy", "n").agg(F.sort_array(F.collect_set("i")).alias("p"), F.max("last").alias("last"))
-    grouped = grouped.withColumn("least", least).where("size(p) >= least")
+    grouped = grouped.withColumn("nw", F.least("n", F.col("last") + 1)).withColumn("least", least).where("size(p) >= least")
     starts = F.expr(
         """array_distinct(concat(
-             filter(transform(p, (x, j) -> if(get(p, j + least - 1) - x <= n - 1, x, null)), x -> x is not null and x + n - 1 <= last),
-             if(last - n + 1 >= 0 and size(filter(p, x -> x >= last - n + 1)) >= least, array(last - n + 1), cast(array() as array<int>))))"""
+             filter(transform(p, (x, j) -> if(get(p, j + least - 1) - x <= nw - 1, x, null)), x -> x is not null and x + nw - 1 <= last),
+             if(size(filter(p, x -> x >= last - nw + 1)) >= least, array(last - nw + 1), cast(array() as array<int>))))"""
     )
-    chosen = grouped.select("kid", "h", "item_id", "copy", "n", starts.alias("starts")).where("size(starts) > 0")
-    asked = staged(chosen.groupBy("kid", "h").agg(F.collect_list(F.struct("item_id", "copy", "n", "starts")).alias("asked")))
+    chosen = grouped.select("kid", "h", "item_id", "copy", "n", "nw", starts.alias("starts")).where("size(starts) > 0")
+    asked = staged(chosen.groupBy("kid", "h").agg(F.collect_list(F.struct("item_id", "copy", "n", "nw", "starts")).alias("asked")))
 
     # The texts of the few documents that are left are read again for whole windows.
     again = rows.join(asked.hint("shuffle_hash"), ["kid", "h"]).select("kid", "h", "words", F.explode("asked").alias("a"))
-    again = again.select("kid", "h", "words", "a.item_id", "a.copy", "a.n", F.explode("a.starts").alias("first"))
+    again = again.select("kid", "h", "words", "a.item_id", "a.copy", "a.n", "a.nw", F.explode("a.starts").alias("first"))
     width_of = wanted.select("item_id", "copy", "width", "m").distinct()
-    again = again.select("kid", "h", "words", "item_id", "copy", "n", "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    again = again.select("kid", "h", "words", "item_id", "copy", "n", "nw", "first", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)).alias("j"))
     shingle = F.lit(None).cast("long")
     again = again.join(width_of, ["item_id", "copy"])
     for w in widths:
         shingle = F.when(F.col("width") == w, _shingle("words", F.col("first") + F.col("j"), w)).otherwise(shingle)
-    whole = ["kid", "h", "item_id", "copy", "first", "n", "m"]
+    whole = ["kid", "h", "item_id", "copy", "first", "n", "nw", "m"]
     pieces = staged(again.select(*whole, shingle.alias("shingle")).groupBy(*whole, "shingle").agg(F.count(F.lit(1)).alias("w")))
 
     item_prints = _simhash(wanted, ["item_id", "copy"], F.col("c"))
     near = near_fingerprints(item_prints, _simhash(pieces, whole, F.col("w")), radius)
     shared = pieces.join(wanted.select("item_id", "copy", "shingle", "c"), ["item_id", "copy", "shingle"]).groupBy(*whole).agg(F.sum(F.least("w", "c")).alias("shared"))
-    alike = (F.col("shared") / (2 * F.col("n") - F.col("shared"))).alias("similarity")
+    alike = (F.col("shared") / (F.col("nw") + F.col("n") - F.col("shared"))).alias("similarity")
     verified = near.join(shared, whole).withColumn("similarity", alike).where(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("hamming")).alias("hamming"), (-F.col("first")).alias("first"), "m")).alias("b")
+    best = F.max(F.struct("similarity", (-F.col("hamming")).alias("hamming"), (-F.col("first")).alias("first"), (F.col("m") - F.col("n") + F.col("nw")).alias("m"))).alias("b")
     return verified.groupBy("kid", "h", "item_id", "copy").agg(best).select(
         "kid", "h", "item_id", "copy", (-F.col("b.first")).alias("first"), "b.m", (-F.col("b.hamming")).alias("hamming"), "b.similarity"
     )
