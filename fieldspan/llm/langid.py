@@ -181,6 +181,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or gets less than ``least``."""
-    predict = predictor(train(docs.where(fold() != 2)), docs.sparkSession)
+    """``docs`` without the rows whose language is undetermined or gets less than ``least``.
+
+    Where there is no language to learn (no training row has one), only null and letterless texts go.
+    """
+    model = train(docs.where(fold() != 2))
+    if not model.classes:
+        return docs.where(F.col("text").rlike(_LETTER.pattern))
+    predict = predictor(model, docs.sparkSession)
     return docs.withColumn("__p", predict("text")).where((F.col("__p.lang_pred") != UNDETERMINED) & (F.col("__p.score") >= least)).select(*docs.columns)
