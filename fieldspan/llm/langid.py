@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
-#: The sample's bound: about so many documents of each language, and at most so many in all.
+#: The sample's bound: about so many documents of each language, and about so many in all, the same for each language.
 PER_LANGUAGE, MOST_SAMPLED = 700, 20_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 4
 UNDETERMINED = "und"
@@ -142,7 +142,7 @@ def train(docs: DataFrame) -> Model:
         return Model([], np.zeros((DIM, 0)), np.zeros(0), idf, 1.0)
     share = F.lit(0.0)
     for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, PER_LANGUAGE / size))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, min(PER_LANGUAGE, MOST_SAMPLED / len(sizes)) / size))).otherwise(share)
     uniform = F.shiftrightunsigned("__order", 11) * F.lit(2.0**-53)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +151,7 @@ def train(docs: DataFrame) -> Model:
             index = [np.flatnonzero(c).astype(np.int32) for c in counts]
             yield pd.DataFrame({"__order": batch["__order"], "lang": batch["lang"], "index": [i.tobytes() for i in index], "count": [c[i].astype(np.int32).tobytes() for c, i in zip(counts, index)]})
 
-    sample = labelled.where(uniform < share).limit(MOST_SAMPLED).mapInPandas(features, "__order long, lang string, index binary, count binary").collect()
+    sample = labelled.where(uniform < share).mapInPandas(features, "__order long, lang string, index binary, count binary").collect()
     sample.sort(key=lambda r: (r["__order"], r["lang"]))
     rows = [(classes.index(r["lang"]), np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int32)) for r in sample if r["index"]]
     return learn(rows, classes, idf)
