@@ -1,43 +1,18 @@
-"""Helpers shared by the text operators: shared-folder tables, row keys, total order, components."""
+"""Helpers shared by the text operators: row keys, total order, components, filters by key."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Stands in for a null doc_id inside joins; ``row_hash`` keeps the two apart.
-NO_ID = -(2**63)
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local runs)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if "dir" not in _own:
-        Path("/tmp/checkpoints").mkdir(parents=True, exist_ok=True)
-        _own["dir"] = tempfile.mkdtemp(prefix="fieldspan-", dir="/tmp/checkpoints")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return "file://" + _own["dir"]
+from fieldspan.staging import shared_dir, staged, unstage
 
+__all__ = ["NO_ID", "components", "doc_id_of", "doc_rows", "kept_rows", "numbered", "packed", "shared_dir", "shuffle_width", "split_by_keys", "staged", "unpacked", "unstage"]
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    It cuts the lineage, is columnar, and survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Stands in for a null doc_id inside joins; ``row_hash`` keeps the two apart.
+NO_ID = -(2**63)
+#: Bits of the filter of ``split_by_keys``: 1 MB at most travels to the tasks.
+FILTER_BITS = 1 << 23
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -58,10 +33,45 @@ def doc_rows(docs: DataFrame) -> DataFrame:
     return docs.select(kid.alias("kid"), h.alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns and the join key as ``__kid`` and ``__h``."""
+def packed(docs: DataFrame) -> DataFrame:
+    """kid, h (the join key of a row), text and ``row``: all the caller's columns, whatever they are called."""
     kid, h = _keys()
-    return docs.withColumn("__kid", kid).withColumn("__h", h)
+    return docs.select(kid.alias("kid"), h.alias("h"), "text", F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+
+
+def unpacked(df: DataFrame, **new: Column) -> DataFrame:
+    """The caller's columns of ``packed`` rows; those named in ``new`` (if the caller has them) get new values."""
+    fields = df.schema["row"].dataType.names
+    return df.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in fields))
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """One row of ``docs`` for each value of ``group`` among ``groups`` (kid, h, group): the smallest doc_id.
+
+    Where all ids are null it is the smallest text hash; of rows that repeat a key one stays.
+    """
+    first = groups.groupBy(group).agg(F.min(F.struct((F.col("kid") == NO_ID).alias("unnamed"), "kid", "h")).alias("m"))
+    chosen = first.select("m.kid", "m.h")
+    again = Window.partitionBy("kid", "h").orderBy("kid")
+    kept = packed(docs).join(chosen, ["kid", "h"], "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1")
+    return unpacked(kept)
+
+
+def split_by_keys(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose (kid, h) may be among those of ``keys``, and rows whose is not.
+
+    A bitmap of hashed keys, of a fixed size, travels to the tasks, so the second part never moves. The
+    first has all rows of ``keys``, and a few others.
+    """
+    spot = F.pmod(F.xxhash64("kid", "h"), F.lit(FILTER_BITS)).cast("long")
+    width = 32768  # bits of one bitmap of Spark's
+    bits = keys.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / width).alias("block")).agg(F.bitmap_construct_agg(F.col("spot") % width).alias("bits"))
+    found = df.withColumn("spot", spot).withColumn("block", F.floor(F.col("spot") / width)).join(F.broadcast(bits), "block", "left")
+    at = F.col("spot") % width
+    byte = F.conv(F.hex(F.expr("substring(bits, int((spot % 32768) div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = found.withColumn("hit", hit)
+    return marked.where("hit").select(*df.columns), marked.where("not hit").select(*df.columns)
 
 
 def doc_id_of(kid: Column) -> Column:
@@ -116,7 +126,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     current = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(most_rounds):
-        current = staged(star(star(current, True), False))
+        before, current = current, staged(star(star(current, True), False))
+        unstage(before)
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
@@ -132,7 +133,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def train(docs: DataFrame) -> Model:
     """A model from the rows of ``text`` and ``lang``; rows without text count for nothing, without lang for frequencies only."""
-    docs = docs.where("text is not null").select("text", "lang", F.xxhash64(F.lit("sample"), F.xxhash64("text"), "doc_id").alias("__order"))
+    docs = docs.where("text is not null").select("text", "lang", F.xxhash64(F.lit("sample"), F.xxhash64("text"), "doc_id").alias("place"))
     found, rows = document_frequencies(docs)
     idf = np.log((1 + rows) / (1 + found)) + 1
     labelled = docs.where("lang is not null")
@@ -143,16 +144,16 @@ def train(docs: DataFrame) -> Model:
     share = F.lit(0.0)
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, min(PER_LANGUAGE, MOST_SAMPLED / len(sizes)) / size))).otherwise(share)
-    uniform = F.shiftrightunsigned("__order", 11) * F.lit(2.0**-53)
+    uniform = F.shiftrightunsigned("place", 11) * F.lit(2.0**-53)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts = [gram_counts(t) for t in batch["text"]]
             index = [np.flatnonzero(c).astype(np.int32) for c in counts]
-            yield pd.DataFrame({"__order": batch["__order"], "lang": batch["lang"], "index": [i.tobytes() for i in index], "count": [c[i].astype(np.int32).tobytes() for c, i in zip(counts, index)]})
+            yield pd.DataFrame({"place": batch["place"], "lang": batch["lang"], "index": [i.tobytes() for i in index], "count": [c[i].astype(np.int32).tobytes() for c, i in zip(counts, index)]})
 
-    sample = labelled.where(uniform < share).mapInPandas(features, "__order long, lang string, index binary, count binary").collect()
-    sample.sort(key=lambda r: (r["__order"], r["lang"]))
+    sample = labelled.where(uniform < share).mapInPandas(features, "place long, lang string, index binary, count binary").collect()
+    sample.sort(key=lambda r: (r["place"], r["lang"]))
     rows = [(classes.index(r["lang"]), np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int32)) for r in sample if r["index"]]
     return learn(rows, classes, idf)
 
@@ -189,4 +190,5 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     if not model.classes:
         return docs.where(F.col("text").rlike(_LETTER.pattern))
     predict = predictor(model, docs.sparkSession)
-    return docs.withColumn("__p", predict("text")).where((F.col("__p.lang_pred") != UNDETERMINED) & (F.col("__p.score") >= least)).select(*docs.columns)
+    scored = packed(docs).withColumn("p", predict("text"))
+    return unpacked(scored.where((F.col("p.lang_pred") != UNDETERMINED) & (F.col("p.score") >= least)))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, fingerprint, langid, pieces, ppm, secrets, sharding, simhash, substring
@@ -27,7 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": lambda s, d: chat.rotated(table(s, d, "conversations")),
         "op9_language": lambda s, d: langid.identify(table(s, d, "documents")),
         "op10_secrets": lambda s, d: secrets.scan(table(s, d, "documents")),
-        "pipeline": corpus_pipeline.run,
     }
 
 

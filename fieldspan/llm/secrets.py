@@ -14,6 +14,7 @@ repeated rows give a row each; null ids are kept.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 from re import _parser as regex_parser
 from typing import NamedTuple
@@ -21,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_of, doc_rows, with_keys
+from .common import doc_id_of, doc_rows, packed, split_by_keys, staged, unpacked
 
 
 class Rule(NamedTuple):
@@ -163,7 +164,7 @@ def _listed(names: list[str]) -> Column:
     """The spans of the kinds, by start and then by kind: array<struct<start, at, end, kind>>."""
 
     def named(i: int, kind: str) -> Column:
-        return F.transform(F.col(f"s_{kind}"), lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("at"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.transform(F.col("spans")[kind], lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("at"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
     return F.array_sort(F.concat(*(named(i, k) for i, k in enumerate(names))))
 
@@ -172,23 +173,33 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(x["kind"], F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
 
 
-def _scanned(keyed: DataFrame, key: list[str], docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``keyed`` with an array column s_<kind> for each rule."""
+def _scanned(keyed: DataFrame, docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``keyed`` (kid, h, text, ...) with ``spans``: a struct of an array of spans for each rule.
+
+    Only documents that are candidates of some rule, and a few others, move to meet their flags; in the
+    rest only rules without a trigram query are verified, where they lie.
+    """
     flags, indexed = candidates(doc_rows(docs), rules)
-    flags = flags.withColumnsRenamed({"kid": key[0], "h": key[1]})
+    wanted = staged(flags.where(reduce(Column.__or__, (F.col(f"c_{k}") for k in indexed), F.lit(False))))
+    some, others = split_by_keys(keyed, wanted)
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = keyed.join(flags.hint("shuffle_hash"), key, "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return found.withColumns({f"s_{r.kind}": F.when(F.col(f"c_{r.kind}"), spans_of(text, r)).otherwise(none) if r.kind in indexed else spans_of(text, r) for r in rules})
+
+    def spans(flagged: bool) -> Column:
+        of = [(F.when(F.col(f"c_{r.kind}"), spans_of(text, r)).otherwise(none) if flagged else none) if r.kind in indexed else spans_of(text, r) for r in rules]
+        return F.struct(*(x.alias(r.kind) for x, r in zip(of, rules))).alias("spans")
+
+    found = some.join(wanted.hint("shuffle_hash"), ["kid", "h"], "left")
+    return found.select(*keyed.columns, spans(True)).union(others.select(*keyed.columns, spans(False)))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: how many secrets of each base kind, and all spans."""
     names, base = [r.kind for r in rules], [r.kind for r in BASE]
-    found = _scanned(doc_rows(docs), ["kid", "h"], docs, rules)
+    found = _scanned(doc_rows(docs), docs, rules)
     return found.select(
         doc_id_of(F.col("kid")),
-        *(F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in base),
+        *(F.size(F.col("spans")[k]).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(_joined(_listed(base)), 256).alias("base_sha256"),
         _joined(_listed(names)).alias("spans"),
     )
@@ -196,18 +207,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret replaced by its kind in brackets (overlapping ones by the first's) and n_chars renewed."""
-    names = [r.kind for r in rules]
-    found = _scanned(with_keys(docs), ["__kid", "__h"], docs, rules)
-    # The text under another name: inside the lambdas below, "text" would mean the new column of that name.
-    listed = found.withColumns({"__spans": _listed(names), "__source": F.col("text")})
+    listed = _scanned(packed(docs), docs, rules).withColumn("listed", _listed([r.kind for r in rules]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         fresh = x["start"] >= a["at"]
-        clean = F.substring(F.col("__source"), a["at"] + 1, x["start"] - a["at"])
+        clean = F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"])
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], clean, F.lit("["), x["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"))
 
-    rest = lambda a: F.concat(a["out"], F.substring(F.col("__source"), a["at"] + 1, F.length("__source")))
-    text = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(F.col("__source"))
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return listed.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
+    text = F.when(F.size("listed") > 0, F.aggregate("listed", start, step, rest)).otherwise(F.col("text"))
+    clean = listed.select("row", text.alias("clean"))
+    return unpacked(clean, text=F.col("clean"), n_chars=F.length("clean").cast("long"))
