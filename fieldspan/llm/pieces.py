@@ -11,8 +11,8 @@ pieces. Exactly one piece fits at each place, and the path equals the library's
 Characters without a piece are written as byte pieces.
 
 Edge cases: null and empty text have no pieces; the mark character itself decodes as a space, which
-``round_trip`` reports as false; words of any length take time in proportion; repeated rows give a
-row each; null ids are kept.
+``round_trip`` reports as false; words of any length take time and memory in proportion; repeated rows
+give a row each; null ids are kept; of a caller's columns those named like the result's own are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
@@ -32,7 +33,10 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MOST_CACHED, MOST_PAIRS = 600_000, 1_000_000
-BLOCK = 1024
+#: Characters of the words that an encoder keeps.
+MOST_KEPT = 16_000_000
+#: Texts and characters that are encoded together.
+BLOCK, BLOCK_CHARS = 1024, 4_000_000
 
 _WORD = re.compile(r" +[^ \n\t]*|[^ \n\t]+|[\n\t]")
 
@@ -55,6 +59,7 @@ class Pieces:
         self.bytes = [bytes([values[i]]) if i in values else b"" if i < 3 else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.kept = 0  # characters in ``words``
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -92,34 +97,44 @@ class Pieces:
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words, in sorted order, into the cache."""
         ids, fits, sizes, known = self.ids, self.fits, self.sizes.get, self.pairs.get
-        coded = self.coded.get
-        before, path = "", [("", b"")]  # path[d]: the piece that ends at d, and the ids up to there
+        before, ends = "", [""]  # ends[d]: the piece that ends the best segmentation of the first d characters
         for raw in sorted(words):
             word = raw.replace(" ", MARK)
             common, most = 0, min(len(before), len(word))
             while common < most and before[common] == word[common]:
                 common += 1
-            del path[common + 1 :]
+            del ends[common + 1 :]
             for end in range(common + 1, len(word) + 1):
                 for size in sizes(word[end - 3 : end], (2,)) if end > 2 else (end,):
                     piece = word[end - size : end] if size <= end else ""
                     if piece in ids:
-                        pair = (path[end - size][0], piece)
+                        pair = (ends[end - size], piece)
                         fit = known(pair)
                         if fit if fit is not None else fits(*pair):
                             break
                 else:
-                    size, piece = 1, word[end - 1]
-                path.append((piece, path[end - size][1] + (coded(piece) or self.spelled(piece))))
-            self.words[raw] = path[-1][1]
+                    piece = word[end - 1]
+                ends.append(piece)
+            self.words[raw] = self.traced(ends)
+            self.kept += len(raw)
             before = word
 
+    def traced(self, ends: list[str]) -> bytes:
+        """The ids of the whole word: from its last piece back to the first."""
+        coded, at, out = self.coded.get, len(ends) - 1, []
+        while at:
+            piece = ends[at]
+            out.append(coded(piece) or self.spelled(piece))
+            at -= len(piece)
+        return b"".join(reversed(out))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         words = set(chain.from_iterable(cut))
         fresh = words.difference(self.words)
-        if len(self.words) + len(fresh) > MOST_CACHED:
+        if len(self.words) + len(fresh) > MOST_CACHED or self.kept > MOST_KEPT:
             self.words.clear()
+            self.kept = 0
             fresh = words
         self.learn(fresh)
         of = self.words.__getitem__
@@ -135,13 +150,16 @@ def encode(docs: DataFrame, model: str = MODEL, keep: list[str] | None = None) -
     own = ["n_pieces", "piece_ids", "round_trip"]
     keep = [c for c in (keep if keep is not None else ["doc_id"]) if c not in own]
     shared = spark.sparkContext.broadcast(Pieces.load(model))  # as large as the model's vocabulary
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    # The text comes last, under a name that no caller's column has.
+    name = max((c for c in docs.columns), key=len, default="") + "_"
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce("text", F.lit("")).alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            sizes = pc.utf8_length(batch.column(len(keep))).to_numpy(zero_copy_only=False)
+            for at, end in _blocks(sizes):
+                part = batch.slice(at, end - at)
                 texts = part.column(len(keep)).to_pylist()
                 ids = pieces.encode(texts)
                 many = np.array([len(x) for x in ids], np.int32)
@@ -154,6 +172,18 @@ def encode(docs: DataFrame, model: str = MODEL, keep: list[str] | None = None) -
     return rows.mapInArrow(run, schema)
 
 
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ``BLOCK`` texts and about ``BLOCK_CHARS`` characters; a longer text is alone in its run."""
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and (i - begin == BLOCK or held + size > BLOCK_CHARS):
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with ``text`` in place of ``piece_ids`` (null ids: null text)."""
     shared = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model))
