@@ -2,15 +2,15 @@
 
 A document's fingerprint has a bit set where more than half of its shingle hashes have it. Two
 fingerprints link when they differ in at most two bits, so at least six of their eight positional
-bytes are equal. The index is inverted over positional bytes: as at most two bytes differ, a pair
-agrees in four of the first six, so each fingerprint is posted under the 15 choices of four bytes
-among those. Pairs that meet tally all their shared positional bytes, keep six or more, and are
-verified bit by bit.
+bytes are equal: that is the guaranteed minimum. The index is inverted over positional bytes: each
+fingerprint is posted under the 28 choices of six of them. A pair that shares s bytes meets in as many
+lists as there are choices of six out of s (1, 7 or 28), so the pair's tally of lists says how many
+bytes it shares; pairs that reach the minimum are verified bit by bit.
 
-A posting list longer than ``MOST_LISTED`` is not turned into pairs. Its members take another exact
-way: two fingerprints within two bits have a common point within one bit of each, so every member is
-sent to its 65 points and all that meet at a point are linked to the least of them: 65 rows each,
-however long the list is.
+The members of a list agree in six bytes, so a list has at most 65,536. Lists longer than
+``MOST_LISTED`` are split: of the four half bytes in which its members may differ a linked pair shares
+two at least, so each member is posted again under the six choices of two. Such a sublist has at most
+256 members, so a fingerprint meets a fixed number of others, however large the table is.
 
 Exact copies share a fingerprint and are one class; classes, not documents, are linked.
 
@@ -25,12 +25,14 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import NO_ID, components, doc_id_of, doc_rows, staged, with_keys
+from .common import components, doc_id_of, doc_rows, kept_rows, staged
 
+#: Bits in which linked fingerprints may differ, and so the bytes that they share at least.
+NEAR, LEAST_SHARED = 2, 6
 MOST_LISTED = 32
 
 #: _BITS[v, j]: bit j of the byte v.
@@ -75,33 +77,50 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     return doc_rows(docs).select("kid", "h", of(F.col("text").cast("binary")).alias("fp"))
 
 
-def _byte(c: Column, i: int) -> Column:
-    return F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+def _part(c: Column, i: int, bits: int) -> Column:
+    """The i-th group of so many bits."""
+    return F.shiftrightunsigned(c, bits * i).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _joined(parts: list[Column], bits: int, head: Column) -> Column:
+    for p in parts:
+        head = F.shiftleft(head, bits).bitwiseOR(p)
+    return head
+
+
+def pairs(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
+    """a, b, lists: pairs of the distinct longs ``fp`` that meet in the index, and in how many of the 28 kinds of lists.
+
+    Every pair within two bits is there; farther pairs that meet in a split list may not be.
+    """
+    rest, posts = [], []
+    for k, six in enumerate(combinations(range(8), 6)):
+        key = _joined([_part(F.col("fp"), i, 8) for i in six], 8, F.lit(0).cast("long"))
+        posts.append(F.struct(F.lit(k).alias("kind"), key.alias("key")))
+        free = [i for i in range(8) if i not in six]
+        rest.append(_joined([_part(F.col("fp"), i, 8) for i in free], 8, F.lit(0).cast("long")))
+    posted = prints.select("fp", F.explode(F.array(*posts)).alias("p")).select("fp", "p.kind", "p.key")
+    sizes = posted.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
+    met = posted.join(sizes, ["kind", "key"])
+
+    def meet(lists: DataFrame, *key: str) -> DataFrame:
+        gathered = lists.groupBy("kind", *key).agg(F.sort_array(F.collect_list("fp")).alias("f")).where("size(f) > 1")
+        each = F.expr("inline(flatten(transform(sequence(0, size(f) - 2), i -> transform(slice(f, i + 2, size(f)), y -> struct(f[i] as a, y as b)))))")
+        return gathered.select("kind", each)
+
+    short = meet(met.where(F.col("listed") <= most_listed), "key")
+    free = F.element_at(F.array(*rest), F.col("kind") + 1)
+    halves = [F.struct(F.lit(k).alias("place"), _joined([_part(free, i, 4) for i in two], 4, F.lit(0).cast("long")).alias("half")) for k, two in enumerate(combinations(range(4), 2))]
+    long = met.where(F.col("listed") > most_listed).select("kind", "key", "fp", F.explode(F.array(*halves)).alias("h")).select("kind", "key", "h.*", "fp")
+    split = meet(long, "key", "place", "half").distinct()  # a pair may share several half bytes of one list
+    return short.union(split).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
 
 
 def links(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
-    """a, b: edges among the distinct longs ``fp`` with the components of all pairs within two bits."""
-    keys = []
-    for k, places in enumerate(combinations(range(6), 4)):
-        key = F.lit(k).cast("long")
-        for i in places:
-            key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), i))
-        keys.append(key)
-    postings = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
-    met = postings.join(sizes, "key")
-
-    lists = met.where(F.col("listed") <= most_listed).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("f"))
-    pair = F.expr("inline(flatten(transform(sequence(0, size(f) - 2), i -> transform(slice(f, i + 2, size(f)), y -> struct(f[i] as a, y as b)))))")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum((F.when(_byte(differ, i) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-    near = lists.select(pair).where(tally >= 6).where(F.bit_count(differ) <= 2)
-
-    crowd = met.where(F.col("listed") > most_listed).select("fp").distinct()
-    points = crowd.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(64)))).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("least"))
-    stars = points.join(least, "point").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    return near.union(stars).distinct()
+    """a, b: the pairs of the distinct longs ``fp`` within two bits."""
+    shared = F.when(F.col("lists") >= 28, 8).when(F.col("lists") >= 7, 7).when(F.col("lists") >= 1, 6).otherwise(0)
+    tallied = pairs(prints, most_listed).withColumn("shared", shared).where(F.col("shared") >= LEAST_SHARED)
+    return tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= NEAR).select("a", "b")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -126,8 +145,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows = staged(fingerprints(docs))
     grown = grouped(rows).withColumn("component", F.coalesce("component", "fp"))
-    first = grown.groupBy("component").agg(F.min(F.struct((F.col("kid") == NO_ID).alias("unnamed"), "kid", "h")).alias("m"))
-    chosen = first.select(F.col("m.kid").alias("__kid"), F.col("m.h").alias("__h"))
-    keyed = with_keys(docs)
-    again = Window.partitionBy("__kid", "__h").orderBy("__kid")
-    return keyed.join(chosen, ["__kid", "__h"]).withColumn("__again", F.row_number().over(again)).where("__again = 1").select(*docs.columns)
+    return kept_rows(docs, grown, "component")
