@@ -317,10 +317,11 @@ def test_hamming_index_is_complete(spark):
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     base = rng.getrandbits(64)
     flips = [sum(1 << b for b in rng.sample(range(64), k)) for k in range(0, 30) for _ in range(4)]
-    items = spark.createDataFrame([(1, 1, signed(base))], "item_id long, copy long, fp long")
-    windows = spark.createDataFrame([(1, 1, i, signed(base ^ f)) for i, f in enumerate(flips)], "item_id long, copy long, first int, fp long")
-    found = {r["first"]: r["hamming"] for r in decontam.near_fingerprints(items, windows).collect()}
-    assert found == {i: f.bit_count() for i, f in enumerate(flips) if f.bit_count() <= decontam.RADIUS}
+    items = spark.createDataFrame([(1, 5, 9, signed(base)), (2, 5, 8, signed(base))], "iid long, width int, n int, fp long")
+    asked = {signed(base ^ f): f.bit_count() for f in flips}
+    windows = spark.createDataFrame([(5, 9, i, f) for i, f in enumerate([*asked, *asked])], "width int, n int, first int, fp long")
+    found = {(r["fp"], r["iid"]): r["hamming"] for r in decontam.near_fingerprints(items, windows).collect()}
+    assert found == {(f, 1): k for f, k in asked.items() if k <= decontam.RADIUS}
 
 
 def test_chat_rotation(spark):
