@@ -109,85 +109,6 @@ def test_communication_matrix_follows_the_hypergeometric_law(spark):
     assert abs(np.mean(first) - mean) < 4 * (var / 60) ** 0.5 and 0.5 < np.var(first) / var < 1.8
 
 
-def test_ppm_is_a_distribution_and_counts_are_exact(docs, rows):
-    found = ppm.score(docs).collect()
-    assert len(found) == len(rows)
-    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t, _ in rows]
-    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
-    c = Counter(w for i, ws in tokens if not held(i) for w in ws)
-    n, v = c.total(), len(c)
-    want = sorted((-1 if i is None else i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found)
-    assert want == got
-    assert all(r["score"] < 0 for r in found)
-    # the score: the document's own words, then the trie's paths, then the spelling
-    words = docs.sparkSession.createDataFrame([(bytearray(w), k) for w, k in {**dict.fromkeys((w for _, ws in tokens for w in ws), 0), **c}.items()], "word binary, c long")
-    spelt = {bytes(r["word"]): r["lp"] for r in ppm.score_words(words, ppm.model(words)).collect()}
-    free = 1 - sum(10 ** spelt[w] for w in c)
-    p = {w: (c[w] - ppm.DISCOUNT) / n if c[w] else ppm.DISCOUNT * v / n * 10 ** spelt[w] / free for w in spelt}
-    want = []
-    for i, ws in tokens:
-        seen, total = Counter(), 0.0
-        for k, w in enumerate(ws):
-            total += math.log10(ppm.ADAPTIVE * seen[w] / k + (1 - ppm.ADAPTIVE) * p[w] if k else p[w])
-            seen[w] += 1
-        want.append((-1 if i is None else i, round(total, 5)))
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 5)) for r in found)
-    for a, b in zip(sorted(want), got, strict=True):
-        assert a == pytest.approx(b, abs=1e-4)
-
-
-def test_ppm_words_that_are_not_frequent_are_joined(docs, monkeypatch):
-    whole = sorted((r["doc_id"] or -1, r["score"], r["base_score"], r["n_known"]) for r in ppm.score(docs).collect())
-    monkeypatch.setattr(ppm, "MOST_FREQUENT", 5)
-    few = sorted((r["doc_id"] or -1, r["score"], r["base_score"], r["n_known"]) for r in ppm.score(docs).collect())
-    for a, b in zip(whole, few, strict=True):
-        assert a == pytest.approx(b)
-
-
-def brute_ppm(counts, word, order, d=ppm.DISCOUNT):
-    """A trie of dictionaries, byte by byte."""
-    tops = Counter()
-    for w, c in counts.items():
-        s = b"\0" * (order - 1) + b" " + (w + b" " if w else b"\n")
-        for i in range(order, len(s)):
-            tops[s[i - order : i], s[i]] += c
-    levels = [dict(tops)]
-    for k in range(order - 1, -1, -1):
-        up = Counter()
-        for (ctx, x), c in levels[-1].items():
-            if c:
-                up[ctx[1:], x] += 1
-        levels.append(up)
-    total = 0.0
-    s = b"\0" * (order - 1) + b" " + (word + b" " if word else b"\n")
-    for i in range(order, len(s)):
-        gone, p = set(), 1.0
-        for k in range(order, -1, -1):
-            at = {x: c for (ctx, x), c in levels[order - k].items() if ctx == s[i - k : i] and c and x not in gone}
-            seen_any = any(ctx == s[i - k : i] and c for (ctx, _), c in levels[order - k].items())
-            t = sum(at.values())
-            if s[i] in at:
-                p *= (at[s[i]] - d) / t
-                break
-            if seen_any and at:
-                p *= d * len(at) / t
-            gone |= set(at)
-        else:
-            p /= 256 - len({x for (_, x), c in levels[-1].items() if c})
-        total += math.log10(p)
-    return total
-
-
-def test_ppm_against_brute_force(spark):
-    counts = Counter({b"banana": 5, b"band": 2, b"ban": 1, b"nab": 3, b"": 4, b"unseen": 0, b"zq": 0})
-    words = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c long")
-    for limit in (10**6, 0):  # by shared arrays, and by a join
-        scored = ppm.score_words(words, ppm.model(words, 3), 3, most_shared=limit)
-        for r in scored.collect():
-            assert r["lp"] == pytest.approx(brute_ppm(counts, bytes(r["word"]), 3))
-
-
 def test_pieces_equal_the_library(spark, docs, rows):
     from sentencepiece import SentencePieceProcessor
 
