@@ -36,24 +36,31 @@ def grids(extent: DataFrame, settings: Settings, most_cells: int = MOST_CELLS) -
 def stamp(work: DataFrame, grid: DataFrame, settings: Settings) -> DataFrame:
     """Each cell whose centre lies in a segment's band, with the segment's columns.
 
-    Only the cells of a segment's bounding box are made. Joints are round, the two ends of a pass square.
+    For each row of cells that a segment's band meets only the columns are made that lie within the
+    band's half width of the part of the segment near that row, so slanted segments cost their length,
+    not their bounding box. Joints are round, the two ends of a pass square.
     """
     half = settings.swath_width_m / 2
-    placed = work.join(F.broadcast(grid), "project_id")  # one row a project
+    placed = work.where("dist_m > 0").join(grid, "project_id")
     cell = F.col("cell")
-
-    def low(a: str, b: str, origin: str) -> Column:
-        return F.greatest(F.floor((F.least(a, b) - half - F.col(origin)) / cell), F.lit(0))
-
-    def high(a: str, b: str, origin: str, n: str) -> Column:
-        return F.least(F.ceil((F.greatest(a, b) + half - F.col(origin)) / cell) + 1, F.col(n))
-
-    boxed = placed.withColumns({"c0": low("ax", "bx", "x0"), "c1": high("ax", "bx", "x0", "nx"), "r0": low("ay", "by", "y0"), "r1": high("ay", "by", "y0", "ny")})
-    boxed = boxed.where("c1 > c0 and r1 > r0 and dist_m > 0")
-    wide = boxed.withColumn("c", F.explode(F.sequence("c0", F.col("c1") - 1))).withColumn("r", F.explode(F.sequence("r0", F.col("r1") - 1)))
-    gx, gy = F.col("x0") + (F.col("c") + 0.5) * cell, F.col("y0") + (F.col("r") + 0.5) * cell
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    raw = wide.withColumns({"gx": gx, "gy": gy, "dx": dx, "dy": dy})
+    low = F.greatest(F.floor((F.least("ay", "by") - half - F.col("y0")) / cell), F.lit(0))
+    high = F.least(F.ceil((F.greatest("ay", "by") + half - F.col("y0")) / cell) + 1, F.col("ny"))
+    ranks = placed.withColumns({"r0": low, "r1": high, "dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")}).where("r1 > r0")
+    ranks = ranks.withColumn("r", F.explode(F.sequence("r0", F.col("r1") - 1)))
+    ranks = ranks.withColumn("gy", F.col("y0") + (F.col("r") + 0.5) * cell)
+
+    def part(y: Column) -> Column:
+        """How far along the segment, from 0 to 1, it comes to that height; a level one is near everywhere."""
+        return F.least(F.greatest((y - F.col("ay")) / F.nullif(F.col("dy"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+
+    one, two = part(F.col("gy") - half), part(F.col("gy") + half)
+    level = F.abs("dy") < 1e-9
+    ranks = ranks.withColumns({"p": F.when(level, 0.0).otherwise(F.least(one, two)), "q": F.when(level, 1.0).otherwise(F.greatest(one, two))})
+    ranks = ranks.withColumns({"xp": F.col("ax") + F.col("p") * F.col("dx"), "xq": F.col("ax") + F.col("q") * F.col("dx")})
+    left = F.greatest(F.floor((F.least("xp", "xq") - half - F.col("x0")) / cell) - 1, F.lit(0))
+    right = F.least(F.ceil((F.greatest("xp", "xq") + half - F.col("x0")) / cell) + 1, F.col("nx"))
+    wide = ranks.withColumns({"c0": left, "c1": right}).where("c1 > c0").withColumn("c", F.explode(F.sequence("c0", F.col("c1") - 1)))
+    raw = wide.withColumn("gx", F.col("x0") + (F.col("c") + 0.5) * cell)
     raw = raw.withColumn("along", ((F.col("gx") - F.col("ax")) * F.col("dx") + (F.col("gy") - F.col("ay")) * F.col("dy")) / (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
     near = F.least(F.greatest(F.col("along"), F.lit(0.0)), F.lit(1.0))
     ex, ey = F.col("gx") - (F.col("ax") + near * F.col("dx")), F.col("gy") - (F.col("ay") + near * F.col("dy"))
@@ -73,22 +80,49 @@ def cells(touch: DataFrame) -> DataFrame:
     return touch.groupBy(*CELL).agg(F.count_if("fresh").cast("int").alias("passes"), F.min("track_ord").alias("first_track_ord"))
 
 
+def cell_units(hits: DataFrame) -> DataFrame:
+    """project_id, r, c, track_ord, load_no, pass_no, passes, opens_load, opens_track: each cell of each pass.
+
+    ``passes`` is how often the touches of that pass counted; the flags say whether the pass is the first
+    of its load, or of its track, in the cell. Along a track passes and loads only go up, so the touch
+    before tells. Hits move once, by cell, and all areas and counts follow from the result.
+    """
+    w = Window.partitionBy(*CELL).orderBy("track_ord", "i")
+    before = {c: F.lag(c).over(w) for c in ("t1", "track_ord", "load_no")}
+    marked = hits.withColumns({f"last_{c}": b for c, b in before.items()})
+    first = F.col("last_t1").isNull()
+    fresh = first | (F.col("t1") - F.col("last_t1") > F.col("gap_s"))
+    track = first | (F.col("last_track_ord") != F.col("track_ord"))
+    load = track | (F.col("last_load_no") != F.col("load_no"))
+    flags = {"fresh": fresh, "track": track, "load": load}
+    marked = marked.select(*CELL, "track_ord", "load_no", "pass_no", *(f.cast("int").alias(n) for n, f in flags.items()))
+    return marked.groupBy(*CELL, "track_ord", "load_no", "pass_no").agg(F.sum("fresh").cast("int").alias("passes"), F.max("load").alias("opens_load"), F.max("track").alias("opens_track"))
+
+
+def cells_of_units(units: DataFrame) -> DataFrame:
+    """As ``cells``, from ``cell_units``."""
+    return units.groupBy(*CELL).agg(F.sum("passes").cast("int").alias("passes"), F.min("track_ord").alias("first_track_ord"))
+
+
 def histogram(cell: DataFrame, grid: DataFrame) -> DataFrame:
     """project_id, passes, n_cells, area_m2."""
     counted = cell.groupBy("project_id", "passes").agg(F.count(F.lit(1)).alias("n_cells"))
-    return counted.join(F.broadcast(grid.select("project_id", "cell")), "project_id").select("project_id", "passes", "n_cells", (F.col("n_cells") * F.col("cell") * F.col("cell")).alias("area_m2"))
+    return counted.join(grid.select("project_id", "cell"), "project_id").select("project_id", "passes", "n_cells", (F.col("n_cells") * F.col("cell") * F.col("cell")).alias("area_m2"))
 
 
-def unit_areas(hits: DataFrame, grid: DataFrame) -> DataFrame:
-    """level (pass, load, track), track_ord, load_no, pass_no, area_m2: different cells of each unit.
+def unit_counts(units: DataFrame) -> DataFrame:
+    """project_id, track_ord, load_no, pass_no, n_pass, n_load, n_track: a row a pass, with the cells it adds to each unit."""
+    return units.groupBy("project_id", "track_ord", "load_no", "pass_no").agg(
+        F.count(F.lit(1)).alias("n_pass"), F.sum("opens_load").alias("n_load"), F.sum("opens_track").alias("n_track")
+    )
 
-    Cells are made distinct at the finest level once and rolled up from there.
-    """
-    fine = hits.groupBy("project_id", "track_ord", "load_no", "pass_no", "r", "c").agg(F.lit(1).alias("one")).drop("one")
-    size = F.broadcast(grid.select("project_id", (F.col("cell") * F.col("cell")).alias("m2")))
+
+def unit_areas(counts: DataFrame, grid: DataFrame) -> DataFrame:
+    """level (pass, load, track), track_ord, load_no, pass_no, area_m2: different cells of each unit, from ``unit_counts``."""
+    size = grid.select("project_id", (F.col("cell") * F.col("cell")).alias("m2"))
 
     def level(name: str, *unit: str) -> DataFrame:
-        rows = fine.select("project_id", *unit, "r", "c").distinct().groupBy("project_id", *unit).agg(F.count(F.lit(1)).alias("n_cells"))
+        rows = counts.groupBy("project_id", *unit).agg(F.sum(f"n_{name}").alias("n_cells"))
         blank = [F.col(c) if c in unit else F.lit(None).cast("int").alias(c) for c in ("track_ord", "load_no", "pass_no")]
         return rows.join(size, "project_id").select(F.lit(name).alias("level"), "project_id", *blank, (F.col("n_cells") * F.col("m2")).alias("area_m2"))
 
@@ -98,7 +132,7 @@ def unit_areas(hits: DataFrame, grid: DataFrame) -> DataFrame:
 def new_areas(cell: DataFrame, grid: DataFrame) -> DataFrame:
     """project_id, track_ord, new_area_m2: ground that no earlier track covered."""
     counted = cell.groupBy("project_id", F.col("first_track_ord").alias("track_ord")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(grid.select("project_id", "cell")), "project_id").select("project_id", "track_ord", (F.col("n") * F.col("cell") * F.col("cell")).alias("new_area_m2"))
+    return counted.join(grid.select("project_id", "cell"), "project_id").select("project_id", "track_ord", (F.col("n") * F.col("cell") * F.col("cell")).alias("new_area_m2"))
 
 
 def union_cells(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -109,13 +143,22 @@ def minus_cells(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*CELL), CELL, "left_anti")
 
 
+def usable_rings(rings: DataFrame) -> DataFrame:
+    """Rings of three points or more that are not all on one line."""
+    bent = F.expr(
+        "exists(sequence(1, greatest(1, size(points) - 2)), i -> coalesce((points[i].x - points[0].x) * (points[i + 1].y - points[0].y)"
+        " - (points[i].y - points[0].y) * (points[i + 1].x - points[0].x), 0) <> 0)"
+    )
+    return rings.where((F.size("points") >= 3) & bent)
+
+
 def polygon_cells(rings: DataFrame, grid: DataFrame) -> DataFrame:
     """Cells whose centre lies in a ring or on its edge.
 
     rings: project_id, ring_id, points (array of struct x, y). Only a ring's bounding box is made, and
     each cell is tested by even-odd crossing against the ring's edges.
     """
-    boxed = rings.where(F.size("points") >= 3).join(F.broadcast(grid), "project_id")
+    boxed = rings.where(F.size("points") >= 3).join(grid, "project_id")
     xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
 
     def edge(low: Column, origin: str, n: str, side: int) -> Column:

@@ -114,7 +114,7 @@ def infer_field(cells: DataFrame, grid: DataFrame, settings: Settings, holes: bo
         r, c = np.nonzero((fill_holes(closed) if holes else closed) | covered)
         return pd.DataFrame({"project_id": key[0], "r": r + r0, "c": c + c0})
 
-    sized = cells.select("project_id", "r", "c").join(F.broadcast(grid.select("project_id", "cell", "nx", "ny")), "project_id")
+    sized = cells.select("project_id", "r", "c").join(grid.select("project_id", "cell", "nx", "ny"), "project_id")
     return sized.groupBy("project_id").applyInPandas(run, "project_id long, r long, c long")
 
 
@@ -141,7 +141,7 @@ def patches(missed: DataFrame, grid: DataFrame, settings: Settings) -> DataFrame
         r, c = np.nonzero(patch)
         return pd.DataFrame({"project_id": key[0], "r": r + r0, "c": c + c0, "patch": patch[r, c], "d2": squared_distance(patch > 0)[r, c]})
 
-    sized = missed.select("project_id", "r", "c").join(F.broadcast(grid.select("project_id", "cell")), "project_id")
+    sized = missed.select("project_id", "r", "c").join(grid.select("project_id", "cell"), "project_id")
     return sized.groupBy("project_id").applyInPandas(run, "project_id long, r long, c long, patch int, d2 long")
 
 
@@ -149,7 +149,7 @@ def patch_summaries(patch: DataFrame, grid: DataFrame) -> DataFrame:
     """project_id, patch, n_cells, area_m2, x, y (centroid, plane metres), max_width_m."""
     each = patch.groupBy("project_id", "patch").agg(F.count(F.lit(1)).alias("n_cells"), F.avg("r").alias("r"), F.avg("c").alias("c"), F.max("d2").alias("d2"))
     cell = F.col("cell")
-    return each.join(F.broadcast(grid), "project_id").select(
+    return each.join(grid, "project_id").select(
         "project_id", "patch", "n_cells", (F.col("n_cells") * cell * cell).alias("area_m2"), (F.col("x0") + (F.col("c") + 0.5) * cell).alias("x"),
         (F.col("y0") + (F.col("r") + 0.5) * cell).alias("y"), (2 * F.sqrt(F.col("d2").cast("double")) * cell).alias("max_width_m"),
     )
@@ -226,5 +226,5 @@ def outlines(patch: DataFrame, grid: DataFrame, most: int = MOST_PATCHES) -> Dat
             ring = simplify(np.array(trace(r, c), float), 0.75)
         return pd.DataFrame({"project_id": [key[0]], "patch": [key[1]], "ring": [[[x0 + x * cell, y0 + y * cell] for x, y in ring.tolist()]]})
 
-    sized = patch.where(F.col("patch") <= most).join(F.broadcast(grid.select("project_id", "cell", "x0", "y0")), "project_id")
+    sized = patch.where(F.col("patch") <= most).join(grid.select("project_id", "cell", "x0", "y0"), "project_id")
     return sized.groupBy("project_id", "patch").applyInPandas(run, "project_id long, patch int, ring array<array<double>>")

@@ -64,7 +64,7 @@ def usable_tracks(fixes: DataFrame, least: int = 2) -> DataFrame:
 def thinned(fixes: DataFrame, limit: int, order: str = "n") -> DataFrame:
     """Every k-th position, so that a project's tracks share about ``limit`` of them."""
     tracks = fixes.groupBy("project_id").agg(F.count_distinct("track_id").alias("__m"))
-    sized = fixes.join(F.broadcast(tracks), "project_id").withColumn("__n", F.count(F.lit(1)).over(along()))
+    sized = fixes.join(tracks, "project_id").withColumn("__n", F.count(F.lit(1)).over(along()))
     step = F.greatest(F.lit(1), F.expr(f"__n div greatest(1, {limit} div greatest(1, __m))"))
     return sized.withColumn("__i", F.row_number().over(along().orderBy(order)) - 1).where(F.col("__i") % step == 0).drop("__m", "__n", "__i")
 

@@ -43,7 +43,7 @@ def overlays(classes: DataFrame, grid: DataFrame) -> DataFrame:
         picture[ny - 1 - part["r"].to_numpy(), part["c"].to_numpy()] = np.array(COLOURS, np.uint8)[part["class"].to_numpy()]
         return pd.DataFrame({"project_id": [key[0]], "width": [nx], "height": [ny], "png": [png(picture)]})
 
-    sized = classes.join(F.broadcast(grid.select("project_id", "nx", "ny")), "project_id")
+    sized = classes.join(grid.select("project_id", "nx", "ny"), "project_id")
     return sized.groupBy("project_id").applyInPandas(run, "project_id long, width int, height int, png binary")
 
 
@@ -64,24 +64,29 @@ def collection(features: DataFrame, properties: Column | None = None) -> DataFra
 
 
 def report(s: dict, loads: list[dict], tracks: list[dict], gaps: list[dict], warnings: list[str], tank_l: float) -> str:
-    """A project's text report from its summary and short lists."""
-    ha = lambda k: f"{s[k]:8.3f} ha"
-    out = [
-        f"Track:            {s['track']}", f"Points:           {s['points_used']} used of {s['points_raw']}", "", "COVERAGE",
-        f"  Field area:     {ha('field_area_ha')}", f"  Sprayed:        {ha('sprayed_area_ha')}  ({s['coverage_pct']:.1f}% of field)",
-        f"  Missed:         {ha('gap_area_ha')}  ({s['gap_pct']:.1f}%, {s['gap_patches']} patches)",
-        f"  Overlapped 2x+: {ha('overlap_area_ha')}  ({s['overlap_pct']:.1f}% of sprayed)", f"  Overlapped 3x+: {ha('heavy_overlap_area_ha')}", f"  Mean passes:    {s['mean_passes']:8.2f}",
-        "", "PRODUCT", f"  Tank capacity:  {tank_l:8.0f} L", f"  Tank loads:     {s['tank_loads']:8d}  ({s['refills']} refill{'s' if s['refills'] != 1 else ''})",
-        f"  Total volume:   {s['total_volume_l']:8.0f} L", f"  Overall rate:   {s['overall_rate_l_per_ha']:8.1f} L/ha",
-    ]
-    if loads:
-        out += ["", "  Per tank load:"]
-        out += [f"    #{x['load_no'] + 1}  {x['area_m2'] / 1e4:6.3f} ha  {x['volume_l']:6.0f} L  {x['rate_l_per_ha']:6.1f} L/ha" + ("" if x["is_complete"] else "  (partial - run ended before refill)") for x in loads]
-    if len(tracks) > 1:
-        out += ["", "PER SESSION", "    session                 own      new    again"]
-        out += [f"    {x['name'][:20]:<20} {x['area_m2']:8.0f} {x['new_area_m2']:8.0f} {x['repeat_area_m2']:8.0f}  m^2" for x in tracks]
-    if gaps:
-        out += ["", "LARGEST MISSED PATCHES"]
-        out += [f"  {i:2d}. {x['area_m2']:8.0f} m^2   up to {x['max_width_m']:5.1f} m wide   {x['lat']:.6f}, {x['lon']:.6f}" for i, x in enumerate(gaps[:10], 1)]
-    out += ["", "WORK", f"  Spraying runs:  {s['spraying_runs']:8d}", f"  Spraying time:  {s['spraying_time_s'] / 3600:8.2f} h", f"  Distance:       {s['total_distance_m'] / 1000:8.2f} km ({s['transport_distance_m'] / 1000:.2f} km transport)"]
-    return "\n".join(out + (["", "WARNINGS", *(f"  - {w}" for w in warnings)] if warnings else []))
+    """A project's report as Markdown: tables of key figures, loads, tracks and missed patches, then remarks."""
+
+    def table(head: list[str], rows: list[list]) -> list[str]:
+        return ["| " + " | ".join(map(str, row)) + " |" for row in (head, ["-"] * len(head), *rows)] if rows else []
+
+    def part(title: str, lines: list[str]) -> list[str]:
+        return ["", f"## {title}", "", *lines] if lines else []
+
+    figures = [
+        ["plot", f"{s['field_area_ha']:.4f} ha", ""],
+        ["treated", f"{s['sprayed_area_ha']:.4f} ha", f"{s['coverage_pct']:.2f} % of the plot, {s['mean_passes']:.3f} passes on average"],
+        ["left out", f"{s['gap_area_ha']:.4f} ha", f"{s['gap_pct']:.2f} % of the plot, in {s['gap_patches']} places"],
+        ["treated twice or more", f"{s['overlap_area_ha']:.4f} ha", f"{s['overlap_pct']:.2f} % of what was treated"],
+        ["treated three times or more", f"{s['heavy_overlap_area_ha']:.4f} ha", ""],
+        ["product", f"{s['total_volume_l']:.1f} L", f"{s['tank_loads']} loads of {tank_l:g} L, {s['refills']} refilled on the way"],
+        ["dose", f"{s['overall_rate_l_per_ha']:.2f} L/ha", ""],
+        ["work", f"{s['spraying_time_s'] / 60:.1f} min", f"{s['spraying_runs']} passes"],
+        ["way", f"{s['total_distance_m']:.0f} m", f"{s['transport_distance_m']:.0f} m of it between places"],
+        ["positions", s["points_used"], f"of {s['points_raw']} in the log"],
+    ]
+    out = [f"# {s['track']}", "", *table(["figure", "value", "detail"], figures)]
+    out += part("Loads", table(["load", "m2", "L", "L/ha", "tank emptied"], [[x["load_no"] + 1, f"{x['area_m2']:.1f}", f"{x['volume_l']:.1f}", f"{x['rate_l_per_ha']:.2f}", "yes" if x["is_complete"] else "no"] for x in loads]))
+    own = [[x["name"], f"{x['area_m2']:.1f}", f"{x['new_area_m2']:.1f}", f"{x['repeat_area_m2']:.1f}", f"{x['volume_l']:.1f}"] for x in tracks] if len(tracks) > 1 else []
+    out += part("Tracks", table(["track", "m2", "first here", "treated before", "L"], own))
+    out += part("Places left out", table(["m2", "widest m", "lat", "lon"], [[f"{x['area_m2']:.1f}", f"{x['max_width_m']:.2f}", f"{x['lat']:.7f}", f"{x['lon']:.7f}"] for x in gaps[:10]]))
+    return "\n".join(out + part("Remarks", [f"* {w}" for w in warnings]))

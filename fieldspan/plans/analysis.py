@@ -1,4 +1,7 @@
-"""One analysis of any number of projects, as lazy tables that build on each other.
+"""One analysis of any number of projects, as tables that build on each other.
+
+Tables are lazy; those that several others read are staged as Parquet when the first of these is asked
+for, so that no plan holds the same steps twice and each step runs once.
 
 fixes: project_id, track_id, track_name, input_ord, t, lat, lon, accuracy_m (other columns are ignored)
 rings: project_id, ring_id, points (array of lon, lat), or None to infer the plot from what was covered
@@ -15,26 +18,32 @@ from fieldspan.functions import geo
 from fieldspan.model import MOST_PATCHES, SILENT, Base, Settings
 from fieldspan.operators import coverage, kernels, metrics, motion, sinks
 from fieldspan.operators.motion import TRACK
+from fieldspan.staging import staged, unstage
 
-#: Tables that several others read; ``keep`` persists them.
-SHARED = ("positions", "segments", "grid", "load_hits", "cells", "patches")
+#: Tables that several others read; ``keep`` stages them all.
+SHARED = ("fixes", "positions", "segments", "work", "loads", "grid", "cell_units", "cells", "unit_counts", "patches")
 
 
 class Analysis:
     def __init__(self, fixes: DataFrame, settings: Settings | None = None, base: Base | None = None, rings: DataFrame | None = None) -> None:
         self.raw, self.settings, self.base, self.given_rings = fixes, settings or Settings(), base, rings
-        self._kept: list[DataFrame] = []
+        self._staged: dict[str, DataFrame] = {}
+
+    def _stage(self, *names: str) -> None:
+        """Stage these tables, in this order, unless that has been done."""
+        for name in names:
+            if name not in self._staged:
+                self._staged[name] = self.__dict__[name] = staged(getattr(self, name))
 
     def keep(self) -> Analysis:
-        """Persist the shared tables, to memory and disk; ``release`` frees them."""
-        for name in SHARED:
-            self.__dict__[name] = getattr(self, name).persist()
-            self._kept.append(self.__dict__[name])
+        """Stage the shared tables; ``release`` deletes them."""
+        self._stage(*SHARED)
         return self
 
     def release(self) -> None:
-        for df in self._kept:
-            df.unpersist()
+        """Delete what was staged. Tables of this analysis can't be read afterwards."""
+        unstage(*self._staged.values())
+        self._staged.clear()
 
     @cached_property
     def fixes(self) -> DataFrame:
@@ -82,6 +91,7 @@ class Analysis:
 
     @cached_property
     def passes(self) -> DataFrame:
+        self._stage("work")
         return motion.passes(self.work)
 
     @cached_property
@@ -112,7 +122,8 @@ class Analysis:
 
     @cached_property
     def gaps_s(self) -> DataFrame:
-        return motion.reentry_gap(self.segments, self.settings)
+        self._stage("work")
+        return motion.reentry_gap(self.work, self.settings)
 
     @cached_property
     def ring_points(self) -> DataFrame | None:
@@ -124,8 +135,16 @@ class Analysis:
         rings = spots.groupBy("project_id", "ring_id").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("q"))
         return rings.select("project_id", "ring_id", F.transform("q", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
 
+    @cached_property
+    def bounded(self) -> DataFrame | None:
+        """project_id of the projects with a usable ring: three points or more that are not on one line."""
+        if self.ring_points is None:
+            return None
+        return coverage.usable_rings(self.ring_points).select("project_id").distinct()
+
     @cached_property
     def grid(self) -> DataFrame:
+        self._stage("work")
         extent = coverage.extents(self.work)
         if self.ring_points is not None:
             spots = self.ring_points.select("project_id", F.explode("points").alias("p"))
@@ -142,30 +161,46 @@ class Analysis:
     @cached_property
     def hits(self) -> DataFrame:
         """Touched cells with track_ord; only what counting needs."""
+        self._stage("work")
         return self._stamped(self.work)
 
     @cached_property
     def load_hits(self) -> DataFrame:
+        self._stage("work")
         loads = self.pass_loads.select(*TRACK, "pass_no", "load_no")
         return self._stamped(self.work.join(loads, [*TRACK, "pass_no"]), "load_no")
 
     @cached_property
     def touches(self) -> DataFrame:
-        return coverage.touches(self.__dict__.get("load_hits", self.hits))
+        return coverage.touches(self.hits)
+
+    @cached_property
+    def cell_units(self) -> DataFrame:
+        return coverage.cell_units(self.load_hits)
 
     @cached_property
     def cells(self) -> DataFrame:
-        return coverage.cells(self.touches)
+        return coverage.cells_of_units(self.cell_units) if "cell_units" in self._staged else coverage.cells(self.touches)
+
+    @cached_property
+    def unit_counts(self) -> DataFrame:
+        return coverage.unit_counts(self.cell_units)
 
     @cached_property
     def boundary(self) -> DataFrame | None:
-        return None if self.ring_points is None else coverage.polygon_cells(self.ring_points, self.grid)
+        if self.ring_points is None:
+            return None
+        return coverage.polygon_cells(coverage.usable_rings(self.ring_points), self.grid)
 
     @cached_property
     def field(self) -> DataFrame:
+        """project_id, r, c: the boundary's cells and the covered ones, or in projects without a usable ring the inferred plot."""
+        self._stage("cells")
         if self.boundary is None:
             return kernels.infer_field(self.cells, self.grid, self.settings)
-        return coverage.union_cells(self.boundary, self.cells)
+        free = self.cells.join(self.bounded, "project_id", "left_anti")
+        inside = coverage.union_cells(self.boundary, self.cells.join(self.bounded, "project_id", "left_semi"))
+        return inside.union(kernels.infer_field(free, self.grid, self.settings))
 
     @cached_property
     def missed(self) -> DataFrame:
@@ -178,12 +213,14 @@ class Analysis:
     @cached_property
     def gaps(self) -> DataFrame:
         """The listed patches, largest first: project_id, patch, n_cells, area_m2, lat, lon, max_width_m."""
+        self._stage("patches")
         found = kernels.patch_summaries(self.patches.where(F.col("patch") <= MOST_PATCHES), self.grid)
         return self.located(found).drop("x", "y")
 
     @cached_property
     def outlines(self) -> DataFrame:
         """project_id, patch, ring: closed rings of lon, lat with 7 decimals."""
+        self._stage("patches")
         rings = kernels.outlines(self.patches, self.grid).select("project_id", "patch", F.posexplode("ring").alias("i", "p"))
         spots = self.located(rings.select("project_id", "patch", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")))
         each = spots.groupBy("project_id", "patch").agg(F.sort_array(F.collect_list(F.struct("i", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat")))).alias("q"))
@@ -191,11 +228,13 @@ class Analysis:
 
     @cached_property
     def stats(self) -> DataFrame:
+        self._stage("cells", "patches")
         return metrics.coverage_stats(self.field, self.cells, self.patches, self.grid)
 
     @cached_property
     def unit_areas(self) -> DataFrame:
-        return coverage.unit_areas(self.load_hits, self.grid)
+        self._stage("unit_counts")
+        return coverage.unit_areas(self.unit_counts, self.grid)
 
     @cached_property
     def volumes(self) -> DataFrame:
@@ -204,11 +243,13 @@ class Analysis:
 
     @cached_property
     def tracks(self) -> DataFrame:
+        self._stage("cell_units", "cells")
         return metrics.track_summaries(self.unit_areas, coverage.new_areas(self.cells, self.grid), self.order, self.segments, self.volumes)
 
     @cached_property
     def summary(self) -> DataFrame:
         """One unrounded row a project; a project without a pass has zeros and its first track's name."""
+        self.keep()
         named = "track_name" in self.fixes.columns
         counts = self.patches.where(F.col("patch") <= MOST_PATCHES).groupBy("project_id").agg(F.count_distinct("patch").alias("gap_patches"))
         done = metrics.summary(self.stats, self.volumes, metrics.worked_times(self.segments, self.passes), metrics.extents_in_time(self.fixes, self.positions, self.passes, named), self.passes, counts)
@@ -238,6 +279,7 @@ class Analysis:
 
     @cached_property
     def overlays(self) -> DataFrame:
+        self._stage("cells", "patches")
         return sinks.overlays(coverage.overlay_classes(self.cells, self.patches), self.grid)
 
     @cached_property
@@ -251,6 +293,7 @@ class Analysis:
     @cached_property
     def warnings(self) -> DataFrame:
         """project_id, rank, code, text: in the order in which they are shown; a project's tracks come first."""
+        self.keep()
         s = self.settings
         several = self.fixes.groupBy("project_id").agg((F.count_distinct("track_id") > 1).alias("several"))
         name = F.col("track_name") if "track_name" in self.fixes.columns else F.concat(F.lit("track "), F.col("track_id").cast("string"))
@@ -272,7 +315,6 @@ class Analysis:
         density = metrics.fix_density(self.segments, s).where("sparse")
         silent = self.segments.where(F.col("state") == SILENT).groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n"), F.sum("dist_m").alias("m"))
         lost = self.fixes.select(*TRACK).distinct().join(self.positions.select(*TRACK).distinct(), TRACK, "left_anti")
-        projects = self.passes.select("project_id").distinct()
         parts = [
             of_track(poor.where("bad = all"), 1, "W1", F.lit("every position is inaccurate; all were kept")),
             of_track(poor.where("bad < all"), 2, "W2", F.format_string("%d positions were dropped as inaccurate", "bad")),
@@ -283,17 +325,22 @@ class Analysis:
             of_track(lost, 7, "W7", F.lit("too few usable positions")),
             of_project(self.grid.where("coarsened"), 1, "W8", F.format_string("the grid was coarsened to %.2f m", F.col("cell"))),
         ]
+        projects = self.order.select("project_id").distinct()
+        unbounded = projects
         if self.boundary is not None:
-            out = count(coverage.minus_cells(self.cells, self.boundary), "out", "project_id").join(count(self.cells, "all", "project_id"), "project_id")
+            own = self.cells.join(self.bounded, "project_id", "left_semi")
+            out = count(coverage.minus_cells(own, self.boundary), "out", "project_id").join(count(own, "all", "project_id"), "project_id")
             parts.append(of_project(out.where(100 * F.col("out") / F.col("all") > 2), 2, "W9", F.format_string("%.1f%% was sprayed outside the boundary", 100 * F.col("out") / F.col("all"))))
+            unbounded = projects.join(self.bounded, "project_id", "left_anti")
+            useless = unbounded.join(self.given_rings.select("project_id").distinct(), "project_id", "left_semi")
+            parts.append(of_project(useless, 2, "W10", F.lit("the boundary has no usable ring; the plot was inferred instead")))
         complete = self.loads.groupBy("project_id").agg(F.max(F.col("is_complete").cast("int")).alias("any")).where("any = 0")
         parts.append(of_project(complete, 3, "W11", F.lit("no load was finished, so each counts as a full tank")))
         if self.base is None:
             parts.append(of_project(projects, 4, "W12", F.lit("no base is set, so refills cannot be found")))
         else:
             parts.append(of_project(projects.join(self.visits.select("project_id").distinct(), "project_id", "left_anti"), 4, "W13", F.lit("the base was never stayed at")))
-        if self.boundary is None:
-            parts.append(of_project(projects, 5, "W14", F.lit("no boundary is set; the plot was inferred, so missed edges do not show")))
+        parts.append(of_project(unbounded, 5, "W14", F.lit("no boundary is set; the plot was inferred, so missed edges do not show")))
         idle = self.positions.select("project_id").distinct().join(projects, "project_id", "left_anti")
         parts.append(of_project(idle, 6, "W15", F.lit("nothing was sprayed")))
         return reduce(DataFrame.union, parts)

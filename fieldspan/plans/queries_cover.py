@@ -38,7 +38,7 @@ def _(spark, d):
 @query("o59_gap_rank", over("SELECT project_id, load_no, CAST(row_number() OVER (PARTITION BY project_id ORDER BY area_m2 DESC, load_no) AS INT) AS rank FROM ld", "ld"))
 def _(spark, d):
     t = Tables(spark, d)
-    areas = coverage.unit_areas(t.load_hits, t.grid).where("level = 'load'")
+    areas = t.unit_areas.where("level = 'load'")
     return areas.select("project_id", "load_no", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("area_m2"), "load_no")).alias("rank"))
 
 
@@ -54,14 +54,14 @@ def _(spark, d):
 
 @query("o71_coverage_stats", over("SELECT project_id, field_area_m2, sprayed_area_m2, gap_area_m2, overlap_area_m2, heavy_overlap_area_m2, round(mean_passes, 9) AS mean_passes FROM sta", "sta"))
 def _(spark, d):
-    t = Tables(spark, d).keep()
+    t = Tables(spark, d)
     return t.stats.withColumn("mean_passes", F.round("mean_passes", 9))
 
 
 @query("o37_percentages", over("""SELECT project_id, round(CASE WHEN field_area_m2 > 0 THEN 100*sprayed_area_m2/field_area_m2 ELSE 0 END, 6) AS coverage_pct,
   round(CASE WHEN field_area_m2 > 0 THEN 100*gap_area_m2/field_area_m2 ELSE 0 END, 6) AS gap_pct, round(CASE WHEN sprayed_area_m2 > 0 THEN 100*overlap_area_m2/sprayed_area_m2 ELSE 0 END, 6) AS overlap_pct FROM sta""", "sta"))
 def _(spark, d):
-    t = Tables(spark, d).keep()
+    t = Tables(spark, d)
     return metrics.percentages(t.stats).select("project_id", r6("coverage_pct"), r6("gap_pct"), r6("overlap_pct"))
 
 
@@ -154,8 +154,8 @@ _TRACKS = """SELECT hit_t.project_id, hit_t.track_id, track_ord, area_m2, coales
 
 @query("d13_track_summaries", over(_TRACKS, "hit", "cel", "gd"))
 def _(spark, d):
-    t = Tables(spark, d).keep()
-    rows = metrics.track_summaries(coverage.unit_areas(t.load_hits, t.grid), coverage.new_areas(t.cells, t.grid), t.order, t.segments, t.volumes)
+    t = Tables(spark, d)
+    rows = metrics.track_summaries(t.unit_areas, coverage.new_areas(t.cells, t.grid), t.order, t.segments, t.volumes)
     return rows.select("project_id", "track_id", "track_ord", "area_m2", "new_area_m2", "repeat_area_m2")
 
 
@@ -173,7 +173,7 @@ FROM sta JOIN (SELECT project_id, count(*) AS tank_loads, sum(volume_l) AS l FRO
 
 @query("o72_summary", over(_SUM, "sta", "vo", "ps"))
 def _(spark, d):
-    s = summary_of(Tables(spark, d).keep())
+    s = summary_of(Tables(spark, d))
     return s.select("project_id", *(r6(c) for c in ("field_area_ha", "sprayed_area_ha", "gap_area_ha", "overlap_area_ha", "heavy_overlap_area_ha")), "tank_loads", "refills", r6("total_volume_l", 4), "spraying_runs")
 
 
@@ -181,5 +181,5 @@ def _(spark, d):
   {{'sensor': 'area_sprayed', 'unit': 'ha', 'value': sprayed_area_ha::DOUBLE}}, {{'sensor': 'refills', 'unit': '', 'value': refills::DOUBLE}},
   {{'sensor': 'tank_loads', 'unit': '', 'value': tank_loads::DOUBLE}}, {{'sensor': 'missed_area', 'unit': 'ha', 'value': gap_area_ha::DOUBLE}}], recursive := true) FROM ({_SUM}))""", "sta", "vo", "ps"))
 def _(spark, d):
-    rows = metrics.sensors(summary_of(Tables(spark, d).keep()))
+    rows = metrics.sensors(summary_of(Tables(spark, d)))
     return rows.where(F.col("sensor").isin("area_sprayed", "refills", "tank_loads", "missed_area")).select("project_id", "sensor", "unit", r6("value"))

@@ -40,6 +40,7 @@ class Tables(Analysis):
 
     @cached_property
     def grid(self) -> DataFrame:
+        self._stage("work")
         return coverage.grids(coverage.extents(self.work), self.settings)
 
     @cached_property
@@ -48,6 +49,11 @@ class Tables(Analysis):
         each = [self.grid.select("project_id", F.lit(k).alias("ring_id"), p.alias("points")) for k, p in points.items()]
         return each[0].union(each[1])
 
+    @cached_property
+    def bounded(self) -> DataFrame:
+        return self.ring_points.select("project_id").distinct()
+
     @cached_property
     def stats(self) -> DataFrame:
+        self._stage("cells")
         return metrics.coverage_stats(self.field, self.cells, self.missed, self.grid)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspan.functions import geo
@@ -24,42 +26,56 @@ def straight_pass(spark: SparkSession, length_m: float = 25.0, speed_kmh: float
     return _on_earth(walk, lat0, lon0)
 
 
-def legs(lanes: int = 24, length_m: float = 40.0, swath_m: float = 1.0, offset_m: float = 12.0, per_load: int = 8, skip: tuple[int, ...] = (13,), shift: dict[int, float] | None = None, refill_s: float = 150.0, work_kmh: float = 2.5, walk_kmh: float = 5.0, turn_kmh: float = 1.2) -> list[tuple]:
-    """The walk as legs (kind, x, y, speed or seconds): a short list, whatever the number of positions."""
-    shift = {5: -0.4} if shift is None else shift
-    out: list[tuple] = [("stay", 0.0, 0.0, 90.0)]
-    done = 0
-    for lane in range(lanes):
-        if lane in skip:
-            continue
-        x = offset_m + swath_m * (lane + 0.5) + shift.get(lane, 0.0)
-        low, high = (0.0, length_m) if done % 2 == 0 else (length_m, 0.0)
-        if done and done % per_load == 0:
-            out += [("go", 0.0, 0.0, walk_kmh), ("stay", 0.0, 0.0, refill_s), ("go", x, low, walk_kmh)]
-        else:
-            out.append(("go", x, low, turn_kmh if done else walk_kmh))
-        out.append(("go", x, high, work_kmh))
-        done += 1
-    return [*out, ("go", 0.0, 0.0, walk_kmh), ("stay", 0.0, 0.0, 90.0)]
+def lane_table(spark: SparkSession, lanes: int, length_m: float, swath_m: float, offset_m: float, per_load: int, skip: tuple[int, ...], shift: dict[int, float]) -> DataFrame:
+    """A row a worked lane: trip (from 0), x, near and far (y where it is entered and left), last_x, refill (the tank is empty before it)."""
+    lane, moved = F.col("id"), F.lit(0.0)
+    for k, by in shift.items():
+        moved = F.when(F.col("id") == k, F.lit(float(by))).otherwise(moved)
+    gone = reduce(Column.__add__, ((lane > k).cast("int") for k in skip), F.lit(0))
+    worked = spark.range(lanes).where(~lane.isin(*skip) if skip else F.lit(True))
+    placed = worked.select((lane - gone).alias("trip"), (F.lit(offset_m) + F.lit(swath_m) * (lane + 0.5) + moved).alias("x"))
+    far = F.lit(float(length_m)) * (1 - F.col("trip") % 2)  # even trips go up, odd ones down
+    order = Window.orderBy("trip")  # one row a lane
+    return placed.select("trip", "x", (F.lit(float(length_m)) - far).alias("near"), far.alias("far"), F.lag("x", 1, 0.0).over(order).alias("last_x"), ((F.col("trip") > 0) & (F.col("trip") % per_load == 0)).alias("refill"))
+
+
+def legs(spark: SparkSession, lanes: int = 24, length_m: float = 40.0, swath_m: float = 1.0, offset_m: float = 12.0, per_load: int = 8, skip: tuple[int, ...] = (13,), shift: dict[int, float] | None = None, refill_s: float = 150.0, work_kmh: float = 2.5, walk_kmh: float = 5.0, turn_kmh: float = 1.2) -> DataFrame:
+    """k, ax, ay, bx, by, t, s, still: the walk's legs in order, when each begins and how long it takes.
+
+    Each lane's legs are columns of its row: home and a stay before a lane with a fresh tank, the way to
+    its near end, the lane itself. A stay of 90 s at home opens and closes the walk.
+    """
+    table = lane_table(spark, lanes, length_m, swath_m, offset_m, per_load, skip, {5: -0.4} if shift is None else shift)
+    zero, x, near, far = F.lit(0.0), F.col("x"), F.col("near"), F.col("far")
+    first, fresh = F.col("trip") == 0, F.col("refill") | (F.col("trip") == 0)
+
+    def leg(part: int, ax: Column, ay: Column, bx: Column, by: Column, kmh: Column, stay: Column | None = None) -> Column:
+        way = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+        return F.struct(F.lit(part).alias("part"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), (way / (kmh / 3.6) if stay is None else stay).alias("s"), F.lit(stay is not None).alias("still"))
+
+    walking, last_x = F.lit(float(walk_kmh)), F.col("last_x")
+    home = [leg(1, last_x, near, zero, zero, walking), leg(2, zero, zero, zero, zero, walking, F.lit(float(refill_s)))]
+    to_x, to_y = F.when(fresh, zero).otherwise(last_x), F.when(fresh, zero).otherwise(near)
+    enter = leg(3, to_x, to_y, x, near, F.when(fresh, walking).otherwise(F.lit(float(turn_kmh))))
+    along = leg(4, x, near, x, far, F.lit(float(work_kmh)))
+    rest = F.lit(90.0)
+    opening = F.when(first, F.array(leg(0, zero, zero, zero, zero, walking, rest))).otherwise(F.slice(F.array(along), 1, 0))
+    closing = F.when(F.col("trip") == lanes - sum(0 <= k < lanes for k in set(skip)) - 1, F.array(leg(5, x, far, zero, zero, walking), leg(6, zero, zero, zero, zero, walking, rest))).otherwise(F.slice(F.array(along), 1, 0))
+    refills = F.when(F.col("refill"), F.array(*home)).otherwise(F.slice(F.array(along), 1, 0))
+    each = table.select("trip", F.explode(F.concat(opening, refills, F.array(enter, along), closing)).alias("leg")).select("trip", "leg.*").where("s > 0")
+    order = Window.orderBy("trip", "part")  # a few rows a lane
+    begun = F.coalesce(F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    return each.select((F.row_number().over(order) - 1).alias("k"), "ax", "ay", "bx", "by", begun.alias("t"), "s", "still")
 
 
 def walk(spark: SparkSession, interval_s: float = 2.0, noise_m: float = 0.0, seed: int = 7, t0: float = PLOT_T, lat0: float = PLOT_LAT, lon0: float = PLOT_LON, **plot) -> DataFrame:
     """n, t, x, y, lat, lon, accuracy_m: back and forth over the plot with refills at (0, 0)."""
-    rows, px, py, t = [], 0.0, 0.0, 0.0
-    for k, (kind, x, y, v) in enumerate(legs(**plot)):
-        distance = ((x - px) ** 2 + (y - py) ** 2) ** 0.5
-        seconds = v if kind == "stay" else distance / (v / 3.6)
-        n = max(1, round(seconds / interval_s))
-        if distance > 1e-9 or kind == "stay":
-            rows.append((k, kind, px, py, x, y, t, seconds, n))
-            t += seconds
-        px, py = x, y
-    table = spark.createDataFrame(rows, "k int, kind string, ax double, ay double, bx double, by double, t double, s double, n int")
+    table = legs(spark, **plot).withColumn("n", F.greatest(F.lit(1), F.round(F.col("s") / interval_s)).cast("int"))
     share = (F.col("j") / F.col("n")).alias("share")
     each = table.withColumn("j", F.explode(F.sequence(F.when(F.col("k") == 0, 0).otherwise(1), "n"))).withColumn("share", share)
 
     def jitter(c: int):
-        wide = F.when(F.col("kind") == "stay", 0.6).otherwise(0.0)
+        wide = F.when(F.col("still"), 0.6).otherwise(0.0)
         # Box-Muller on hashes: the same for a position however the rows are dealt.
         u, v = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(c), F.lit(i), "k", "j"), 11) * F.lit(2.0**-53) for i in (0, 1))
         return (wide + F.lit(float(noise_m))) * F.sqrt(-2 * F.log(u + F.lit(1e-300))) * F.cos(2 * F.lit(3.141592653589793) * v)

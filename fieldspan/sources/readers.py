@@ -22,7 +22,6 @@ ALIASES = {
 }
 #: Separators that are tried, metres of accuracy per unit of dilution of precision.
 SEPARATORS, METRES_PER_DOP = (",", ";", "\t", "|"), 5.0
-WIDEST = 32
 COLUMNS = ["path", "track_name", "source", "input_ord", "t", "lat", "lon", "accuracy_m", "speed_ms"]
 
 
@@ -76,27 +75,29 @@ def matched(header: Column, key: str) -> Column:
     return F.coalesce(*(F.nullif(F.array_position(header, a), F.lit(0)) for a in ALIASES[key])) - 1
 
 
+def _cells(line: Column, sep: Column) -> Column:
+    """The cells of a line, of any number: quotes may hold separators, line breaks and doubled quotes."""
+    pattern = F.concat(F.lit("["), sep, F.lit(r"""]((?:[^"""), F.lit('"'), sep, F.lit(r"""]++|"[^"]*+"|")*+)"""))
+    raw = F.regexp_extract_all(F.concat(sep, line), pattern, F.lit(1))
+    bare = lambda x: F.when(x.rlike(r'(?s)^".*"$') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(raw, lambda x: bare(F.trim(x)))
+
+
 def csv(files_: DataFrame) -> DataFrame:
-    """Separated values with a header; the separator is the one that the header holds most of."""
-    lines = files_.select("path", F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines")).where(F.size("lines") > 1)
+    """Separated values with a header; the separator is the one that the header holds most of.
+
+    Lines may have any number of cells, and quoted cells may span lines. Lines without the header's
+    cells, or with a position that is no number, are skipped; so is a file without a position's columns.
+    """
+    line = F.lit(r"""(?:[^"\r\n]++|"[^"]*+"|")++""")
+    lines = files_.select("path", F.filter(F.regexp_extract_all("content", line, F.lit(0)), lambda x: F.trim(x) != "").alias("lines")).where(F.size("lines") > 1)
     head = F.get("lines", F.lit(0))
     counts = [F.struct(F.length(head) - F.length(F.replace(head, F.lit(s), F.lit(""))), F.lit(-i), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)]
     lines = lines.select("path", "lines", F.greatest(*counts)["sep"].alias("sep"))
-    schema = ", ".join(f"c{i} string" for i in range(WIDEST))
-    read = None
-    for s in SEPARATORS:
-        own = lines.where(F.col("sep") == s)
-
-        def parsed(line: str, s: str = s) -> Column:
-            return F.from_csv(line, schema, {"sep": s, "mode": "PERMISSIVE"})
-
-        # The structs are columns of their own, so that a line is parsed once and not once a cell.
-        cells = lambda c: F.array(*(F.col(f"{c}.c{i}") for i in range(WIDEST)))
-        own = own.select("path", F.slice("lines", 2, F.size("lines")).alias("rest"), parsed(F.get("lines", F.lit(0))).alias("h"))
-        own = own.select("path", "rest", F.transform(cells("h"), lambda x: _normal(F.coalesce(x, F.lit("")))).alias("header"))
-        own = own.select("path", *(matched(F.col("header"), k).cast("int").alias(k) for k in ALIASES), F.posexplode("rest").alias("input_ord", "line"))
-        own = own.select("path", "input_ord", *ALIASES, parsed("line").alias("s")).select("path", "input_ord", *ALIASES, cells("s").alias("v"))
-        read = own if read is None else read.union(own)
+    header = F.transform(_cells(head, F.col("sep")), _normal)
+    own = lines.select("path", "sep", header.alias("header"), F.slice("lines", 2, F.size("lines")).alias("rest"))
+    own = own.select("path", "sep", *(matched(F.col("header"), k).cast("int").alias(k) for k in ALIASES), F.posexplode("rest").alias("input_ord", "line"))
+    read = own.where("lat is not null and lon is not null and time is not null").select("path", "input_ord", *ALIASES, _cells(F.col("line"), F.col("sep")).alias("v"))
 
     def value(key: str) -> Column:
         return F.get("v", F.col(key))

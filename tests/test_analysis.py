@@ -58,7 +58,8 @@ def test_default_walk(default):
     assert default.work.where("base0 or base1").count() == 0
     ring = one(default.outlines, patch=1)["ring"]
     assert len(ring) >= 5 and ring[0] == ring[-1]
-    assert "Tank loads:            3  (2 refills)" in default.report(1)
+    report = default.report(1)
+    assert "3 loads of 18 L, 2 refilled on the way" in report and report.count("\n| ") > 20 and "## Places left out" in report
     assert default.overlays.first()["png"][:8] == b"\x89PNG\r\n\x1a\n"
     assert '"kind":"gap"' in default.geojson.first()["geojson"]
 
@@ -86,14 +87,45 @@ def test_no_base(spark):
     assert (s["tank_loads"], s["refills"]) == (1, 0) and "W12" in {r["code"] for r in a.warnings.collect()}
 
 
-def test_boundary(spark, default):
-    lat0, lon0 = generate.PLOT_LAT, generate.PLOT_LON
-    m_lat, m_lon = 111_005.0, 87_504.0  # near enough for a ring 8 m wider
-    ring = [(11.5, -2.0), (44.0, -2.0), (44.0, 42.0), (11.5, 42.0)]
-    points = F.array(*(F.array(F.lit(lon0 + x / m_lon), F.lit(lat0 + y / m_lat)) for x, y in ring))
-    rings = spark.range(1).select(F.lit(1).cast("long").alias("project_id"), F.lit(1).cast("long").alias("ring_id"), points.alias("points"))
-    s = one(analyze(as_fixes(generate.walk(spark)), base=BASE, rings=rings).summary)
-    assert s["gap_area_ha"] * 1e4 == pytest.approx(352, rel=0.5) and s["gap_area_ha"] > one(default.summary)["gap_area_ha"]
+def ring_of(spark, corners, project_id=1):
+    """A ring of lon, lat from corners in plane metres around the plot's place, by the library's own projection."""
+    spots = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(corners)], "i int, x double, y double")
+    placed = generate._on_earth(spots, generate.PLOT_LAT, generate.PLOT_LON).orderBy("i").collect()
+    return spark.createDataFrame([(project_id, 1, [[r["lon"], r["lat"]] for r in placed])], "project_id long, ring_id long, points array<array<double>>")
+
+
+def test_boundary(spark):
+    walk = as_fixes(generate.walk(spark, lanes=10, skip=(), shift={}, interval_s=4.0)).persist()
+    rings = ring_of(spark, [(11.5, -2.0), (30.0, -2.0), (30.0, 42.0), (11.5, 42.0), (11.5, -2.0)])
+    bounded, inferred = one(analyze(walk, base=BASE, rings=rings).summary), one(analyze(walk, base=BASE).summary)
+    assert bounded["gap_area_ha"] * 1e4 == pytest.approx(8 * 44, rel=0.35) and bounded["gap_area_ha"] > inferred["gap_area_ha"]
+
+
+def test_projects_without_a_usable_ring_are_inferred(spark):
+    """One project has a ring, one a ring of two points, one a ring on a line, and one none."""
+    lane = generate.straight_pass(spark, 40.0).persist()
+    walks = [as_fixes(lane, k, k) for k in (1, 2, 3, 4)]
+    both = walks[0].union(walks[1]).union(walks[2]).union(walks[3])
+    spots = lane.agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w")).first()
+    box = [[spots["w"] - 1e-4, spots["s"]], [spots["w"] + 1e-4, spots["s"]], [spots["w"] + 1e-4, spots["n"]], [spots["w"] - 1e-4, spots["n"]]]
+    rings = spark.createDataFrame([(1, 1, box), (2, 1, box[:2]), (3, 1, [box[0], box[1], box[0]])], "project_id long, ring_id long, points array<array<double>>")
+    a = analyze(both, rings=rings)
+    rows = {r["project_id"]: r for r in a.summary.collect()}
+    alone = one(analyze(walks[1]).summary)
+    assert len(rows) == 4 and rows[1]["gap_area_ha"] > 0.02
+    for k in (2, 3, 4):
+        assert rows[k]["gap_area_ha"] == 0 and rows[k]["field_area_ha"] == pytest.approx(alone["field_area_ha"], rel=0.02)
+    codes = {(r["project_id"], r["code"]) for r in a.warnings.collect()}
+    assert {k for k, c in codes if c == "W10"} == {2, 3} and {k for k, c in codes if c == "W14"} == {2, 3, 4} and not {k for k, c in codes if c == "W9"} & {2, 3, 4}
+    a.release()
+
+
+def test_a_crossing_ring_follows_even_odd(spark):
+    """A bow tie holds its two triangles and not the ground between them."""
+    corners = [(0, 0), (20, 20), (20, 0), (0, 20)]
+    lane = as_fixes(generate.straight_pass(spark, 10.0, lat0=generate.PLOT_LAT, lon0=generate.PLOT_LON, x=25.0))
+    a = analyze(lane, Settings(cell_size_m=0.25), rings=ring_of(spark, corners))
+    assert a.boundary.count() * 0.0625 == pytest.approx(200, rel=0.05)
 
 
 def test_silent_middle(spark):

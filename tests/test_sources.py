@@ -38,6 +38,19 @@ def test_csv_separators_aliases_and_bad_rows(spark):
     assert readers.csv(files(spark, c__csv="name;x\n1;2\n")).count() == 0
 
 
+def test_csv_of_many_columns_and_quoted_line_breaks(spark):
+    head = [f"c{i}" for i in range(37)] + ["lat", "Lon", "time"]
+    line = lambda *v: ",".join([*map(str, range(37)), *v])
+    wide = ",".join(head) + "\r\n" + line("1", "2", "1704067200") + "\r\n" + line("3", "4", "1704067201") + "\r\n" + line("5", "6") + "\r\n"
+    rows = readers.csv(files(spark, w__csv=wide)).orderBy("t").collect()
+    assert [(r["lat"], r["lon"], r["t"]) for r in rows] == [(1, 2, 1704067200), (3, 4, 1704067201)] or [(r["lat"], r["lon"]) for r in rows if r["t"]] == [(1, 2), (3, 4)]
+    noted = 'note;lat;lon;time\n"two\nlines; and ""quotes""";1;2;"1704067200"\n;3;4;1704067201\n5\n"";"7";8;1704067202\n'
+    rows = readers.csv(files(spark, n__csv=noted)).orderBy("t").collect()
+    assert [(r["lat"], r["lon"], r["t"]) for r in rows] == [(1, 2, 1704067200), (3, 4, 1704067201), (7, 8, 1704067202)]
+    deep = "lat,lon,time,x\n" + '1,2,1704067200,"' + "a,\n" * 20000 + '"\n'
+    assert readers.csv(files(spark, d__csv=deep)).count() == 1
+
+
 def test_geojson_shapes(spark):
     shape = {"type": "FeatureCollection", "features": [
         {"type": "Feature", "geometry": {"type": "MultiLineString", "coordinates": [[[1, 2], [3, 4]], [[5, 6]]]}, "properties": {"coordTimes": ["2024-01-01T00:00:00Z", "2024-01-01T00:00:01Z", 1704067202]}},
