@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 #: Segment states.
@@ -44,6 +45,18 @@ class Settings:
         known = {f.name for f in fields(cls)}
         return cls(**{f.name: getattr(old, f.name) for f in fields(cls)} | {k: float(v) for k, v in changes.items() if k in known and v is not None})
 
+    @classmethod
+    def from_environment(cls, environ: Mapping[str, str], prefix: str = "FIELDSPAN_") -> Settings:
+        """Defaults for a new project: a setting's variable is the prefix and its name in capitals; what is no number is ignored."""
+        return cls.merged(cls(), {f.name: _number(environ.get(prefix + f.name.upper())) for f in fields(cls)})
+
+
+def _number(text: str | None) -> float | None:
+    try:
+        return float(text) if text else None
+    except ValueError:
+        return None
+
 
 @dataclass(frozen=True)
 class Base:
@@ -54,3 +67,11 @@ class Base:
     radius_m: float = 8.0
     min_dwell_s: float = 60.0
     name: str = "Base"
+
+    @classmethod
+    def from_environment(cls, environ: Mapping[str, str], prefix: str = "FIELDSPAN_BASE_") -> Base | None:
+        """The base of a new project; none where latitude and longitude are unset or both zero."""
+        given = {f.name: _number(environ.get(prefix + f.name.upper())) for f in fields(cls) if f.name != "name"}
+        if abs(given["lat"] or 0.0) < 1e-9 and abs(given["lon"] or 0.0) < 1e-9:
+            return None
+        return cls(**{"lat": 0.0, "lon": 0.0} | {k: v for k, v in given.items() if v is not None})

@@ -332,7 +332,8 @@ class Analysis:
             out = count(coverage.minus_cells(own, self.boundary), "out", "project_id").join(count(own, "all", "project_id"), "project_id")
             parts.append(of_project(out.where(100 * F.col("out") / F.col("all") > 2), 2, "W9", F.format_string("%.1f%% was sprayed outside the boundary", 100 * F.col("out") / F.col("all"))))
             unbounded = projects.join(self.bounded, "project_id", "left_anti")
-            useless = unbounded.join(self.given_rings.select("project_id").distinct(), "project_id", "left_semi")
+            given = self.ring_points if self.given_rings is None else self.given_rings
+            useless = unbounded.join(given.select("project_id").distinct(), "project_id", "left_semi")
             parts.append(of_project(useless, 2, "W10", F.lit("the boundary has no usable ring; the plot was inferred instead")))
         complete = self.loads.groupBy("project_id").agg(F.max(F.col("is_complete").cast("int")).alias("any")).where("any = 0")
         parts.append(of_project(complete, 3, "W11", F.lit("no load was finished, so each counts as a full tank")))

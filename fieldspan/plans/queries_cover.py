@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspan.operators import coverage, metrics
+from fieldspan.operators import coverage, metrics, results
 from fieldspan.plans.oracles import over
 from fieldspan.plans.tables import Tables
 
@@ -161,25 +161,63 @@ def _(spark, d):
 
 def summary_of(t: Tables) -> DataFrame:
     """The summary with the fixed rings as boundary and every missed cell as a gap (no speck filter)."""
-    stats = t.stats
+    t._stage("fixes", "positions", "segments", "work", "loads", "grid", "cell_units", "cells", "unit_counts")
     patches = t.missed.groupBy("project_id").agg(F.count(F.lit(1)).alias("gap_patches"))
-    return metrics.summary(stats, t.volumes, metrics.worked_times(t.segments, t.passes), metrics.extents_in_time(t.fixes, t.positions, t.passes), t.passes, patches)
+    return metrics.summary(t.stats, t.volumes, metrics.worked_times(t.segments, t.passes), metrics.extents_in_time(t.fixes, t.positions, t.passes), t.passes, patches)
 
 
-_SUM = """SELECT project_id, round(field_area_m2/10000, 6) AS field_area_ha, round(sprayed_area_m2/10000, 6) AS sprayed_area_ha, round(gap_area_m2/10000, 6) AS gap_area_ha,
-  round(overlap_area_m2/10000, 6) AS overlap_area_ha, round(heavy_overlap_area_m2/10000, 6) AS heavy_overlap_area_ha, tank_loads, greatest(0, tank_loads - 1) AS refills, round(l, 4) AS total_volume_l, spraying_runs
-FROM sta JOIN (SELECT project_id, count(*) AS tank_loads, sum(volume_l) AS l FROM vo GROUP BY 1) USING (project_id) JOIN (SELECT project_id, count(*) AS spraying_runs FROM ps GROUP BY 1) USING (project_id)"""
+#: Rounds as Spark does: on the decimal digits of a number.
+SUM = """SELECT sta.project_id, n_tracks || ' sessions' AS track, e.first_t AS start, e.last_t AS "end", e.last_t - e.first_t AS duration_s, points_raw, points_used,
+  field_area_m2/10000 AS field_area_ha, sprayed_area_m2/10000 AS sprayed_area_ha, 100*sprayed_area_m2/field_area_m2 AS coverage_pct, gap_area_m2/10000 AS gap_area_ha, 100*gap_area_m2/field_area_m2 AS gap_pct, gap_patches,
+  overlap_area_m2/10000 AS overlap_area_ha, 100*overlap_area_m2/sprayed_area_m2 AS overlap_pct, heavy_overlap_area_m2/10000 AS heavy_overlap_area_ha, mean_passes, tank_loads, greatest(0, tank_loads - 1) AS refills, l AS total_volume_l,
+  l / (sprayed_area_m2/10000) AS overall_rate_l_per_ha, spraying_runs, spraying_time_s, total_distance_m, transport_distance_m
+FROM sta JOIN (SELECT project_id, count(*) AS tank_loads, sum(volume_l) AS l FROM vo GROUP BY 1) v USING (project_id)
+JOIN (SELECT project_id, count(*) AS spraying_runs FROM ps GROUP BY 1) p USING (project_id)
+JOIN (SELECT project_id, count(*) AS gap_patches FROM gap GROUP BY 1) g USING (project_id)
+JOIN (SELECT project_id, min(t) AS first_t, max(t) AS last_t, count(*) AS points_used, count(DISTINCT track_id) AS n_tracks FROM pos WHERE (project_id, track_id) IN (SELECT (project_id, track_id) FROM ps) GROUP BY 1) e USING (project_id)
+JOIN (SELECT project_id, count(*) AS points_raw FROM fx WHERE (project_id, track_id) IN (SELECT (project_id, track_id) FROM ps) GROUP BY 1) r USING (project_id)
+JOIN (SELECT project_id, sum(dist_m) FILTER (state <> 4) AS total_distance_m, coalesce(sum(dist_m) FILTER (state = 2), 0) AS transport_distance_m, sum(dt_s) FILTER (state = 1) AS spraying_time_s
+  FROM ss WHERE (project_id, track_id) IN (SELECT (project_id, track_id) FROM ps) GROUP BY 1) w USING (project_id)"""
+NEEDS = ("sta", "vo", "ps", "gap", "pos", "fx", "ss")
+_REAL = ("field_area_ha", "sprayed_area_ha", "coverage_pct", "gap_area_ha", "gap_pct", "overlap_area_ha", "overlap_pct", "heavy_overlap_area_ha", "mean_passes", "total_volume_l", "overall_rate_l_per_ha", "spraying_time_s", "total_distance_m", "transport_distance_m")
+_REST = ("project_id", "track", "start", '"end"', "duration_s", "points_raw", "points_used", "gap_patches", "tank_loads", "refills", "spraying_runs")
 
 
-@query("o72_summary", over(_SUM, "sta", "vo", "ps"))
+@query("o72_summary", over(f"SELECT {', '.join(_REST)}, {', '.join(f'round({c}, 4) AS {c}' for c in _REAL)} FROM ({SUM})", *NEEDS))
 def _(spark, d):
-    s = summary_of(Tables(spark, d))
-    return s.select("project_id", *(r6(c) for c in ("field_area_ha", "sprayed_area_ha", "gap_area_ha", "overlap_area_ha", "heavy_overlap_area_ha")), "tank_loads", "refills", r6("total_volume_l", 4), "spraying_runs")
+    return summary_of(Tables(spark, d)).select(*(c.strip('"') for c in _REST), *(r6(c, 4) for c in _REAL))
 
 
-@query("o27_o29_sensors", over(f"""SELECT project_id, sensor, unit, CAST(value AS DOUBLE) AS value FROM (SELECT project_id, unnest([
-  {{'sensor': 'area_sprayed', 'unit': 'ha', 'value': sprayed_area_ha::DOUBLE}}, {{'sensor': 'refills', 'unit': '', 'value': refills::DOUBLE}},
-  {{'sensor': 'tank_loads', 'unit': '', 'value': tank_loads::DOUBLE}}, {{'sensor': 'missed_area', 'unit': 'ha', 'value': gap_area_ha::DOUBLE}}], recursive := true) FROM ({_SUM}))""", "sta", "vo", "ps"))
+_SENSORS = ", ".join(f"{{'sensor': '{k}', 'unit': '{u}', 'value': round(\"{c}\"::DOUBLE * {f!r}::DOUBLE, 4)}}" for k, c, f, u in metrics.SENSORS)
+
+
+@query("o27_o29_sensors", over(f"SELECT project_id, sensor, unit, value FROM (SELECT project_id, unnest([{_SENSORS}], recursive := true) FROM ({SUM}))", *NEEDS))
+def _(spark, d):
+    return metrics.sensors(summary_of(Tables(spark, d))).select("project_id", "sensor", "unit", r6("value", 4))
+
+
+_SHOWN = {c: f"round(CAST({c} AS DECIMAL(28, 10)), {n})::DOUBLE" if n else f"round({c})::BIGINT" for c, n in metrics.DIGITS.items()}
+_JSON = "track string, points_used long, gap_patches long, tank_loads long, refills long, spraying_runs long, " + ", ".join(f"{c} {'double' if n else 'long'}" for c, n in metrics.DIGITS.items())
+
+
+@query("o24_summary_json", over(f"SELECT project_id, track, points_used, gap_patches, tank_loads, refills, spraying_runs, {', '.join(f'{x} AS {c}' for c, x in _SHOWN.items())} FROM ({SUM})", *NEEDS))
+def _(spark, d):
+    rows = results.summary_json(summary_of(Tables(spark, d)))
+    return rows.select("project_id", F.from_json("json", _JSON).alias("s")).select("project_id", "s.*")
+
+
+_SESSION = """SELECT vo.project_id, load_no + 1 AS index, 'track ' || vo.track_id AS track, round(CAST(area_m2/10000 AS DECIMAL(28, 10)), 4)::DOUBLE AS area_ha, round(CAST(volume_l AS DECIMAL(28, 10)), 1)::DOUBLE AS volume_l,
+  is_complete AS complete, n_loads, n_sessions, n_passes, covered_ha FROM vo
+JOIN (SELECT project_id, count(*) AS n_loads, count(DISTINCT track_id) AS n_sessions FROM vo GROUP BY 1) c USING (project_id) JOIN (SELECT project_id, count(*) AS n_passes FROM ps GROUP BY 1) p USING (project_id)
+JOIN (SELECT project_id, round(sum(round(CAST(area_m2/10000 AS DECIMAL(28, 10)), 4))::DOUBLE, 4) AS covered_ha FROM his GROUP BY 1) h USING (project_id)"""
+
+
+@query("o140_result_json", over(_SESSION, "vo", "ps", "his"))
 def _(spark, d):
-    rows = metrics.sensors(summary_of(Tables(spark, d)))
-    return rows.where(F.col("sensor").isin("area_sprayed", "refills", "tank_loads", "missed_area")).select("project_id", "sensor", "unit", r6("value"))
+    """The loads of each result document, beside the number of its sessions, loads and worked lines, and its histogram's sum."""
+    whole = results.result_json(Tables(spark, d))
+    schema = "loads array<struct<index int, track string, area_ha double, volume_l double, complete boolean>>, sessions array<struct<name string>>, histogram array<struct<passes int, area_ha double>>, track struct<spraying array<string>>"
+    r = whole.select("project_id", F.from_json("json", schema).alias("r")).select("project_id", "r.*")
+    covered = F.round(F.aggregate("histogram", F.lit(0.0), lambda s, x: s + x["area_ha"]), 4)
+    counted = r.select("project_id", F.explode("loads").alias("l"), F.size("loads").cast("long").alias("n_loads"), F.size("sessions").cast("long").alias("n_sessions"), F.size("track.spraying").cast("long").alias("n_passes"), covered.alias("covered_ha"))
+    return counted.select("project_id", "l.*", "n_loads", "n_sessions", "n_passes", "covered_ha")

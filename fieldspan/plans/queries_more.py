@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspan.functions import geo
 from fieldspan.functions.times import iso_utc
-from fieldspan.model import MOST_PATCHES, Settings
-from fieldspan.operators import coverage, kernels, motion, placement, sinks, snap
+from fieldspan.model import MOST_PATCHES, Base, Settings
+from fieldspan.operators import coverage, kernels, motion, placement, results, sinks, snap
 from fieldspan.plans.oracles import over
 from fieldspan.plans.tables import Tables
-from fieldspan.sources import generate, readers
+from fieldspan.sources import generate, images, readers
+from fieldspan.sources.store import Store
+from fieldspan.staging import shared_dir
 
 QUERIES: dict = {}
 
@@ -123,17 +127,68 @@ def _(spark, d):
     return pictures.select("project_id", "width", "height", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
 
 
-@query("o24_o26_json", over("SELECT track_id, n, CAST(json_extract(j, '$.t') AS DOUBLE) AS t FROM (SELECT track_id, n, to_json({'track_id': track_id, 'n': n, 't': t}) AS j FROM fx)", "fx"))
+@query("o26_fix_json", over("SELECT track_id, n, CAST(json_extract(j, '$.t') AS DOUBLE) AS t FROM (SELECT track_id, n, to_json({'track_id': track_id, 'n': n, 't': t}) AS j FROM fx)", "fx"))
 def _(spark, d):
     j = Tables(spark, d).fixes.select(F.to_json(F.struct("track_id", "n", "t")).alias("j"))
     return j.select(F.from_json("j", "track_id long, n long, t double").alias("r")).select("r.*")
 
 
-@query("o23_o140_result_json", over("SELECT project_id, count(*) AS n_loads, CAST(sum(load_no) AS BIGINT) AS load_sum FROM lo GROUP BY 1", "lo"))
+def _store(spark, d) -> Store:
+    """A store in the shared folder with the logs of one project, one of its tracks switched off."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    fx = Tables(spark, d).fixes.where("project_id = 2")
+    store.save_project(2, "two", Settings(swath_width_m=1.5), Base(38.3, 32.9), now=5.0)
+    store.add_tracks(2, fx.select("track_id", F.concat(F.lit("t"), F.col("track_id").cast("string")).alias("track_name"), F.lit("gpx").alias("source"), F.col("n").alias("input_ord"), "t", "lat", "lon", "accuracy_m", F.lit(None).cast("double").alias("speed_ms")))
+    store.set_track(2, 7, enabled=False)
+    return store
+
+
+@query("o135_o136_store", over("SELECT track_id, 't' || track_id AS track_name, track_id <> 7 AS enabled, min(t) AS start_t, max(t) AS end_t, count(*) AS n_points, CASE WHEN track_id <> 7 THEN count(*) ELSE 0 END AS n_loaded FROM fx WHERE project_id = 2 GROUP BY 1", "fx"))
+def _(spark, d):
+    store = _store(spark, d)
+    loaded = store.load_fixes(2).groupBy("track_id").agg(F.count(F.lit(1)).alias("n_loaded"))
+    return store.tracks(2).join(loaded, "track_id", "left").select("track_id", "track_name", "enabled", "start_t", "end_t", "n_points", F.coalesce("n_loaded", F.lit(0)).alias("n_loaded"))
+
+
+@query("o141_project_json", over("SELECT 2::BIGINT AS project_id, 'two' AS name, 1.5::DOUBLE AS swath_width_m, 38.3::DOUBLE AS base_lat, track_id AS id, 't' || track_id AS track, count(*) AS n_points, track_id <> 7 AS enabled FROM fx WHERE project_id = 2 GROUP BY track_id", "fx"))
+def _(spark, d):
+    rows = _store(spark, d).project_json()
+    schema = "name string, config struct<swath_width_m double>, base struct<lat double>, tracks array<struct<id long, name string, n_points long, enabled boolean>>"
+    r = rows.select("project_id", F.from_json("json", schema).alias("j")).select("project_id", "j.name", "j.config.swath_width_m", F.col("j.base.lat").alias("base_lat"), F.explode("j.tracks").alias("t"))
+    return r.select("project_id", "name", "swath_width_m", "base_lat", "t.id", F.col("t.name").alias("track"), "t.n_points", "t.enabled")
+
+
+@query("o48_store_selection", over("SELECT track_id, count(*) AS n FROM fx WHERE project_id = 2 AND track_id <> 7 GROUP BY 1", "fx"))
+def _(spark, d):
+    return _store(spark, d).load_fixes(2).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("o120_image_sizes", "SELECT p_partkey, CAST(p_size * 10 AS INT) AS width, CAST(p_partkey % 5000 + 1 AS INT) AS height FROM part")
 def _(spark, d):
-    loads = Tables(spark, d).volumes.groupBy("project_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("load_no", "area_m2", "volume_l", "is_complete")))).alias("j"))
-    back = loads.select("project_id", F.from_json("j", "array<struct<load_no int>>").alias("a"))
-    return back.select("project_id", F.size("a").cast("long").alias("n_loads"), F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["load_no"]).alias("load_sum"))
+    p = spark.read.parquet(f"{d}/part.parquet")
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex((F.col("p_size") * 10).cast("long")), 8, "0"), F.lpad(F.hex((F.col("p_partkey") % 5000 + 1).cast("long")), 8, "0"), F.lit("0806000000"))
+    return images.headers(p.select(F.col("p_partkey").cast("string").alias("path"), F.unhex(head).alias("content"))).select(F.col("path").cast("long").alias("p_partkey"), "width", "height")
+
+
+@query("o121_photo_positions", "SELECT p_partkey, round(p_size + 30/60.0::DOUBLE + 15/3600.0::DOUBLE, 6) AS lat, round(-(p_partkey % 180 + 6/60.0::DOUBLE), 6) AS lon, CASE WHEN p_partkey % 2 = 0 THEN -(p_size / 2.0::DOUBLE) ELSE p_size / 2.0::DOUBLE END AS altitude_m FROM part")
+def _(spark, d):
+    """Position blocks of photos in the order II: two directories, angles as fractions, W as a negative side."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+
+    def word(c: Column) -> Column:  # four bytes, lowest first
+        h = F.lpad(F.hex(c.cast("long")), 8, "0")
+        return F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1)))
+
+    def field(tag: int, kind: int, count: int, value: Column) -> Column:
+        two = lambda n: f"{n & 255:02X}{n >> 8:02X}"
+        return F.concat(F.lit(two(tag) + two(kind)), word(F.lit(count)), value)
+
+    n = lambda k: F.lit(k)
+    first = F.concat(F.lit("4949"), F.lit("2A00"), word(n(8)), F.lit("0100"), field(0x8825, 4, 1, word(n(26))), word(n(0)))
+    gps = F.concat(F.lit("0600"), field(1, 2, 2, F.lit("4E000000")), field(2, 5, 3, word(n(104))), field(3, 2, 2, F.lit("57000000")), field(4, 5, 3, word(n(128))), field(5, 1, 1, F.when(F.col("p_partkey") % 2 == 0, "01000000").otherwise("00000000")), field(6, 5, 1, word(n(152))), word(n(0)))
+    numbers = [(F.col("p_size"), n(1)), (n(30), n(1)), (n(15), n(1)), (F.col("p_partkey") % 180, n(1)), (n(6), n(1)), (n(0), n(1)), (F.col("p_size"), n(2))]
+    body = F.concat(F.lit("FFD8FFE1004045786966").substr(1, 12), F.lit("457869660000"), first, gps, *(word(x) for pair in numbers for x in pair))
+    return images.headers(p.select(F.col("p_partkey").cast("string").alias("path"), F.unhex(body).alias("content"))).select(F.col("path").cast("long").alias("p_partkey"), F.round("gps.lat", 6).alias("lat"), F.round("gps.lon", 6).alias("lon"), F.col("gps.altitude_m").alias("altitude_m"))
 
 
 @query("o81_top_patches", None)
@@ -296,27 +351,41 @@ def _(spark, d):
     return o.select("o_orderkey", F.coalesce(F.size(placement.closed_ring(F.col("ring"))), F.lit(-1)).alias("n_points"))
 
 
-@query("o138_settings", "SELECT n_nationkey, n_nationkey > 4 AS valid FROM nation")
+#: Changes to settings, one rule at a time: name of the setting, and whether a value of k - 4 keeps it valid.
+_RULES = {"swath_width_m": "k > 4", "tank_capacity_l": "k > 4", "cell_size_m": "k > 4", "max_gap_s": "k > 4", "min_speed_kmh": "k BETWEEN 4 AND 8", "max_speed_kmh": "k > 4", "min_gap_area_m2": "true"}
+
+
+@query("o138_settings", "SELECT n_nationkey, name, CASE name " + " ".join(f"WHEN '{n}' THEN {r.replace('k', 'n_nationkey')}" for n, r in _RULES.items()) + " END AS valid FROM nation, (VALUES " + ", ".join(f"('{n}')" for n in _RULES) + ") q(name)")
 def _(spark, d):
-    top = F.col("n_nationkey") / 10.0
-    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", (top > Settings().min_speed_kmh).alias("valid"))
+    """Each setting merged with a small whole number of a row; a row a setting says whether that is refused."""
+
+    @F.udf("boolean", useArrow=False)
+    def valid(name, value):
+        try:
+            Settings.merged(Settings(), {name: value})
+        except ValueError:
+            return False
+        return True
+
+    names = F.explode(F.array(*map(F.lit, _RULES))).alias("name")
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", names).select("n_nationkey", "name", valid("name", F.col("n_nationkey") - 4).alias("valid"))
 
 
-@query("o142_base", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 38.5::DOUBLE WHEN c_custkey % 3 = 1 THEN 38.3::DOUBLE END AS lat, CASE WHEN c_custkey % 2 = 0 THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END AS radius_m FROM customer")
+@query("o142_base", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 38.5::DOUBLE WHEN c_custkey % 3 = 1 THEN 38.3::DOUBLE END AS lat, CASE WHEN c_custkey % 3 < 2 THEN CASE WHEN c_custkey % 2 = 0 THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END END AS radius_m FROM customer")
 def _(spark, d):
     k = F.col("c_custkey")
     captured = F.when(k % 3 == 0, 38.5)
     configured = F.when(k % 3 == 1, 38.3).otherwise(0.0)
     radius = F.when(k % 4 == 0, F.lit(None).cast("double")).when(k % 2 == 0, 0.0).otherwise(5.0)
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.coalesce(captured, F.nullif(configured, F.lit(0.0))).alias("lat"), F.coalesce(F.nullif(radius, F.lit(0.0)), F.lit(8.0)).alias("radius_m"))
+    base = results.resolved_base(captured, F.when(captured.isNotNull(), 32.9), configured, F.when(configured != 0, 32.9).otherwise(0.0), radius, F.lit(None).cast("double"))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", base.alias("b")).select("c_custkey", "b.lat", "b.radius_m")
 
 
-@query("o144_last_values", over("SELECT project_id, max_by(track_id, (end_t, track_id)) AS track_id, max(end_t) AS end_t FROM ps GROUP BY 1", "ps"))
+@query("o144_last_values", over("SELECT project_id, max(end_t) AS end_t, max_by(track_id, (end_t, track_id, pass_no)) AS track_id, max_by(pass_no, (end_t, track_id, pass_no)) AS pass_no FROM ps GROUP BY 1", "ps"))
 def _(spark, d):
-    last = Tables(spark, d).passes.groupBy("project_id").agg(F.max(F.struct("end_t", "track_id")).alias("m"))
-    return last.select("project_id", "m.track_id", "m.end_t")
+    return results.last_values(Tables(spark, d).passes.select("project_id", "end_t", "track_id", "pass_no"), "project_id")
 
 
-@query("o85_latest_results", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
+@query("o85_latest_results", over("SELECT project_id, track_id, pass_no, end_t FROM ps ORDER BY end_t DESC, track_id DESC, pass_no DESC LIMIT 20", "ps"))
 def _(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select("o_orderkey", "o_totalprice")
+    return results.latest(Tables(spark, d).passes.select("project_id", "track_id", "pass_no", "end_t"), "end_t", "track_id", "pass_no")

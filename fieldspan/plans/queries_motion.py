@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.functions import geo, times
 from fieldspan.model import Settings
-from fieldspan.operators import metrics, motion
+from fieldspan.operators import metrics, motion, results
 from fieldspan.plans.oracles import over
 from fieldspan.plans.tables import Tables
 
@@ -71,11 +71,8 @@ def _(spark, d):
 @query("o14_history_window", over("""SELECT track_id, n, t FROM fx WHERE t >= track_id*86400 + 500 AND t < track_id*86400 + 1500
 UNION ALL SELECT track_id, n, t FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t DESC, n DESC) AS q FROM fx WHERE t < track_id*86400 + 500) WHERE q = 1""", "fx"))
 def _(spark, d):
-    fx = Tables(spark, d).fixes
-    begin, end = F.col("track_id") * 86400 + 500, F.col("track_id") * 86400 + 1500
-    inside = fx.where((F.col("t") >= begin) & (F.col("t") < end)).select("track_id", "n", "t")
-    before = fx.where(F.col("t") < begin).groupBy("track_id").agg(F.max(F.struct("t", "n")).alias("s")).select("track_id", "s.n", "s.t")
-    return inside.union(before)
+    fx = Tables(spark, d).fixes.select("track_id", "t", "n")
+    return results.history_window(fx, F.col("track_id") * 86400 + 500, F.col("track_id") * 86400 + 1500, "track_id")
 
 
 @query("o30_anchor", over("SELECT project_id, round(CAST(sum(CAST(round(lat*1e9) AS HUGEINT)) AS DOUBLE)/count(*)/1e9, 9) AS lat0, round(CAST(sum(CAST(round(lon*1e9) AS HUGEINT)) AS DOUBLE)/count(*)/1e9, 9) AS lon0 FROM fx GROUP BY 1", "fx"))
@@ -266,4 +263,4 @@ def _(spark, d):
 
 @query("o84_centre", over("SELECT project_id, (min(lat) + max(lat)) / 2 AS lat, (min(lon) + max(lon)) / 2 AS lon FROM fx GROUP BY 1", "fx"))
 def _(spark, d):
-    return Tables(spark, d).fixes.groupBy("project_id").agg(((F.min("lat") + F.max("lat")) / 2).alias("lat"), ((F.min("lon") + F.max("lon")) / 2).alias("lon"))
+    return results.centre(Tables(spark, d).fixes)

@@ -1,18 +1,21 @@
 """Projects, their logs and photos as Parquet tables, partitioned by project.
 
-Each write replaces one partition of one project by Spark's dynamic partition overwrite, so a failed
-write leaves the old partition. Files of a store are read back by predicate, a project at a time or all.
+A change writes the project's new partition beside the old one and then puts it in its place, so a write
+that fails leaves the old partition. New tracks are appended. A store is read by predicate, a project at
+a time or all.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from fieldspan.functions.times import iso_utc
 from fieldspan.model import Base, Settings
 
 SCHEMAS = {
@@ -38,15 +41,31 @@ class Store:
     def _of(self, name: str, project_id: int) -> DataFrame:
         return self.table(name).where(F.col("project_id") == project_id)
 
+    def _at(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _columns(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).drop("project_id")
+
+    def _append(self, name: str, rows: DataFrame, project_id: int) -> None:
+        self._columns(name, rows).write.mode("append").parquet(f"{self.root}/{name}/project_id={project_id}")
+
     def _replace(self, name: str, rows: DataFrame, project_id: int) -> None:
         """Put ``rows`` in place of the project's partition; they may come from that partition."""
-        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        path = f"{self.root}/{name}"
-        fresh = rows.select(*columns)
-        aside = f"{self.root}/_next/{name}-{project_id}"
-        fresh.drop("project_id").write.mode("overwrite").parquet(aside)
-        again = self.spark.read.schema(fresh.drop("project_id").schema).parquet(aside)
-        again.write.mode("overwrite").parquet(f"{path}/project_id={project_id}")
+        mark = uuid.uuid4().hex
+        live, fs = self._at(f"{self.root}/{name}/project_id={project_id}")
+        fresh, _ = self._at(f"{self.root}/_next/{name}-{mark}")
+        old, _ = self._at(f"{self.root}/_next/{name}-{mark}-old")
+        self._columns(name, rows).write.parquet(fresh.toString())
+        fs.mkdirs(live.getParent())
+        if fs.exists(live):
+            fs.rename(live, old)
+        if not fs.rename(fresh, live):
+            fs.rename(old, live)
+            raise OSError(f"could not replace {live.toString()}")
+        fs.delete(old, True)
 
     def save_project(self, project_id: int, name: str, settings: Settings, base: Base | None = None, boundary: str | None = None, now: float = 0.0) -> None:
         old = self._of("projects", project_id).first()
@@ -64,11 +83,27 @@ class Store:
         """Latest change first."""
         return self.table("projects").orderBy(F.desc("updated"), "project_id")
 
+    def project_json(self) -> DataFrame:
+        """project_id, json: each project with its settings, base, boundary, tracks in time order, and photos."""
+        texts = {"config": ("settings", "map<string,double>"), "base": ("base", "struct<lat:double,lon:double,radius_m:double,min_dwell_s:double,name:string>"), "field_rings": ("boundary", "string")}
+        parsed = [(F.col(c) if kind == "string" else F.from_json(c, kind)).alias(n) for n, (c, kind) in texts.items()]
+        track = F.struct(
+            F.col("start_t").alias("o"), F.col("track_id").alias("id"), F.col("track_name").alias("name"), "filename", "source",
+            iso_utc(F.col("start_t")).alias("start"), iso_utc(F.col("end_t")).alias("end"), "n_points", "enabled",
+        )
+        tracks = self.table("track_records").groupBy("project_id").agg(F.sort_array(F.collect_list(track)).alias("tracks"))
+        photo = F.struct(F.col("photo_id").alias("id"), "name", F.col("width").alias("width_px"), F.col("height").alias("height_px"), "placement", "opacity", "enabled")
+        photos = self.table("photos").groupBy("project_id").agg(F.sort_array(F.collect_list(photo)).alias("overlays"))
+        out = self.table("projects").join(tracks, "project_id", "left").join(photos, "project_id", "left")
+        lists = [F.coalesce(c, F.slice(F.array(F.get(c, F.lit(0))), 1, 0)) for c in ("tracks", "overlays")]
+        tracks_ = F.transform(lists[0], lambda x: x.dropFields("o")).alias("tracks")
+        whole = F.struct(F.col("project_id").alias("id"), "name", "created", "updated", *parsed, tracks_, lists[1].alias("overlays"))
+        return out.select("project_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
     def delete_project(self, project_id: int) -> None:
         for name in SCHEMAS:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/project_id={project_id}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._at(f"{self.root}/{name}/project_id={project_id}")
+            fs.delete(path, True)
 
     def add_tracks(self, project_id: int, fixes: DataFrame) -> None:
         """``fixes`` as a reader gives them, with track_id; refuses a log without a usable position."""
@@ -79,8 +114,15 @@ class Store:
         records = spans.withColumns({"filename": F.col("track_name"), "enabled": F.lit(True)})
         if records.isEmpty():
             raise ValueError("no positions with a valid timestamp")
-        self._replace("track_records", self._of("track_records", project_id).join(records.select("track_id"), "track_id", "left_anti").unionByName(records), project_id)
-        self._replace("fixes", self._of("fixes", project_id).join(good.select("track_id").distinct(), "track_id", "left_anti").unionByName(good.select(*[c.split()[0] for c in SCHEMAS["fixes"].split(", ")])), project_id)
+        again = self._of("track_records", project_id).join(records.select("track_id"), "track_id", "left_semi")
+        parts = {"fixes": good, "track_records": records}
+        if again.isEmpty():
+            for name, rows in parts.items():
+                self._append(name, rows, project_id)
+        else:  # tracks that are there already get new contents
+            for name, rows in parts.items():
+                kept = self._of(name, project_id).join(records.select("track_id"), "track_id", "left_anti")
+                self._replace(name, kept.unionByName(rows.select(*kept.columns)), project_id)
 
     def tracks(self, project_id: int) -> DataFrame:
         return self._of("track_records", project_id).orderBy("start_t", "track_id")
