@@ -1,17 +1,24 @@
-"""Raster steps that are not relational, on one project's cells at a time.
+"""Raster steps that are not relational, on one tile of a project's cells at a time.
 
-A project's grid has at most ``MOST_CELLS`` cells, so a task holds a few masks of 12 MB; projects
-are independent tasks.
+A task holds a few masks of one tile, however large a project is. Closing is local, so a tile gets the
+cells around it too, as far as the disk reaches twice. Components are labelled by tile; labels that
+touch across tiles are joined as a graph. Distances go along columns by window functions, and along
+rows by strips of rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspan.model import HULL_CELLS, MOST_PATCHES, Settings
+from fieldspan.operators.graph import components
+from fieldspan.staging import staged
+
+#: Rows and columns of a tile; rows of a strip.
+TILE, STRIP = 1024, 256
 
 
 def dilate(mask: np.ndarray, radius: int) -> np.ndarray:
@@ -67,82 +74,160 @@ def label(mask: np.ndarray) -> np.ndarray:
     return np.cumsum(delta, axis=1)[:, :nx].astype(np.int32)
 
 
-def fill_holes(mask: np.ndarray) -> np.ndarray:
-    """Background that is not 4-connected to the outside gets set."""
-    outside = label(np.pad(~mask, 1, constant_values=True))
-    return (outside != outside[0, 0])[1:-1, 1:-1]
-
-
-def squared_distance(mask: np.ndarray) -> np.ndarray:
-    """For set cells the squared distance to the nearest cell that is not; outside the array none is."""
-    padded = np.pad(mask, 1)
-    far = padded.shape[0] + padded.shape[1]
-    up = np.zeros(padded.shape, np.int64)
-    for r in range(1, padded.shape[0]):
-        up[r] = np.where(padded[r], np.minimum(up[r - 1] + 1, far), 0)
-    down = np.zeros(padded.shape, np.int64)
-    for r in range(padded.shape[0] - 2, -1, -1):
-        down[r] = np.where(padded[r], np.minimum(down[r + 1] + 1, far), 0)
-    column = np.minimum(up, down) ** 2
-    best = column.copy()
-    d = 1
-    while d < padded.shape[1] and d * d < best.max():
-        best[:, d:] = np.minimum(best[:, d:], column[:, :-d] + d * d)
-        best[:, :-d] = np.minimum(best[:, :-d], column[:, d:] + d * d)
-        d += 1
-    return best[1:-1, 1:-1]
-
-
 def close_radius(settings: Settings, cell: float) -> int:
     return max(1, round(settings.swath_width_m * settings.field_close_factor / cell))
 
 
-def _mask(r: np.ndarray, c: np.ndarray, margin: int, ny: int, nx: int) -> tuple[np.ndarray, int, int]:
-    """The cells with so much room around them as the grid has, and where that begins."""
-    r0, c0 = max(0, r.min() - margin), max(0, c.min() - margin)
-    mask = np.zeros((min(ny, r.max() + margin + 1) - r0, min(nx, c.max() + margin + 1) - c0), bool)
-    mask[r - r0, c - c0] = True
-    return mask, r0, c0
-
+def closed_cells(cells: DataFrame, grid: DataFrame, settings: Settings, tile: int = TILE) -> DataFrame:
+    """project_id, r, c: the covered cells and their closing by a disk; beyond the grid nothing is set."""
+    radius = F.greatest(F.lit(1), F.bround(F.lit(settings.swath_width_m * settings.field_close_factor) / F.col("cell")).cast("int"))
+    sized = cells.select("project_id", "r", "c").join(grid.select("project_id", radius.alias("radius"), "nx", "ny"), "project_id")
+    # A tile that is small beside the disk would mostly hold its surroundings.
+    sized = sized.withColumn("size", F.greatest(F.lit(tile), 4 * F.col("radius")))
+    dealt = sized.withColumn("ti", F.explode(F.sequence(F.floor((F.col("r") - 2 * F.col("radius")) / F.col("size")), F.floor((F.col("r") + 2 * F.col("radius")) / F.col("size")))))
+    dealt = dealt.withColumn("tj", F.explode(F.sequence(F.floor((F.col("c") - 2 * F.col("radius")) / F.col("size")), F.floor((F.col("c") + 2 * F.col("radius")) / F.col("size")))))
 
-def infer_field(cells: DataFrame, grid: DataFrame, settings: Settings, holes: bool = True) -> DataFrame:
-    """project_id, r, c: the covered cells closed by a disk, with holes filled."""
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        radius = close_radius(settings, float(part["cell"].iloc[0]))
-        covered, r0, c0 = _mask(part["r"].to_numpy(), part["c"].to_numpy(), radius + 1, int(part["ny"].iloc[0]), int(part["nx"].iloc[0]))
-        closed = erode(dilate(covered, radius), radius)
-        r, c = np.nonzero((fill_holes(closed) if holes else closed) | covered)
-        return pd.DataFrame({"project_id": key[0], "r": r + r0, "c": c + c0})
+        around, size, ny, nx = (int(part[k].iloc[0]) for k in ("radius", "size", "ny", "nx"))
+        r0, c0 = max(0, key[1] * size - 2 * around), max(0, key[2] * size - 2 * around)
+        r1, c1 = min(ny, (key[1] + 1) * size + 2 * around), min(nx, (key[2] + 1) * size + 2 * around)
+        covered = np.zeros((max(0, r1 - r0), max(0, c1 - c0)), bool)
+        covered[part["r"].to_numpy() - r0, part["c"].to_numpy() - c0] = True
+        r, c = np.nonzero(erode(dilate(covered, around), around) | covered)
+        r, c = r + r0, c + c0
+        own = (r // size == key[1]) & (c // size == key[2])
+        return pd.DataFrame({"project_id": key[0], "r": r[own], "c": c[own]})
+
+    return dealt.groupBy("project_id", "ti", "tj").applyInPandas(run, "project_id long, r long, c long")
+
+
+def _labelled(marked: DataFrame, ground: bool, tile: int) -> DataFrame:
+    """The components of each tile: rows project_id, r, c, node, outside, side.
+
+    ``marked`` has rows project_id, ti, tj, r, c (null in a tile without cells) and the box r0, c0, r1, c1
+    around the project's cells. With ``ground`` it is the cells that are labelled, else the ground between them within
+    the box; ``outside`` says that the ground touches the box's edge. Rows of side 0 are the cells of a
+    component (of ground only where it is not outside); those of sides 1 to 4 are where it meets the
+    tile's last row, first row, last column and first column.
+    """
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        b0, d0, b1, d1 = (int(part[k].iloc[0]) for k in ("r0", "c0", "r1", "c1"))
+        r0, c0 = max(b0, key[1] * tile), max(d0, key[2] * tile)
+        r1, c1 = min(b1 + 1, (key[1] + 1) * tile), min(d1 + 1, (key[2] + 1) * tile)
+        there = part[part["r"].notna()]
+        mask = np.zeros((r1 - r0, c1 - c0), bool)
+        mask[there["r"].to_numpy(np.int64) - r0, there["c"].to_numpy(np.int64) - c0] = True
+        found = label(mask if ground else ~mask)
+        edge = np.zeros(found.max() + 1, bool)
+        if not ground:
+            for line, at_edge in ((found[0], r0 == b0), (found[-1], r1 == b1 + 1), (found[:, 0], c0 == d0), (found[:, -1], c1 == d1 + 1)):
+                if at_edge:
+                    edge[line] = True
+        out = []
+        for side, (rows, cols, inner) in enumerate((
+            (slice(None), slice(None), True), (slice(-1, None), slice(None), r1 <= b1), (slice(0, 1), slice(None), r0 > b0), (slice(None), slice(-1, None), c1 <= d1), (slice(None), slice(0, 1), c0 > d0),
+        )):
+            if inner:
+                part_of = np.zeros_like(found)
+                part_of[rows, cols] = found[rows, cols]
+                r, c = np.nonzero(part_of)
+                which = found[r, c]
+                kept = ~edge[which] if side == 0 else np.ones(len(which), bool)
+                out.append(pd.DataFrame({"r": r[kept] + r0, "c": c[kept] + c0, "label": which[kept], "outside": edge[which[kept]], "side": side}))
+        return pd.concat(out).assign(project_id=key[0], ti=key[1], tj=key[2])[["project_id", "ti", "tj", "r", "c", "label", "outside", "side"]]
+
+    each = marked.groupBy("project_id", "ti", "tj").applyInPandas(run, "project_id long, ti long, tj long, r long, c long, label int, outside boolean, side int")
+    # Labels of tiles are few; 64 bits of hash stand for one.
+    return staged(each.withColumn("node", F.xxhash64("project_id", "ti", "tj", "label")).drop("ti", "tj", "label"))
+
+
+def _joined(found: DataFrame) -> DataFrame | None:
+    """node, root of the components that meet others across tiles; None where none does."""
+    side = lambda k, name: found.where(F.col("side") == k).select("project_id", "r", "c", F.col("node").alias(name))
+    down = side(1, "a").withColumn("r", F.col("r") + 1).join(side(2, "b"), ["project_id", "r", "c"])
+    right = side(3, "a").withColumn("c", F.col("c") + 1).join(side(4, "b"), ["project_id", "r", "c"])
+    edges = staged(down.select("a", "b").union(right.select("a", "b")).distinct())
+    return None if edges.isEmpty() else staged(components(edges))
+
+
+def _boxes(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("project_id").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), F.max("r").alias("r1"), F.max("c").alias("c1"))
+
+
+def _by_tile(cells: DataFrame, boxes: DataFrame, tile: int) -> DataFrame:
+    return cells.join(boxes, "project_id").withColumns({"ti": F.floor(F.col("r") / tile), "tj": F.floor(F.col("c") / tile)})
+
+
+def holes(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """project_id, r, c: ground that is not 4-connected to the outside of the project's cells."""
+    boxes = _boxes(cells)
+    every = boxes.withColumn("ti", F.explode(F.sequence(F.floor(F.col("r0") / tile), F.floor(F.col("r1") / tile))))
+    every = every.withColumn("tj", F.explode(F.sequence(F.floor(F.col("c0") / tile), F.floor(F.col("c1") / tile))))
+    none = F.lit(None).cast("long")
+    found = _labelled(_by_tile(cells, boxes, tile).unionByName(every.withColumns({"r": none, "c": none})), False, tile)
+    inside = found.where("side = 0")
+    roots = _joined(found)
+    if roots is None:
+        return inside.select("project_id", "r", "c")
+    open_ = found.where("outside").select("node").distinct().join(roots, "node").select("root").distinct()
+    lost = roots.join(open_, "root", "left_semi").select("node")
+    return inside.join(lost, "node", "left_anti").select("project_id", "r", "c")
+
+
+def infer_field(cells: DataFrame, grid: DataFrame, settings: Settings, fill: bool = True, tile: int = TILE) -> DataFrame:
+    """project_id, r, c: the covered cells closed by a disk, with holes filled."""
+    closed = closed_cells(cells, grid, settings, tile)
+    if not fill:
+        return closed
+    closed = staged(closed)
+    return closed.union(holes(closed, tile))
 
-    sized = cells.select("project_id", "r", "c").join(grid.select("project_id", "cell", "nx", "ny"), "project_id")
-    return sized.groupBy("project_id").applyInPandas(run, "project_id long, r long, c long")
 
+def squared_distances(cells: DataFrame, strip: int = STRIP) -> DataFrame:
+    """``cells`` with d2: the squared distance, in cells, to the nearest cell that is not among them.
 
-def min_cells(settings: Settings, cell: float) -> int:
-    return max(1, round(settings.min_gap_area_m2 / (cell * cell)))
+    First along columns, from the ends of each run of rows, then along rows within a strip of them.
+    """
+    column, row = Window.partitionBy("project_id", "c").orderBy("r"), Window.partitionBy("project_id", "c", "run")
+    ran = cells.withColumn("run", F.col("r") - F.row_number().over(column))
+    near = F.least(F.col("r") - F.min("r").over(row), F.max("r").over(row) - F.col("r")) + 1
+    kept = [c for c in cells.columns if c not in ("project_id", "r", "c")]
+    dealt = ran.withColumn("up", near).withColumn("strip", F.floor(F.col("r") / strip)).select("project_id", "strip", "r", "c", "up", *kept)
 
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        r, c = part["r"].to_numpy(), part["c"].to_numpy()
+        at = r - r.min(), c - c.min() + 1
+        column = np.zeros((at[0].max() + 1, at[1].max() + 2), np.int64)  # a column of none on either side
+        column[at] = part["up"].to_numpy() ** 2
+        best, d = column.copy(), 1
+        while d < column.shape[1] and d * d < best.max():
+            best[:, d:] = np.minimum(best[:, d:], column[:, :-d] + d * d)
+            best[:, :-d] = np.minimum(best[:, :-d], column[:, d:] + d * d)
+            d += 1
+        return part.drop(columns=["strip", "up"]).assign(d2=best[at])
 
-def patches(missed: DataFrame, grid: DataFrame, settings: Settings) -> DataFrame:
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in kept)
+    return dealt.groupBy("project_id", "strip").applyInPandas(run, f"project_id long, r long, c long, {kinds}{', ' if kinds else ''}d2 long")
+
+
+def patches(missed: DataFrame, grid: DataFrame, settings: Settings, tile: int = TILE) -> DataFrame:
     """project_id, r, c, patch, d2: cells of missed patches that are no specks.
 
     Patches are numbered from 1 by size, then by first row and column; d2 is the squared distance, in
     cells, to the nearest cell that belongs to no patch.
     """
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        mask, r0, c0 = _mask(part["r"].to_numpy(), part["c"].to_numpy(), 1, 1 << 40, 1 << 40)
-        found = label(mask)
-        sizes = np.bincount(found.ravel())
-        sizes[0] = 0
-        kept = np.flatnonzero(sizes >= min_cells(settings, float(part["cell"].iloc[0])))
-        order = kept[np.argsort(-sizes[kept], kind="stable")]  # numbers already follow first row, then column
-        rank = np.zeros(len(sizes), np.int32)
-        rank[order] = np.arange(1, len(order) + 1)
-        patch = rank[found]
-        r, c = np.nonzero(patch)
-        return pd.DataFrame({"project_id": key[0], "r": r + r0, "c": c + c0, "patch": patch[r, c], "d2": squared_distance(patch > 0)[r, c]})
-
-    sized = missed.select("project_id", "r", "c").join(grid.select("project_id", "cell"), "project_id")
-    return sized.groupBy("project_id").applyInPandas(run, "project_id long, r long, c long, patch int, d2 long")
+    cells = missed.select("project_id", "r", "c")
+    found = _labelled(_by_tile(cells, _boxes(cells), tile), True, tile)
+    roots = _joined(found)
+    placed = found.where("side = 0").select("project_id", "r", "c", "node")
+    if roots is not None:
+        placed = placed.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
+    sizes = placed.groupBy("project_id", "node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "c")).alias("first"))
+    least = F.greatest(F.lit(1), F.bround(F.lit(settings.min_gap_area_m2) / (F.col("cell") * F.col("cell"))))
+    kept = sizes.join(grid.select("project_id", "cell"), "project_id").where(F.col("n") >= least)
+    order = Window.partitionBy("project_id").orderBy(F.desc("n"), "first")
+    ranked = kept.select("project_id", "node", F.row_number().over(order).alias("patch"))
+    return squared_distances(placed.join(ranked, ["project_id", "node"]).select("project_id", "r", "c", "patch"))
 
 
 def patch_summaries(patch: DataFrame, grid: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def _(spark, d):
   ON project_id = p AND r = r0 AND c = c0 GROUP BY 1""", "cel"))
 def _(spark, d):
     t = Tables(spark, d)
-    closed = kernels.infer_field(t.cells, t.grid, t.settings, holes=False)
+    closed = kernels.infer_field(t.cells, t.grid, t.settings, fill=False)
     return closed.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r_sum"), F.sum("c").alias("c_sum"))
 
 

@@ -3,7 +3,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra import numpy as hnp
+from pyspark.sql import functions as F
 
+from fieldspan.model import Settings
 from fieldspan.operators import kernels
 
 masks = hnp.arrays(bool, st.tuples(st.integers(1, 12), st.integers(1, 12)))
@@ -45,20 +47,9 @@ def test_dilate_and_erode(mask, radius):
     assert (kernels.erode(mask, radius) == ~brute_dilate(~wide, radius)[radius:-radius, radius:-radius]).all()
 
 
-@settings(max_examples=40, deadline=None)
-@given(masks)
-def test_fill_holes(mask):
+def fill_holes(mask):
     outside = brute_label(np.pad(~mask, 1, constant_values=True))
-    assert (kernels.fill_holes(mask) == (outside != outside[0, 0])[1:-1, 1:-1]).all()
-
-
-@settings(max_examples=40, deadline=None)
-@given(masks)
-def test_squared_distance(mask):
-    zeros = np.argwhere(~np.pad(mask, 1)) - 1
-    found = kernels.squared_distance(mask)
-    for r, c in np.argwhere(mask):
-        assert found[r, c] == ((zeros - (r, c)) ** 2).sum(axis=1).min()
+    return (outside != outside[0, 0])[1:-1, 1:-1]
 
 
 @settings(max_examples=60, deadline=None)
@@ -75,7 +66,7 @@ def test_trace_bounds_the_filled_patch(mask):
     one = found == 1
     # holes count in; a hole that touches the outside only by a corner may or may not
     eight = ~one & (brute_label8(np.pad(~one, 1, constant_values=True)) != 1)[1:-1, 1:-1]
-    four = kernels.fill_holes(one) & ~one
+    four = fill_holes(one) & ~one
     assert one.sum() + eight.sum() <= area <= one.sum() + four.sum()
 
 
@@ -90,10 +81,74 @@ def brute_label8(mask):
     return out
 
 
-def test_strip_width():
-    for n in (1, 2, 3, 4, 5):
-        d = kernels.squared_distance(np.ones((n, 40), bool)).max()
-        assert 2 * d**0.5 == 2 * np.ceil(n / 2)
+def as_cells(spark, masks):
+    rows = [(k, int(r), int(c)) for k, m in enumerate(masks) for r, c in np.argwhere(m)]
+    return spark.createDataFrame(rows, "project_id long, r long, c long")
+
+
+def as_grid(spark, masks, cell=1.0):
+    return spark.createDataFrame([(k, 0.0, 0.0, cell, m.shape[1], m.shape[0]) for k, m in enumerate(masks)], "project_id long, x0 double, y0 double, cell double, nx long, ny long")
+
+
+def as_sets(rows, n):
+    out = [set() for _ in range(n)]
+    for r in rows:
+        out[r["project_id"]].add((r["r"], r["c"]))
+    return out
+
+
+@pytest.fixture(scope="module")
+def some_masks():
+    rng = np.random.default_rng(3)
+    out = [rng.random((int(rng.integers(1, 40)), int(rng.integers(1, 40)))) < p for p in (0.05, 0.3, 0.5, 0.6, 0.8, 0.95)]
+    ring = np.ones((33, 37), bool)
+    ring[4:29, 5:33] = False  # a hole over several tiles
+    ring[10, 10:20] = True
+    spiral = np.zeros((21, 21), bool)
+    for k in range(0, 10, 2):  # ground that winds through many tiles to the outside
+        spiral[k, k:21 - k] = spiral[20 - k, k:21 - k] = True
+        spiral[k:21 - k, k] = spiral[k:21 - k, 20 - k] = True
+        spiral[k + 1 + k % 4, k] = False
+    return [*(m for m in out if m.any()), ring, spiral, np.ones((1, 1), bool)]
+
+
+@pytest.mark.parametrize("tile", [7, 1024])
+def test_closing_and_holes_by_tile(spark, some_masks, tile):
+    """Radius 2 (a band of 1 m, factor 2, cells of 1 m): every tile size gives what the whole mask gives."""
+    cells, grid = as_cells(spark, some_masks), as_grid(spark, some_masks)
+    closed = as_sets(kernels.closed_cells(cells, grid, Settings(), tile).collect(), len(some_masks))
+    field = kernels.infer_field(cells, grid, Settings(), tile=tile).collect()
+    assert len(field) == len({(r["project_id"], r["r"], r["c"]) for r in field})
+    filled = as_sets(field, len(some_masks))
+    alone = as_sets(kernels.holes(cells, tile).collect(), len(some_masks))
+    for m, a, b, h in zip(some_masks, closed, filled, alone):
+        grown = brute_dilate(m, 2)
+        whole = ~brute_dilate(np.pad(~grown, 2, constant_values=True), 2)[2:-2, 2:-2] | m
+        assert a == set(map(tuple, np.argwhere(whole))) and b == set(map(tuple, np.argwhere(fill_holes(whole) | whole)))
+        assert h == set(map(tuple, np.argwhere(fill_holes(m) & ~m)))
+
+
+@pytest.mark.parametrize("tile,least", [(7, 2.0), (1024, 2.0), (5, 0.1)])
+def test_patches_by_tile(spark, some_masks, tile, least):
+    rows = kernels.patches(as_cells(spark, some_masks), as_grid(spark, some_masks), Settings(min_gap_area_m2=least), tile).collect()
+    for k, m in enumerate(some_masks):
+        found = brute_label(m)
+        sizes = np.bincount(found.ravel(), minlength=found.max() + 1)
+        kept = [n for n in range(1, found.max() + 1) if sizes[n] >= max(1, round(least))]
+        order = sorted(kept, key=lambda n: (-sizes[n], tuple(np.argwhere(found == n)[0])))
+        want = np.zeros(m.shape, int)
+        for i, n in enumerate(order, 1):
+            want[found == n] = i
+        zeros = np.argwhere(~np.pad(want > 0, 1)) - 1
+        got = {(r["r"], r["c"]): (r["patch"], r["d2"]) for r in rows if r["project_id"] == k}
+        assert got == {(a, b): (want[a, b], ((zeros - (a, b)) ** 2).sum(axis=1).min()) for a, b in np.argwhere(want)}
+
+
+def test_strip_width(spark):
+    """A strip of n cells is 2 * ceil(n / 2) wide, also where it crosses strips of rows."""
+    masks = [np.ones((n, 40), bool) for n in (1, 2, 3, 4, 5)] + [np.ones((40, n), bool) for n in (1, 2, 3, 4, 5)]
+    d = {r["project_id"]: r["d2"] for r in kernels.squared_distances(as_cells(spark, masks), strip=3).groupBy("project_id").agg(F.max("d2").alias("d2")).collect()}
+    assert all(2 * d[k] ** 0.5 == 2 * np.ceil((k % 5 + 1) / 2) for k in range(10))
 
 
 def test_simplify_and_hull():
@@ -101,10 +156,3 @@ def test_simplify_and_hull():
     assert len(kernels.simplify(ring, 0.75)) == 5
     square = np.array([[a, b] for a in range(4) for b in range(4)], float)
     assert len(kernels.hull(square)) == 5
-
-
-@pytest.mark.parametrize("cell,n", [(0.25, 32), (0.5, 8), (2.0, 1)])
-def test_speck_limit_rounds_half_even(cell, n):
-    from fieldspan.model import Settings
-
-    assert kernels.min_cells(Settings(), cell) == n
