@@ -10,8 +10,9 @@ chunk's mask holds code-point spans within its own text.
 
 Edge cases: null text is an empty turn; a null role is the speaker ``unknown``; turns with a null
 conv_id form one conversation; equal turn numbers are ordered by role and text, null ones first;
-repeated rows are turns of their own; ``<|`` inside a text is written ``<\\|`` so that no text can
-forge a mark; an empty table gives no rows.
+repeated rows are turns of their own; an empty table gives no rows. ``<|`` inside a text or a role is
+written ``<\\|``, and ``|>`` inside a role ``|\\>``, so that neither can forge a mark; between these two signs
+one backslash is added to those that are there, so taking one away gives the text back.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ NARRATORS, UNKNOWN = ("system",), "unknown"
 
 
 def _clean(c: Column) -> Column:
-    return F.replace(F.coalesce(c, F.lit("")), F.lit(OPEN), F.lit("<\\|"))
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"<(\\*)\|", r"<\\$1|")
+
+
+def _clean_name(c: Column) -> Column:
+    return F.regexp_replace(_clean(c), r"\|(\\*)>", r"|\\$1>")
 
 
 def render(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -47,7 +52,7 @@ def render(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     speakers = turns.where(~F.col("role").isin(*NARRATORS)).select("conv", F.col("role").alias("perspective")).distinct()
     seen = placed.join(speakers, "conv")
     mine = F.col("role") == F.col("perspective")
-    head = F.when(mine, F.lit("assistant")).when(F.col("role").isin(*NARRATORS), F.col("role")).otherwise(F.concat(F.lit("user name="), _clean(F.col("role"))))
+    head = F.when(mine, F.lit("assistant")).when(F.col("role").isin(*NARRATORS), F.col("role")).otherwise(F.concat(F.lit("user name="), _clean_name(F.col("role"))))
     parts = seen.select(
         "conv", "perspective", "chunk",
         F.struct("place", F.concat(F.lit(OPEN), head, F.lit(CLOSE + "\n")).alias("head"), F.concat(_clean(F.col("text")), F.lit(END)).alias("body"), mine.alias("mine")).alias("turn"),
@@ -85,8 +90,8 @@ WITH t AS (
   SELECT DISTINCT conv, role AS perspective FROM t WHERE role <> 'system'
 ), r AS (
   SELECT n.conv, perspective, CAST(place // 512 AS INT) AS chunk, place, role = perspective AS mine,
-    '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || replace(role, '<|', '<\|') END || '|>' || chr(10) AS head,
-    replace(text, '<|', '<\|') || '<|end|>' || chr(10) AS body
+    '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') END || '|>' || chr(10) AS head,
+    regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body
   FROM n JOIN s ON n.conv = s.conv
 ), p AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv, perspective, chunk ORDER BY place) AS stop FROM r

@@ -150,26 +150,24 @@ def encode(docs: DataFrame, model: str = MODEL, keep: list[str] | None = None) -
     own = ["n_pieces", "piece_ids", "round_trip"]
     keep = [c for c in (keep if keep is not None else ["doc_id"]) if c not in own]
     shared = spark.sparkContext.broadcast(Pieces.load(model))  # as large as the model's vocabulary
-    # The text comes last, under a name that no caller's column has.
-    name = max((c for c in docs.columns), key=len, default="") + "_"
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce("text", F.lit("")).alias(name))
+    # The caller's columns travel as one struct, so their names do not matter.
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in keep)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
         for batch in batches:
-            sizes = pc.utf8_length(batch.column(len(keep))).to_numpy(zero_copy_only=False)
+            sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for at, end in _blocks(sizes):
                 part = batch.slice(at, end - at)
-                texts = part.column(len(keep)).to_pylist()
+                texts = part.column(1).to_pylist()
                 ids = pieces.encode(texts)
                 many = np.array([len(x) for x in ids], np.int32)
                 same = [pieces.decode(x.tolist()) == t for x, t in zip(ids, texts)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(np.concatenate(ids)))
-                columns = [*(part.column(i) for i in range(len(keep))), pa.array(many.astype(np.int64)), lists, pa.array(same)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *own])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(many.astype(np.int64)), lists, pa.array(same)], names=["row", *own])
 
-    schema = StructType([rows.schema[c] for c in keep]).add("n_pieces", LongType()).add("piece_ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
-    return rows.mapInArrow(run, schema)
+    schema = StructType([rows.schema["row"]]).add("n_pieces", LongType()).add("piece_ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
+    return rows.mapInArrow(run, schema).select(*(F.col("row")[c].alias(c) for c in keep), *own)
 
 
 def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:

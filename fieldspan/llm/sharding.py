@@ -5,7 +5,8 @@ each shard; it is drawn from the exact law of a uniform permutation, a chain of
 under the partitions' sizes and the shards' capacities. Each partition permutes its rows and deals
 them by its matrix row; each shard permutes what it got. Shard sizes differ by one row at most.
 
-The draws run as one SQL fold over partitions x shards, whose size does not depend on the rows.
+The draws run as SQL folds: one deals the shards' capacities to groups of ``GROUP`` partitions, then each
+group, a row of its own, deals its share to its partitions. Their size does not depend on the rows.
 A draw walks outward from the mode by the ratio of neighbouring probabilities, so nothing underflows.
 
 Edge cases: null text counts as empty (size 1); null ids are kept; equal rows are dealt out
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows a logical partition or block holds on average, and the most partitions.
-ROWS_EACH, MOST_PARTITIONS = 20_000, 4096
+ROWS_EACH, MOST_PARTITIONS = 20_000, 65_536
+#: Partitions whose draws are one fold.
+GROUP = 256
 
 
 def _pick(n: str, k: str, total: str, u: str, tag: str) -> str:
@@ -55,21 +58,32 @@ def matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
 
     ``counts`` has part (0 to P - 1, each once) and rows.
     """
-    gathered = counts.agg(F.sort_array(F.collect_list(F.struct("part", "rows"))).alias("c"), F.sum("rows").alias("n"))
-    u = f"shiftrightunsigned(xxhash64({seed}L, p, s), 11) * 1.1102230246251565E-16D"
+    grouped = counts.withColumn("group", F.floor(F.col("part") / GROUP).cast("int"))
+    among = grouped.groupBy("group").agg(F.sum("rows").alias("rows"))
+    whole = among.agg(F.sort_array(F.collect_list(F.struct(F.col("group").alias("part"), "rows"))).alias("c"), F.sum("rows").alias("n")).where("size(c) > 0")
+    even = F.expr(f"transform(sequence(0, {shards - 1}), s -> n div {shards} + if(s < n % {shards}, 1L, 0L))")
+    shares = _dealt(whole.select(F.lit(-1).alias("g"), "c", even.alias("rem")), shards, seed).select(F.col("part").alias("group"), F.col("sent").alias("rem"))
+    each = grouped.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("part", "rows"))).alias("c"))  # at most GROUP partitions
+    sent = _dealt(each.join(shares, "group").select(F.col("group").alias("g"), "c", "rem"), shards, seed)
+    running = "transform(sequence(1, size(sent)), i -> aggregate(slice(sent, 1, i), 0L, (x, y) -> x + y))"
+    return sent.select("part", F.expr(running).alias("cuts"))
+
+
+def _dealt(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """part, sent: what each part of ``c`` (part, rows) sends to each shard, if all of them send ``rem`` (g tells the rows' draws apart)."""
+    u = f"shiftrightunsigned(xxhash64({seed}L, g, p, s), 11) * 1.1102230246251565E-16D"
     draw = _pick("b.left", "a.rem[s]", "b.total", u, "d")
     give = f"if(s = {shards - 1} or b.left = 0, b.left, if(a.rem[s] = 0, 0L, if(a.rem[s] = b.total, b.left, {draw})))"
     row = f"""aggregate(sequence(0, {shards - 1}),
         named_struct('left', c[p].rows, 'total', aggregate(a.rem, 0L, (x, y) -> x + y), 'row', cast(array() as array<bigint>)),
-        (b, s) -> element_at(transform(array({give}), g -> named_struct('left', b.left - g, 'total', b.total - a.rem[s], 'row', concat(b.row, array(g)))), 1),
+        (b, s) -> element_at(transform(array({give}), y -> named_struct('left', b.left - y, 'total', b.total - a.rem[s], 'row', concat(b.row, array(y)))), 1),
         b -> b.row)"""
     fold = f"""aggregate(sequence(0, size(c) - 1),
-        named_struct('rem', transform(sequence(0, {shards - 1}), s -> n div {shards} + if(s < n % {shards}, 1L, 0L)), 'out', cast(array() as array<array<bigint>>)),
+        named_struct('rem', rem, 'out', cast(array() as array<array<bigint>>)),
         (a, p) -> element_at(transform(array({row}), r -> named_struct('rem', zip_with(a.rem, r, (x, y) -> x - y), 'out', concat(a.out, array(r)))), 1),
         a -> a.out)"""
-    running = "transform(sequence(1, size(sent)), i -> aggregate(slice(sent, 1, i), 0L, (x, y) -> x + y))"
-    drawn = gathered.where("size(c) > 0").select("c", F.expr(fold).alias("out")).select(F.posexplode(F.arrays_zip("c", "out")).alias("i", "x"))
-    return drawn.select(F.col("x.c.part").alias("part"), F.col("x.out").alias("sent")).select("part", F.expr(running).alias("cuts"))
+    drawn = rows.select("c", F.expr(fold).alias("out")).select(F.posexplode(F.arrays_zip("c", "out")).alias("i", "x"))
+    return drawn.select(F.col("x.c.part").alias("part"), F.col("x.out").alias("sent"))
 
 
 def shards(docs: DataFrame, n_shards: int = 8, seed: int = 20) -> DataFrame:
