@@ -177,6 +177,23 @@ def test_empty_input(spark):
     assert analyze(as_fixes(generate.straight_pass(spark)).where("1 = 0")).summary.count() == 0
 
 
+def test_a_coarse_log_of_a_whole_run(spark):
+    """Positions every 3 s: three loads, two of them emptied, missed ground and overlap."""
+    a = analyze(as_fixes(generate.walk(spark, interval_s=3.0)), base=BASE)
+    s = one(a.summary)
+    assert s["sprayed_area_ha"] == pytest.approx(0.09, abs=0.03) and (s["tank_loads"], s["refills"]) == (3, 2)
+    assert [r["is_complete"] for r in a.volumes.orderBy("load_no").collect()] == [True, True, False]
+    assert s["gap_area_ha"] > 0.003 and s["overlap_pct"] > 0.5
+
+
+def test_defaults_from_the_environment():
+    given = {"FIELDSPAN_SWATH_WIDTH_M": "2.5", "FIELDSPAN_TANK_CAPACITY_L": "much", "FIELDSPAN_MAX_GAP_S": ""}
+    s = Settings.from_environment(given)
+    assert (s.swath_width_m, s.tank_capacity_l, s.max_gap_s) == (2.5, 18.0, 45.0)
+    assert Base.from_environment({}) is None and Base.from_environment({"FIELDSPAN_BASE_LAT": "0", "FIELDSPAN_BASE_LON": "0.0"}) is None
+    assert Base.from_environment({"FIELDSPAN_BASE_LAT": "38.3", "FIELDSPAN_BASE_LON": "32.9", "FIELDSPAN_BASE_RADIUS_M": "5"}) == Base(38.3, 32.9, 5.0)
+
+
 def test_settings():
     with pytest.raises(ValueError):
         Settings(min_speed_kmh=5)
