@@ -39,9 +39,9 @@ from .common import doc_id_of, doc_rows, staged, unstage
 #: Bytes of context (six at most: a context and its byte are one long); bytes by which contexts are dealt.
 ORDER, DEALT = 6, 3
 #: Words and code lengths that are sent to every task; the others are joined.
-MOST_WORDS, MOST_SHARED = 250_000, 3_000_000
+MOST_WORDS, MOST_SHARED = 250_000, 2_500_000
 #: Words and contexts that a task gathers before it hands them on, and bytes of text that it works on at once.
-MOST_HELD, MOST_GATHERED, BLOCK_BYTES = 300_000, 6_000_000, 4_000_000
+MOST_HELD, MOST_GATHERED, BLOCK_BYTES = 300_000, 2_500_000, 4_000_000
 PRIOR, DISCOUNT = 0.1, 0.5
 END = b"\n"  # no word has it
 
@@ -138,8 +138,11 @@ def count_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if size > BLOCK_BYTES:
                     close()
                 if held > MOST_GATHERED:
-                    yield out()
-                    held = 0
+                    parts[:] = [_added(parts)]
+                    held = len(parts[0][0])
+                    if held > MOST_GATHERED:
+                        yield out()
+                        held = 0
         close()
         if parts:
             yield out()
@@ -243,15 +246,17 @@ class Lookup(NamedTuple):
     @classmethod
     def of(cls, keys: np.ndarray, values: np.ndarray) -> Lookup:
         size = 1 << max(4, int(len(keys) * 1.3).bit_length())
-        table, held = cls(np.full(size, -1, np.int64), np.zeros(size)), np.arange(len(keys))
-        at = table.place(keys)
-        while len(held):
-            free = table.keys[at[held]] == -1
-            spots, first = np.unique(at[held[free]], return_index=True)
-            won = held[free][first]
-            table.keys[spots], table.values[spots] = keys[won], values[won]
-            held = held[table.keys[at[held]] != keys[held]]
-            at[held] = (at[held] + 1) & (size - 1)
+        table, step = cls(np.full(size, -1, np.int64), np.zeros(size)), 1 << 18
+        for begin in range(0, len(keys), step):  # a part at a time, so that little is held beside the table
+            some, theirs = keys[begin : begin + step], values[begin : begin + step]
+            held, at = np.arange(len(some)), table.place(some)
+            while len(held):
+                free = table.keys[at[held]] == -1
+                spots, first = np.unique(at[held[free]], return_index=True)
+                won = held[free][first]
+                table.keys[spots], table.values[spots] = some[won], theirs[won]
+                held = held[table.keys[at[held]] != some[held]]
+                at[held] = (at[held] + 1) & (size - 1)
         return table
 
     def place(self, keys: np.ndarray) -> np.ndarray:
@@ -298,11 +303,12 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     unstage(contexts)
     common_words, other_words = _frequent(words, MOST_WORDS)
     common_lengths, other_lengths = _frequent(lengths, MOST_SHARED)
-    table = common_words.toArrow()
-    word_of = dict(zip(table.column("word").to_pylist(), zip((table.column("c").to_numpy() > 0).tolist(), table.column("base").to_pylist())))
-    table = common_lengths.select("key", "lp", "c").toArrow().sort_by([("c", "descending")])
-    shared = spark.sparkContext.broadcast((word_of, Lookup.of(table.column("key").to_numpy(), table.column("lp").to_numpy())))
-    del table
+    table = common_words.select("word", "base").toArrow()
+    word_of = dict(zip(table.column("word").to_pylist(), table.column("base").to_pylist()))
+    table = common_lengths.orderBy(F.desc("c")).select("key", "lp").toArrow()
+    shared = spark.sparkContext.broadcast((word_of, Lookup.of(*(table.column(c).to_numpy() for c in ("key", "lp")))))
+    unknown = float(np.log10(PRIOR / (tokens + PRIOR * (kinds + 1)))) + 1e-9  # words without a training token have a base below this
+    del table, word_of
 
     def scored(kids: list[int], hashes: list[int], cut: list[list[bytes]]) -> pa.RecordBatch:
         word_of, lookup = shared.value
@@ -314,13 +320,13 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if found is None:
                     rare.append((kid, h, word, times))
                 else:
-                    seen += found[0] * times
-                    base += found[1] * times
+                    seen += times if found > unknown else 0
+                    base += found * times
             found = word_of.get(b"")
             if found is None:
                 rare.append((kid, h, b"", 1))
             else:
-                seen, base = seen + found[0], base + found[1]
+                seen, base = seen + (found > unknown), base + found
             heads.append((kid, h, len(own) + 1, seen, base))
         keys, many = context_keys([stream(own) for own in cut], order)
         lp = lookup.find(keys)
@@ -358,6 +364,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     rows = doc_rows(docs).select("kid", "h", F.col("text").cast("binary").alias("text"))
     parts = staged(rows.mapInArrow(run, "kid long, h long, copies long, total long, seen long, base double, lp double, word binary, tf long, key long"))
+    shared.destroy()
     sums = ["copies", "total", "seen", "base", "lp"]
     heads = parts.where("copies = 1").select("kid", "h", *sums)
     none, zero = F.lit(0).cast("long"), F.lit(0.0)
