@@ -27,7 +27,8 @@ from .common import packed, unpacked
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
 #: The sample's bound: about so many documents of each language, and about so many in all, the same for each language.
-PER_LANGUAGE, MOST_SAMPLED = 700, 20_000
+#: A document has at most DIM different buckets, six bytes each, so the sample has less than 600 MB whatever the texts.
+PER_LANGUAGE, MOST_SAMPLED = 700, 6_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 4
 UNDETERMINED = "und"
 
@@ -149,12 +150,12 @@ def train(docs: DataFrame) -> Model:
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts = [gram_counts(t) for t in batch["text"]]
-            index = [np.flatnonzero(c).astype(np.int32) for c in counts]
+            index = [np.flatnonzero(c).astype(np.uint16) for c in counts]  # DIM fits
             yield pd.DataFrame({"place": batch["place"], "lang": batch["lang"], "index": [i.tobytes() for i in index], "count": [c[i].astype(np.int32).tobytes() for c, i in zip(counts, index)]})
 
     sample = labelled.where(uniform < share).mapInPandas(features, "place long, lang string, index binary, count binary").collect()
     sample.sort(key=lambda r: (r["place"], r["lang"]))
-    rows = [(classes.index(r["lang"]), np.frombuffer(r["index"], np.int32), np.frombuffer(r["count"], np.int32)) for r in sample if r["index"]]
+    rows = [(classes.index(r["lang"]), np.frombuffer(r["index"], np.uint16).astype(np.int64), np.frombuffer(r["count"], np.int32)) for r in sample if r["index"]]
     return learn(rows, classes, idf)
 
 
