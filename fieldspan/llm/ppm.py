@@ -305,7 +305,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     common_lengths, other_lengths = _frequent(lengths, MOST_SHARED)
     table = common_words.select("word", "base").toArrow()
     word_of = dict(zip(table.column("word").to_pylist(), table.column("base").to_pylist()))
-    table = common_lengths.orderBy(F.desc("c")).select("key", "lp").toArrow()
+    table = common_lengths.orderBy(F.desc("c"), "key").select("key", "lp").toArrow()
     shared = spark.sparkContext.broadcast((word_of, Lookup.of(*(table.column(c).to_numpy() for c in ("key", "lp")))))
     unknown = float(np.log10(PRIOR / (tokens + PRIOR * (kinds + 1)))) + 1e-9  # words without a training token have a base below this
     del table, word_of
