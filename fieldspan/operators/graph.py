@@ -33,14 +33,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return out.where("a <> b").distinct()
 
     current = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+
+    def state(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    mark = state(current)
     for _ in range(most_rounds):
-        before, current = current, staged(star(star(current, True), False))
-        unstage(before)
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == mark:
+        if mark[0]:
+            before, current = current, staged(star(star(current, True), False))
+            unstage(before)
+            last, mark = mark, state(current)
+        if not mark[0] or mark == last:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        mark = state
     raise RuntimeError("components did not settle")
