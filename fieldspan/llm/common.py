@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from fieldspan.operators.graph import components
 from fieldspan.staging import shared_dir, staged, unstage
 
-__all__ = ["NO_ID", "components", "doc_id_of", "doc_rows", "kept_rows", "numbered", "packed", "shared_dir", "shuffle_width", "split_by_keys", "staged", "unpacked", "unstage"]
+__all__ = ["NO_ID", "components", "doc_id_of", "doc_rows", "kept_rows", "marked", "numbered", "packed", "shared_dir", "shuffle_width", "split_by_keys", "staged", "unpacked", "unstage"]
 
 #: Stands in for a null doc_id inside joins; ``row_hash`` keeps the two apart.
 NO_ID = -(2**63)
-#: Bits of the filter of ``split_by_keys``: 1 MB at most travels to the tasks.
+#: Bits of a filter of keys: so many bits (1 MB by default) at most travel to the tasks.
 FILTER_BITS = 1 << 23
 
 
@@ -52,27 +52,35 @@ def kept_rows(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
     Where all ids are null it is the smallest text hash; of rows that repeat a key one stays.
     """
     first = groups.groupBy(group).agg(F.min(F.struct((F.col("kid") == NO_ID).alias("unnamed"), "kid", "h")).alias("m"))
-    chosen = first.select("m.kid", "m.h")
+    chosen = staged(first.select("m.kid", "m.h"))
+    unstage(*getattr(groups, "_held", ()))
     again = Window.partitionBy("kid", "h").orderBy("kid")
     kept = packed(docs).join(chosen, ["kid", "h"], "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1")
     return unpacked(kept)
 
 
+def marked(df: DataFrame, keys: DataFrame, *by: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with ``hit``: whether the columns ``by`` may be among those of ``keys``; where it is false they are not.
+
+    A bitmap of hashed keys, of a fixed size, travels to the tasks, so no row moves. Where keys are
+    very many it marks most rows, and what follows takes longer; it never leaves one out.
+    """
+    spot = F.pmod(F.xxhash64(*by), F.lit(bits)).cast("long")
+    width = 32768  # bits of one bitmap of Spark's
+    maps = keys.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / width).alias("block")).agg(F.bitmap_construct_agg(F.col("spot") % width).alias("bits"))
+    found = df.withColumn("spot", spot).withColumn("block", F.floor(F.col("spot") / width)).join(F.broadcast(maps), "block", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(bits, int((spot % {width}) div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("spot") % 8).cast("int")) == 1, F.lit(False))
+    return found.select(*df.columns, hit.alias("hit"))
+
+
 def split_by_keys(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose (kid, h) may be among those of ``keys``, and rows whose is not.
 
-    A bitmap of hashed keys, of a fixed size, travels to the tasks, so the second part never moves. The
-    first has all rows of ``keys``, and a few others.
+    The first has all rows of ``keys``, and a few others; the second never moves.
     """
-    spot = F.pmod(F.xxhash64("kid", "h"), F.lit(FILTER_BITS)).cast("long")
-    width = 32768  # bits of one bitmap of Spark's
-    bits = keys.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / width).alias("block")).agg(F.bitmap_construct_agg(F.col("spot") % width).alias("bits"))
-    found = df.withColumn("spot", spot).withColumn("block", F.floor(F.col("spot") / width)).join(F.broadcast(bits), "block", "left")
-    at = F.col("spot") % width
-    byte = F.conv(F.hex(F.expr("substring(bits, int((spot % 32768) div 8) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    marked = found.withColumn("hit", hit)
-    return marked.where("hit").select(*df.columns), marked.where("not hit").select(*df.columns)
+    found = marked(df, keys, "kid", "h")
+    return found.where("hit").drop("hit"), found.where("not hit").drop("hit")
 
 
 def doc_id_of(kid: Column) -> Column:
