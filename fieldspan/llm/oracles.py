@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .chat import ROTATED_SQL
+from .lexical import SEARCH_SQL
+from .negatives import NEGATIVES_SQL
 from .secrets import RULES
 
 #: Windows of 35 words that occur twice, and what is left without their words.
@@ -46,4 +48,4 @@ a AS (SELECT rid, count(*) FILTER (kno = 0) AS n_assign, count(*) FILTER (kno =
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)"""
 
 
-ORACLES = {"op6_substring": REPEATS_SQL, "op8_chat": ROTATED_SQL, "op10_secrets": scan_sql()}
+ORACLES = {"op6_substring": REPEATS_SQL, "op8_chat": ROTATED_SQL, "op10_secrets": scan_sql(), "op12_hard_negatives": NEGATIVES_SQL, "op13_search": SEARCH_SQL}

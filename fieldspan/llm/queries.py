@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprint, langid, pieces, ppm, secrets, sharding, simhash, substring
+from . import chat, decontam, fingerprint, langid, lexical, linecrf, negatives, pieces, ppm, secrets, sharding, simhash, substring
 from .oracles import ORACLES
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": lambda s, d: chat.rotated(table(s, d, "conversations")),
         "op9_language": lambda s, d: langid.identify(table(s, d, "documents")),
         "op10_secrets": lambda s, d: secrets.scan(table(s, d, "documents")),
+        "op11_line_field": lambda s, d: linecrf.quality(table(s, d, "documents"), table(s, d, "labels")),
+        "op12_hard_negatives": lambda s, d: negatives.hard_negatives(table(s, d, "embeddings")),
+        "op13_search": lambda s, d: lexical.search(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 
 
