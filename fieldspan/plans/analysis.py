@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.functions import geo
 from fieldspan.model import MOST_PATCHES, SILENT, Base, Settings
-from fieldspan.operators import coverage, kernels, metrics, motion, sinks
+from fieldspan.operators import coverage, kernels, metrics, motion, outlines, sinks
 from fieldspan.operators.motion import TRACK
 from fieldspan.staging import staged, unstage
 
@@ -221,7 +221,7 @@ class Analysis:
     def outlines(self) -> DataFrame:
         """project_id, patch, ring: closed rings of lon, lat with 7 decimals."""
         self._stage("patches")
-        rings = kernels.outlines(self.patches, self.grid).select("project_id", "patch", F.posexplode("ring").alias("i", "p"))
+        rings = outlines.outlines(self.patches, self.grid).select("project_id", "patch", F.posexplode("ring").alias("i", "p"))
         spots = self.located(rings.select("project_id", "patch", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")))
         each = spots.groupBy("project_id", "patch").agg(F.sort_array(F.collect_list(F.struct("i", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat")))).alias("q"))
         return each.select("project_id", "patch", F.transform("q", lambda p: F.array(p["lon"], p["lat"])).alias("ring"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldspan.functions import geo
 from fieldspan.functions.times import iso_utc
 from fieldspan.model import MOST_PATCHES, Base, Settings
-from fieldspan.operators import coverage, kernels, motion, placement, results, sinks, snap
+from fieldspan.operators import coverage, kernels, motion, outlines, placement, results, sinks, snap
 from fieldspan.plans.oracles import over
 from fieldspan.plans.tables import Tables
 from fieldspan.sources import generate, images, readers
@@ -116,7 +116,7 @@ def _(spark, d):
 def _(spark, d):
     t = Tables(spark, d)
     patch = kernels.patches(t.missed, t.grid, t.settings)
-    found = kernels.patch_summaries(patch.where(F.col("patch") <= MOST_PATCHES), t.grid).join(kernels.outlines(patch, t.grid), ["project_id", "patch"])
+    found = kernels.patch_summaries(patch.where(F.col("patch") <= MOST_PATCHES), t.grid).join(outlines.outlines(patch, t.grid), ["project_id", "patch"])
     return sinks.collection(sinks.gap_features(found.withColumns({"lat": F.col("y"), "lon": F.col("x")})))
 
 
@@ -241,7 +241,7 @@ def _(spark, d):
 @query("o110_outlines", None)
 def _(spark, d):
     t = Tables(spark, d)
-    return kernels.outlines(kernels.patches(t.missed, t.grid, t.settings), t.grid)
+    return outlines.outlines(kernels.patches(t.missed, t.grid, t.settings), t.grid)
 
 
 @query("o111_usable_rings", "SELECT o_orderkey, o_orderkey % 6 >= 3 AS usable FROM orders")

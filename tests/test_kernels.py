@@ -52,35 +52,6 @@ def fill_holes(mask):
     return (outside != outside[0, 0])[1:-1, 1:-1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(masks)
-def test_trace_bounds_the_filled_patch(mask):
-    found = brute_label(mask)
-    if not found.max():
-        return
-    r, c = np.nonzero(found == 1)
-    ring = np.array(kernels.trace(r, c), float)
-    x, y = ring[:, 0], ring[:, 1]
-    area = 0.5 * (x[:-1] * y[1:] - x[1:] * y[:-1]).sum()
-    assert (ring[0] == ring[-1]).all() and len(ring) >= 5
-    one = found == 1
-    # holes count in; a hole that touches the outside only by a corner may or may not
-    eight = ~one & (brute_label8(np.pad(~one, 1, constant_values=True)) != 1)[1:-1, 1:-1]
-    four = fill_holes(one) & ~one
-    assert one.sum() + eight.sum() <= area <= one.sum() + four.sum()
-
-
-def brute_label8(mask):
-    out = np.zeros(mask.shape, int)
-    todo = [(0, 0)]
-    while todo:
-        a, b = todo.pop()
-        if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not out[a, b]:
-            out[a, b] = 1
-            todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    return out
-
-
 def as_cells(spark, masks):
     rows = [(k, int(r), int(c)) for k, m in enumerate(masks) for r, c in np.argwhere(m)]
     return spark.createDataFrame(rows, "project_id long, r long, c long")
@@ -149,10 +120,3 @@ def test_strip_width(spark):
     masks = [np.ones((n, 40), bool) for n in (1, 2, 3, 4, 5)] + [np.ones((40, n), bool) for n in (1, 2, 3, 4, 5)]
     d = {r["project_id"]: r["d2"] for r in kernels.squared_distances(as_cells(spark, masks), strip=3).groupBy("project_id").agg(F.max("d2").alias("d2")).collect()}
     assert all(2 * d[k] ** 0.5 == 2 * np.ceil((k % 5 + 1) / 2) for k in range(10))
-
-
-def test_simplify_and_hull():
-    ring = np.array([[0, 0], [1, 0], [2, 0.1], [4, 0], [4, 4], [0, 4], [0, 0]], float)
-    assert len(kernels.simplify(ring, 0.75)) == 5
-    square = np.array([[a, b] for a in range(4) for b in range(4)], float)
-    assert len(kernels.hull(square)) == 5
