@@ -109,11 +109,16 @@ def scored(pairs: DataFrame, held: DataFrame, wanted: DataFrame) -> DataFrame:
     ``wanted``: item, term, gain (occurrences times weight).
     """
     own = pairs.distinct().join(held.select("doc", "doc_id", "unit", "terms", "times"), "doc")
-    each = own.select("item", "doc", "doc_id", "unit", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("item", "doc", "doc_id", F.col("t.terms").alias("term"), F.col("t.times").alias("times"), "unit")
-    met = each.join(wanted.select("item", "term", "gain"), ["item", "term"])
+    met = _posted(own, "item", "doc_id").join(wanted.select("item", "term", "gain"), ["item", "term"])
     return met.groupBy("item", "doc", "doc_id").agg(F.sum(F.col("gain") * _gained()).alias("score"))
 
 
+def _posted(rows: DataFrame, *keep: str) -> DataFrame:
+    """doc, unit, keep..., term, times: a row for each term of each row."""
+    each = rows.select("doc", "unit", *keep, F.explode(F.arrays_zip("terms", "times")).alias("t"))
+    return each.select("doc", "unit", *keep, F.col("t.terms").alias("term"), F.col("t.times").alias("times"))
+
+
 def _gained() -> Column:
     """The impact of ``times`` occurrences where ``unit`` is the length's part of the divisor."""
     return F.expr(f"({IMPACT} * times) div ({TIMES} * times + unit)")
@@ -123,14 +128,15 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     """item_id, rank (from 1), doc_id, score: the ``k`` best documents of each item."""
     asked = item_terms(items)
     vocabulary = staged(asked.select("term").distinct())
-    read = postings(docs, term_filter(vocabulary))
-    docs_n, length = read.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    posted = postings(docs, term_filter(vocabulary))
+    docs_n, length = posted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     unit = F.expr(f"{LENGTH} * ({100 - SHARE} + ({SHARE} * n * {docs_n}L) div {max(1, length)}L)")
-    held = read.select("doc", "doc_id", unit.alias("unit"), "terms", "times")
-    lists = held.select("doc", "unit", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("doc", F.col("t.terms").alias("term"), F.col("t.times").alias("times"), "unit")
+    read = posted.select("doc", "doc_id", unit.alias("unit"), "terms", "times")
+    # Dealt by document once: candidates are found and scored where their document's terms lie.
+    held = read.repartition("doc")
 
     # What is stored of each term: its documents, and the k highest impacts with their documents.
-    each = lists.select("term", "doc", _gained().alias("impact"))
+    each = _posted(read).select("term", "doc", _gained().alias("impact"))
     df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("top")).join(vocabulary, "term", "left_semi")
     heads = staged(_ranked(each, "term", k, F.desc("impact"), F.col("doc")).join(vocabulary, "term", "left_semi"))
     kth = heads.where(F.col("rank") == k).select("term", F.col("impact").alias("kth"))
@@ -151,12 +157,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     rest = F.coalesce(F.max(F.when(~kept, F.col("suffix"))).over(Window.partitionBy("item")), F.lit(0))
     needed = staged(bound.select("item", "term", "gain", (F.col("seed") - rest).alias("least"), kept.alias("kept")).where("kept").drop("kept"))
 
-    part = lists.join(needed, "term").groupBy("item", "doc", "least").agg(F.sum(F.col("gain") * _gained()).alias("part"))
+    part = _posted(held).join(needed, "term").groupBy("item", "doc", "least").agg(F.sum(F.col("gain") * _gained()).alias("part"))
     candidates = part.where(F.col("part") >= F.col("least")).select("item", "doc")
     final = _ranked(scored(candidates, held, wanted).where("score > 0"), "item", k, F.desc("score"), F.col("doc_id").asc_nulls_last(), F.col("doc"))
     names = wanted.select("item", "item_id").distinct()
     out = staged(final.join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
-    unstage(asked, vocabulary, read, heads, wanted, needed)
+    unstage(asked, vocabulary, posted, heads, wanted, needed)
     return out
 
 
