@@ -143,40 +143,6 @@ def minus_cells(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*CELL), CELL, "left_anti")
 
 
-def usable_rings(rings: DataFrame) -> DataFrame:
-    """Rings of three points or more that are not all on one line."""
-    bent = F.expr(
-        "exists(sequence(1, greatest(1, size(points) - 2)), i -> coalesce((points[i].x - points[0].x) * (points[i + 1].y - points[0].y)"
-        " - (points[i].y - points[0].y) * (points[i + 1].x - points[0].x), 0) <> 0)"
-    )
-    return rings.where((F.size("points") >= 3) & bent)
-
-
-def polygon_cells(rings: DataFrame, grid: DataFrame) -> DataFrame:
-    """Cells whose centre lies in a ring or on its edge.
-
-    rings: project_id, ring_id, points (array of struct x, y). Only a ring's bounding box is made, and
-    each cell is tested by even-odd crossing against the ring's edges.
-    """
-    boxed = rings.where(F.size("points") >= 3).join(grid, "project_id")
-    xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-
-    def edge(low: Column, origin: str, n: str, side: int) -> Column:
-        at = F.floor((low - F.col(origin)) / F.col("cell")) + side
-        return F.least(F.greatest(at, F.lit(0)), F.col(n) - 1)
-
-    boxed = boxed.withColumns({"c0": edge(F.array_min(xs), "x0", "nx", -1), "c1": edge(F.array_max(xs), "x0", "nx", 1), "r0": edge(F.array_min(ys), "y0", "ny", -1), "r1": edge(F.array_max(ys), "y0", "ny", 1)})
-    spread = boxed.withColumn("c", F.explode(F.sequence("c0", "c1"))).withColumn("r", F.explode(F.sequence("r0", "r1")))
-    spread = spread.withColumns({"gx": F.col("x0") + (F.col("c") + 0.5) * F.col("cell"), "gy": F.col("y0") + (F.col("r") + 0.5) * F.col("cell")})
-    edges = F.expr("transform(sequence(0, size(points) - 1), i -> named_struct('ax', points[i].x, 'ay', points[i].y, 'bx', points[(i + 1) % size(points)].x, 'by', points[(i + 1) % size(points)].y))")
-    crossed = F.expr("size(filter(edges, e -> (e.ay > gy) != (e.by > gy) and gx < (e.bx - e.ax) * (gy - e.ay) / (e.by - e.ay) + e.ax)) % 2 = 1")
-    on_edge = F.expr(
-        "exists(edges, e -> (e.bx - e.ax) * (gy - e.ay) - (e.by - e.ay) * (gx - e.ax) = 0"
-        " and gx between least(e.ax, e.bx) and greatest(e.ax, e.bx) and gy between least(e.ay, e.by) and greatest(e.ay, e.by))"
-    )
-    return spread.withColumn("edges", edges).where(crossed | on_edge).select(*CELL).distinct()
-
-
 def disk(radius: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
 

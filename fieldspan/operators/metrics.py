@@ -108,11 +108,30 @@ def sensors(summary_rows: DataFrame) -> DataFrame:
     return summary_rows.select("project_id", F.explode(each).alias("s")).select("project_id", "s.*")
 
 
-def load_details(volume: DataFrame) -> DataFrame:
-    """Rows of a run's loads as they are pushed with the sensors."""
-    return volume.select(
-        "project_id", (F.col("load_no") + 1).alias("index"), geo.hectares(F.col("area_m2")).alias("area_ha"), "volume_l", "rate_l_per_ha", F.col("is_complete").alias("complete"), "start_t", "end_t"
-    )
+#: Which sensors carry the loads, and how many patches the one of missed ground carries.
+WITH_LOADS, SHOWN_PATCHES = ("volume_used", "application_rate", "tank_loads"), 10
+
+
+def sensor_attributes(volume: DataFrame, gaps: DataFrame, summary_rows: DataFrame) -> DataFrame:
+    """project_id, sensor, attributes (JSON): what a sensor carries beside its value, in projects of ``summary_rows``.
+
+    Loads, the largest missed patches (``gaps``: patch, area_m2, max_width_m, lat, lon), or the whole rounded summary.
+    """
+    load = F.struct((F.col("load_no") + 1).alias("index"), F.round(geo.hectares(F.col("area_m2")), 4).alias("area_ha"), F.round("volume_l", 1).alias("volume_l"), F.round("rate_l_per_ha", 1).alias("rate_l_per_ha"), F.col("is_complete").alias("complete"))
+    gap = F.struct(F.round("area_m2", 1).alias("area_m2"), F.round("max_width_m", 2).alias("max_width_m"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+
+    def gathered(rows: DataFrame, order: str, what, name: str) -> DataFrame:
+        """Short lists: the loads of a day, and so many patches."""
+        each = rows.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct(order, what.alias("x")))).alias("f"))
+        return summary_rows.select("project_id").join(each, "project_id", "left").select("project_id", F.to_json(F.struct(F.coalesce(F.transform("f", lambda x: x["x"]), F.array()).alias(name))).alias("attributes"))
+
+    def shown(name: str):
+        return (F.round(name, DIGITS[name]) if name in DIGITS else F.col(name)).alias(name)
+
+    loads = gathered(volume, "load_no", load, "loads").withColumn("sensor", F.explode(F.array(*map(F.lit, WITH_LOADS))))
+    patches = gathered(gaps.where(F.col("patch") <= SHOWN_PATCHES), "patch", gap, "gaps").withColumn("sensor", F.lit("missed_area"))
+    last = summary_rows.select("project_id", F.to_json(F.struct(F.struct(*(shown(c) for c in summary_rows.columns if c != "project_id")).alias("summary"))).alias("attributes"), F.lit("last_run").alias("sensor"))
+    return loads.unionByName(patches).unionByName(last).select("project_id", "sensor", "attributes")
 
 
 def fix_density(segs: DataFrame, settings: Settings) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspan.functions.times import iso_utc
+from fieldspan.model import Base
 
 #: Colours of missed ground and of 1, 2, 3 and 4 or more passes, and their names.
 COLOURS = ((255, 45, 85, 170), (46, 194, 126, 110), (245, 194, 17, 155), (255, 120, 0, 180), (145, 65, 172, 205))
@@ -25,26 +25,73 @@ def gpx(fixes: DataFrame, key: str = "track_id", order: str = "n") -> DataFrame:
     return each.select(key, F.concat(F.lit(head), F.array_join(F.transform("ps", lambda x: x["p"]), "\n"), F.lit("\n</trkseg></trk></gpx>\n")).alias("content"))
 
 
-def png(pixels: np.ndarray) -> bytes:
-    """An RGBA picture (rows x columns x 4 bytes) as PNG, unfiltered."""
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+#: Fixed values of the picture's format: how a file begins, its last chunk, the head of compressed data and its last, empty block.
+PNG_HEAD, PNG_END, DEFLATE_HEAD, DEFLATE_END, ADLER = bytes.fromhex("89504E470D0A1A0A"), bytes.fromhex("0000000049454E44AE426082"), bytes.fromhex("789C"), bytes.fromhex("0300"), 65521
+#: Pixels of a strip, about: its rows are so many that it has no more, but one at least.
+STRIP_PIXELS = 1 << 18
 
-    h, w = pixels.shape[:2]
-    rows = np.concatenate((np.zeros((h, 1), np.uint8), pixels.reshape(h, w * 4)), axis=1)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
+def fix_lines(fixes: DataFrame, key: str = "track_id", order: str = "n") -> DataFrame:
+    """key, order, line: each position as a JSON object of its time, place, accuracy, speed and the track's name, as far as they are there."""
+    kept = [F.col(c).alias(n) for c, n in (("t", "t"), ("lat", "lat"), ("lon", "lon"), ("accuracy_m", "accuracy"), ("speed_ms", "speed"), ("track_name", "name")) if c in fixes.columns]
+    return fixes.select(key, order, F.to_json(F.struct(*kept)).alias("line"))
+
+
+def _big(number: Column) -> Column:
+    """Four bytes, highest first."""
+    return F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0"))
+
+
+def _chunk(kind: str, body: Column) -> Column:
+    named = F.concat(F.lit(kind.encode()), body)
+    return F.concat(_big(F.length(body)), named, _big(F.crc32(named)))
+
+
+def picture_parts(classes: DataFrame, grid: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
+    """project_id, part, width, height, bytes: the parts of a PNG file a project, which is their bytes in order of ``part``.
+
+    One pixel a cell of ``classes`` (project_id, r, c, class) in the colour of its class, others transparent; north is up. The picture is cut
+    into strips of rows. Each is compressed by itself, up to a full flush, so that any strips in order are
+    one stream; the stream's checksum follows from those of the strips. No task holds more than a strip.
+    """
+    rows = F.greatest(F.lit(1), F.floor(F.lit(strip_pixels) / F.col("nx")))
+    sized = grid.select("project_id", "nx", "ny", rows.alias("rows"))
+    every = sized.withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("ny") / F.col("rows")) - 1)))
+    line = F.col("ny") - 1 - F.col("r")
+    placed = classes.join(sized, "project_id").select("project_id", "nx", "ny", "rows", F.floor(line / F.col("rows")).alias("strip"), line.alias("line"), "c", "class")
+    none = F.lit(None).cast("long")
+    dealt = placed.unionByName(every.withColumns({"line": none, "c": none, "class": F.lit(None).cast("int")}))
 
-def overlays(classes: DataFrame, grid: DataFrame) -> DataFrame:
-    """project_id, width, height, png: north up, one pixel a cell; a grid's size is bounded."""
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        ny, nx = int(part["ny"].iloc[0]), int(part["nx"].iloc[0])
-        picture = np.zeros((ny, nx, 4), np.uint8)
-        picture[ny - 1 - part["r"].to_numpy(), part["c"].to_numpy()] = np.array(COLOURS, np.uint8)[part["class"].to_numpy()]
-        return pd.DataFrame({"project_id": [key[0]], "width": [nx], "height": [ny], "png": [png(picture)]})
+        nx, ny, rows = (int(part[k].iloc[0]) for k in ("nx", "ny", "rows"))
+        first = key[1] * rows
+        there = part[part["line"].notna()]
+        pixels = np.zeros((min(rows, ny - first), nx, 4), np.uint8)
+        pixels[there["line"].to_numpy(np.int64) - first, there["c"].to_numpy(np.int64)] = np.array(COLOURS, np.uint8)[there["class"].to_numpy(np.int64)]
+        lines = np.concatenate((np.zeros((len(pixels), 1), np.uint8), pixels.reshape(len(pixels), nx * 4)), axis=1).tobytes()
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        check = zlib.adler32(lines)
+        return pd.DataFrame({"project_id": [key[0]], "strip": [key[1]], "body": [packer.compress(lines) + packer.flush(zlib.Z_FULL_FLUSH)], "a": [check & 0xFFFF], "b": [check >> 16], "n": [len(lines)]})
+
+    strips = dealt.groupBy("project_id", "strip").applyInPandas(run, "project_id long, strip long, body binary, a long, b long, n long")
+    # Sums of a stream: those of the parts, where every byte of a part counts what went before it once more.
+    before = Window.partitionBy("project_id").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
+    summed = strips.select("project_id", "a", "b", "n", F.coalesce(F.sum(F.col("a") - 1).over(before), F.lit(0)).alias("ahead"))
+    sums = summed.groupBy("project_id").agg(F.sum(F.col("a") - 1).alias("a"), F.sum(F.pmod(F.col("b") + F.col("n") * F.pmod("ahead", F.lit(ADLER)), F.lit(ADLER))).alias("b"))
+    total = F.pmod("b", F.lit(ADLER)) * 65536 + F.pmod(F.col("a") + 1, F.lit(ADLER))
+    size = F.concat(_big(F.col("nx")), _big(F.col("ny")), F.lit(bytes.fromhex("0806000000")))
+    drawn = classes.select("project_id").distinct()
+    about = sized.join(drawn, "project_id", "left_semi")
+    head = about.select("project_id", F.lit(-1).cast("long").alias("part"), F.concat(F.lit(PNG_HEAD), _chunk("IHDR", size), _chunk("IDAT", F.lit(DEFLATE_HEAD))).alias("bytes"))
+    end = sums.select("project_id", F.lit(1 << 40).alias("part"), F.concat(_chunk("IDAT", F.concat(F.lit(DEFLATE_END), _big(total))), F.lit(PNG_END)).alias("bytes"))
+    parts = head.union(strips.select("project_id", "strip", _chunk("IDAT", F.col("body")))).union(end)
+    return parts.join(about, "project_id").select("project_id", "part", F.col("nx").cast("int").alias("width"), F.col("ny").cast("int").alias("height"), "bytes")
+
 
-    sized = classes.join(grid.select("project_id", "nx", "ny"), "project_id")
-    return sized.groupBy("project_id").applyInPandas(run, "project_id long, width int, height int, png binary")
+def overlays(classes: DataFrame, grid: DataFrame) -> DataFrame:
+    """project_id, width, height, png: the parts of each picture put together, a row a project."""
+    each = picture_parts(classes, grid).groupBy("project_id", "width", "height").agg(F.sort_array(F.collect_list(F.struct("part", "bytes"))).alias("p"))
+    return each.select("project_id", "width", "height", F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["bytes"])).alias("png"))
 
 
 def gap_features(patches: DataFrame) -> DataFrame:
@@ -57,10 +104,20 @@ def gap_features(patches: DataFrame) -> DataFrame:
     return patches.select("project_id", F.col("patch").alias("rank"), F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), about, F.lit("}")).alias("feature"))
 
 
-def collection(features: DataFrame, properties: Column | None = None) -> DataFrame:
-    """project_id, geojson: a FeatureCollection a project; a project lists a bounded number of patches."""
+def base_features(projects: DataFrame, base: Base | None) -> DataFrame:
+    """project_id, rank (after all patches), feature: the point of the base, in projects (project_id, refills) that have one."""
+    if base is None:
+        return projects.limit(0).select("project_id", F.lit(0).alias("rank"), F.lit("").alias("feature"))
+    about = F.to_json(F.struct(F.lit("base").alias("kind"), F.lit(base.name).alias("name"), F.lit(base.radius_m).alias("radius_m"), "refills"))
+    shape = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.lit(base.lon), F.lit(base.lat)).alias("coordinates")))
+    return projects.select("project_id", F.lit(1 << 30).alias("rank"), F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), about, F.lit("}")).alias("feature"))
+
+
+def collection(features: DataFrame, properties: DataFrame) -> DataFrame:
+    """project_id, geojson: a FeatureCollection of each project of ``properties`` (project_id, json); a project lists a bounded number of patches."""
     each = features.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("f"))
-    return each.select("project_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("geojson"))
+    told = F.coalesce(F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit(""))
+    return properties.join(each, "project_id", "left").select("project_id", F.concat(F.lit('{"type":"FeatureCollection","properties":'), F.col("json"), F.lit(',"features":['), told, F.lit("]}")).alias("geojson"))
 
 
 def report(s: dict, loads: list[dict], tracks: list[dict], gaps: list[dict], warnings: list[str], tank_l: float) -> str:

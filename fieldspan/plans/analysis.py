@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from fieldspan.functions import geo
 from fieldspan.model import MOST_PATCHES, SILENT, Base, Settings
-from fieldspan.operators import coverage, kernels, metrics, motion, outlines, sinks
+from fieldspan.operators import coverage, kernels, metrics, motion, outlines, polygons, results, sinks
 from fieldspan.operators.motion import TRACK
 from fieldspan.staging import staged, unstage
 
 #: Tables that several others read; ``keep`` stages them all.
-SHARED = ("fixes", "positions", "segments", "work", "loads", "grid", "cell_units", "cells", "unit_counts", "patches")
+SHARED = ("fixes", "positions", "segments", "work", "loads", "grid", "cell_units", "cells", "unit_counts", "field", "patches")
 
 
 class Analysis:
@@ -137,10 +137,10 @@ class Analysis:
 
     @cached_property
     def bounded(self) -> DataFrame | None:
-        """project_id of the projects with a usable ring: three points or more that are not on one line."""
+        """project_id of the projects with a usable ring: one that encloses ground."""
         if self.ring_points is None:
             return None
-        return coverage.usable_rings(self.ring_points).select("project_id").distinct()
+        return polygons.usable_rings(self.ring_points).select("project_id").distinct()
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -190,7 +190,7 @@ class Analysis:
     def boundary(self) -> DataFrame | None:
         if self.ring_points is None:
             return None
-        return coverage.polygon_cells(coverage.usable_rings(self.ring_points), self.grid)
+        return polygons.polygon_cells(self.ring_points, self.grid)
 
     @cached_property
     def field(self) -> DataFrame:
@@ -228,7 +228,7 @@ class Analysis:
 
     @cached_property
     def stats(self) -> DataFrame:
-        self._stage("cells", "patches")
+        self._stage("cells", "field", "patches")
         return metrics.coverage_stats(self.field, self.cells, self.patches, self.grid)
 
     @cached_property
@@ -284,7 +284,9 @@ class Analysis:
 
     @cached_property
     def geojson(self) -> DataFrame:
-        return sinks.collection(sinks.gap_features(self.gaps.join(self.outlines, ["project_id", "patch"])))
+        """project_id, geojson: the listed patches, the base, and the summary as properties."""
+        features = sinks.gap_features(self.gaps.join(self.outlines, ["project_id", "patch"])).union(sinks.base_features(self.summary.select("project_id", "refills"), self.base))
+        return sinks.collection(features, results.summary_json(self.summary))
 
     @cached_property
     def sensors(self) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspan.plans import queries_cover, queries_more, queries_motion
+from fieldspan.plans import queries_cover, queries_more, queries_motion, queries_raster
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (queries_motion, queries_cover, queries_more)
+MODULES = (queries_motion, queries_cover, queries_more, queries_raster)
 
 
 def queries() -> dict[str, Query]:

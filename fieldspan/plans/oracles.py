@@ -155,17 +155,84 @@ JOIN (SELECT project_id, count(*) AS gaps FROM gap GROUP BY 1) USING (project_id
 }
 
 
+#: Heads of tables that are found by recursion.
+HEADS: dict[str, str] = {}
+
+
+def _labels(name: str, cells: str) -> None:
+    """Adds <name>r, runs of a row of the table ``cells``; <name>e, runs that touch in the next row; <name>l: node, root.
+
+    A run's node is its project, row and first column; the root is the least node of its component.
+    """
+    CHAIN[name + "r"] = ((cells,), f"""SELECT project_id, r, min(c) AS c0, max(c) AS c1, (project_id << 50) + (r << 25) + min(c) AS node
+FROM (SELECT project_id, r, c, c - row_number() OVER (PARTITION BY project_id, r ORDER BY c) AS run FROM {cells}) GROUP BY project_id, r, run""")
+    CHAIN[name + "d"] = ((name + "r",), f"""SELECT a.node AS a, b.node AS b FROM {name}r a JOIN {name}r b ON a.project_id = b.project_id AND b.r = a.r + 1 AND b.c0 <= a.c1 AND b.c1 >= a.c0""")
+    CHAIN[name + "e"] = ((name + "d",), f"SELECT a, b FROM {name}d UNION ALL SELECT b, a FROM {name}d")
+    HEADS[name + "l"] = f"{name}l(node, root) USING KEY (node)"
+    CHAIN[name + "l"] = ((name + "r", name + "e"), f"""SELECT node, node FROM {name}r UNION
+(SELECT e.b, min(l.root) FROM {name}l l JOIN {name}e e ON e.a = l.node JOIN recurring.{name}l o ON o.node = e.b WHERE l.root < o.root GROUP BY e.b)""")
+
+
+_labels("gap_", "gap")
+#: Patches of missed ground that are no specks, ranked; their cells; the squared distance to what is of no patch.
+CHAIN["pk"] = (
+    ("gap_r", "gap_l", "gd"),
+    """SELECT project_id, root, n, CAST(row_number() OVER (PARTITION BY project_id ORDER BY n DESC, root) AS INT) AS patch FROM (
+  SELECT project_id, root, CAST(sum(c1 - c0 + 1) AS BIGINT) AS n FROM gap_r JOIN gap_l USING (node) GROUP BY project_id, root) JOIN gd USING (project_id) WHERE n >= greatest(1, round_even(2.0::DOUBLE / (cell * cell), 0))""",
+)
+CHAIN["pt"] = (("gap_r", "gap_l", "pk"), "SELECT project_id, r, unnest(range(c0, c1 + 1)) AS c, patch FROM gap_r JOIN gap_l USING (node) JOIN pk USING (project_id, root)")
+CHAIN["dv"] = (
+    ("pt",),
+    """SELECT project_id, r, c, patch, least(r - min(r) OVER v, max(r) OVER v - r) + 1 AS up, min(c) OVER h AS lo, max(c) OVER h AS hi, across FROM (
+  SELECT *, r - row_number() OVER (PARTITION BY project_id, c ORDER BY r) AS down, c - row_number() OVER (PARTITION BY project_id, r ORDER BY c) AS across FROM pt)
+WINDOW v AS (PARTITION BY project_id, c, down), h AS (PARTITION BY project_id, r, across)""",
+)
+CHAIN["pd"] = (
+    ("dv",),
+    """SELECT a.project_id, a.r, a.c, any_value(a.patch) AS patch, CAST(least(min((a.c - b.c) * (a.c - b.c) + b.up * b.up), any_value((a.c - a.lo + 1) * (a.c - a.lo + 1)), any_value((a.hi + 1 - a.c) * (a.hi + 1 - a.c))) AS BIGINT) AS d2
+FROM dv a JOIN dv b ON a.project_id = b.project_id AND a.r = b.r AND a.across = b.across GROUP BY a.project_id, a.r, a.c""",
+)
+CHAIN["pm"] = (
+    ("pd", "gd"),
+    """SELECT project_id, patch, count(*) AS n_cells, count(*) * any_value(cell * cell) AS area_m2, any_value(x0) + (avg(c) + 0.5::DOUBLE) * any_value(cell) AS x,
+  any_value(y0) + (avg(r) + 0.5::DOUBLE) * any_value(cell) AS y, 2 * sqrt(CAST(max(d2) AS DOUBLE)) * any_value(cell) AS max_width_m FROM pd JOIN gd USING (project_id) GROUP BY project_id, patch""",
+)
+#: Corners of the patches' cells, and which of the four cells around each are of the patch; the sides of the cells.
+CHAIN["pc"] = (
+    ("pt",),
+    """SELECT project_id, patch, c + dx AS x, r + dy AS y, count(*) AS k, bit_or(1 << (dx + 2 * dy)) AS which FROM pt, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS q(dx, dy) GROUP BY ALL""",
+)
+CHAIN["pe"] = (
+    ("pt",),
+    """SELECT project_id, patch, x, y, flat, count(*) AS k FROM (SELECT project_id, patch, c AS x, r AS y, true AS flat FROM pt UNION ALL SELECT project_id, patch, c, r + 1, true FROM pt
+  UNION ALL SELECT project_id, patch, c, r, false FROM pt UNION ALL SELECT project_id, patch, c + 1, r, false FROM pt) GROUP BY ALL""",
+)
+#: The covered cells closed by a disk of eight cells, the ground between them, and the inferred plot.
+DISK = "(SELECT a, b FROM range(-8, 9) p(a), range(-8, 9) q(b) WHERE a*a + b*b <= 64)"
+CHAIN["wide"] = (("cel",), f"SELECT DISTINCT project_id, r + a AS r, c + b AS c FROM cel, {DISK}")
+CHAIN["clo"] = (("wide",), f"SELECT project_id, r - a AS r, c - b AS c FROM wide, {DISK} GROUP BY project_id, r - a, c - b HAVING count(*) = (SELECT count(*) FROM {DISK})")
+CHAIN["cbox"] = (("clo",), "SELECT project_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM clo GROUP BY project_id")
+CHAIN["opn"] = (("cbox", "clo"), "SELECT project_id, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT project_id, c0, c1, unnest(range(r0, r1 + 1)) AS r FROM cbox) EXCEPT SELECT project_id, r, c FROM clo")
+_labels("opn_", "opn")
+CHAIN["inf"] = (
+    ("opn_r", "opn_l", "cbox", "clo"),
+    """SELECT project_id, r, c FROM clo UNION ALL SELECT project_id, r, unnest(range(c0, c1 + 1)) AS c FROM opn_r JOIN opn_l USING (node) WHERE root NOT IN (
+  SELECT root FROM opn_r JOIN opn_l USING (node) JOIN cbox b USING (project_id) WHERE opn_r.r IN (b.r0, b.r1) OR opn_r.c0 = b.c0 OR opn_r.c1 = b.c1)""",
+)
+
+
 def over(select: str, *needs: str) -> str:
     """``select`` with the tables of the chain that it needs."""
     order: list[str] = []
 
     def add(name: str) -> None:
         for n in CHAIN[name][0]:
-            add(n)
+            if n not in order:
+                add(n)
         if name not in order:
             order.append(name)
 
     for n in needs:
         add(n)
-    sql = "WITH " + ",\n".join(f"{n} AS ({CHAIN[n][1]})" for n in order) + "\n" + select
+    sql = "WITH " + "RECURSIVE " * any(n in HEADS for n in order) + ",\n".join(f"{HEADS.get(n, n)} AS ({CHAIN[n][1]})" for n in order) + "\n" + select
     return re.sub(r"\bby\b", '"by"', sql)  # the column by is a keyword there; keywords are upper case here

@@ -141,12 +141,6 @@ def _(spark, d):
     return coverage.extents(Tables(spark, d).work)
 
 
-@query("o21_overlay_classes", over("SELECT project_id, class, count(*) AS n FROM (SELECT project_id, least(passes, 4) AS class FROM cel WHERE passes > 0 UNION ALL SELECT project_id, 0 FROM gap) GROUP BY 1, 2", "cel", "gap"))
-def _(spark, d):
-    t = Tables(spark, d)
-    return coverage.overlay_classes(t.cells, t.missed).groupBy("project_id", "class").agg(F.count(F.lit(1)).alias("n"))
-
-
 _TRACKS = """SELECT hit_t.project_id, hit_t.track_id, track_ord, area_m2, coalesce(new_m2, 0) AS new_area_m2, area_m2 - coalesce(new_m2, 0) AS repeat_area_m2 FROM
   (SELECT project_id, track_id, any_value(track_ord) AS track_ord, count(DISTINCT (r, c)) * any_value(cell) * any_value(cell) AS area_m2 FROM hit JOIN gd USING (project_id) GROUP BY 1, 2) hit_t
   LEFT JOIN (SELECT project_id, first_track_ord AS track_ord, count(*) * any_value(cell) * any_value(cell) AS new_m2 FROM cel JOIN gd USING (project_id) GROUP BY 1, 2) q USING (project_id, track_ord)"""

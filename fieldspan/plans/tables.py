@@ -55,5 +55,5 @@ class Tables(Analysis):
 
     @cached_property
     def stats(self) -> DataFrame:
-        self._stage("cells")
+        self._stage("cells", "field")
         return metrics.coverage_stats(self.field, self.cells, self.missed, self.grid)
