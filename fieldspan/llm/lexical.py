@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -41,6 +42,8 @@ WEIGHT, IMPACT, TIMES, LENGTH, SHARE = 1000, 1_000_000_000, 1000, 8, 75
 #: Bits of the filter of item terms: 1 MB at most travels to the tasks.
 FILTER_BITS, _BLOCK = 1 << 23, 32768
 SEED = 42  # of Spark's xxhash64
+#: Items are searched in blocks whose terms have about so many bytes; bytes of a term's row beside the term.
+BLOCK_BYTES, ROW_BYTES = 4 << 20, 48
 
 #: Bytes that are no letter, digit or part of a longer character end a term; A-Z becomes a-z.
 _TERM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -109,10 +112,16 @@ def scored(pairs: DataFrame, held: DataFrame, wanted: DataFrame) -> DataFrame:
     ``wanted``: item, term, gain (occurrences times weight).
     """
     own = pairs.distinct().join(held.select("doc", "doc_id", "unit", "terms", "times"), "doc")
-    met = _posted(own, "item", "doc_id").join(wanted.select("item", "term", "gain"), ["item", "term"])
+    met = _posted(own, "item", "doc_id").join(_small(wanted.select("item", "term", "gain")), ["item", "term"])
     return met.groupBy("item", "doc", "doc_id").agg(F.sum(F.col("gain") * _gained()).alias("score"))
 
 
+def _small(terms: DataFrame) -> DataFrame:
+    """Terms of items, to be sent to all tasks if they are no more than a block's bytes, as they are but for an item beyond that."""
+    size = terms.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(terms) if size <= 2 * BLOCK_BYTES else terms
+
+
 def _posted(rows: DataFrame, *keep: str) -> DataFrame:
     """doc, unit, keep..., term, times: a row for each term of each row."""
     each = rows.select("doc", "unit", *keep, F.explode(F.arrays_zip("terms", "times")).alias("t"))
@@ -144,6 +153,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     stored = df.join(kth, "term", "left").select("term", weight.alias("weight"), "top", F.coalesce("kth", F.lit(0)).alias("kth"))
     wanted = staged(asked.join(stored, "term").select("item", "item_id", "term", (F.col("q") * F.col("weight")).alias("gain"), "top", "kth").where("gain > 0"))
 
+    size = wanted.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    found = [_best(wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), heads, held, k) for b in range(blocks)]
+    unstage(asked, vocabulary, posted, heads, wanted)
+    return reduce(DataFrame.union, found)
+
+
+def _best(wanted: DataFrame, heads: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """item_id, rank, doc_id, score: the ``k`` best documents of a block of items.
+
+    ``wanted``: item, item_id, term, gain, top, kth; ``heads``: term, doc of the stored impacts.
+    """
     # Seeds: from the stored impacts, raised by the exact scores of the stored documents.
     seeds = wanted.groupBy("item").agg(F.max(F.col("gain") * F.col("kth")).alias("seed"))
     first = scored(wanted.select("item", "term").join(heads.select("term", "doc"), "term").select("item", "doc"), held, wanted)
@@ -157,12 +178,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     rest = F.coalesce(F.max(F.when(~kept, F.col("suffix"))).over(Window.partitionBy("item")), F.lit(0))
     needed = staged(bound.select("item", "term", "gain", (F.col("seed") - rest).alias("least"), kept.alias("kept")).where("kept").drop("kept"))
 
-    part = _posted(held).join(needed, "term").groupBy("item", "doc", "least").agg(F.sum(F.col("gain") * _gained()).alias("part"))
+    part = _posted(held).join(_small(needed), "term").groupBy("item", "doc", "least").agg(F.sum(F.col("gain") * _gained()).alias("part"))
     candidates = part.where(F.col("part") >= F.col("least")).select("item", "doc")
     final = _ranked(scored(candidates, held, wanted).where("score > 0"), "item", k, F.desc("score"), F.col("doc_id").asc_nulls_last(), F.col("doc"))
     names = wanted.select("item", "item_id").distinct()
     out = staged(final.join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
-    unstage(asked, vocabulary, posted, heads, wanted, needed)
+    unstage(needed)
     return out
 
 

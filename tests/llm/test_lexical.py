@@ -56,6 +56,14 @@ def test_against_every_score(spark, seed):
         assert found(spark, docs, items, k=3) == brute(docs, items, 3)
 
 
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, prose(rng, rng.randint(1, 40))) for i in range(80)]
+    items = [(i, prose(rng, rng.randint(1, 12))) for i in range(12)]
+    monkeypatch.setattr(lexical, "BLOCK_BYTES", 2000)
+    assert found(spark, docs, items) == brute(docs, items)
+
+
 def test_empty(spark):
     assert not found(spark, [], [(1, "a")]) and not found(spark, [(1, "a b")], []) and not found(spark, [(1, None)], [(1, None)])
 
