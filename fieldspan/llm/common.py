@@ -14,6 +14,8 @@ __all__ = ["NO_ID", "components", "doc_id_of", "doc_rows", "kept_rows", "marked"
 NO_ID = -(2**63)
 #: Bits of a filter of keys: so many bits (1 MB by default) at most travel to the tasks.
 FILTER_BITS = 1 << 23
+#: The same where keys are about as many as rows: 8 MB.
+GROUP_BITS = 1 << 26
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -47,16 +49,20 @@ def unpacked(df: DataFrame, **new: Column) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
-    """One row of ``docs`` for each value of ``group`` among ``groups`` (kid, h, group): the smallest doc_id.
+    """One row of ``docs`` for each value of ``group`` among ``groups`` (kid, h, group: a row for each of ``docs``): the smallest doc_id.
 
-    Where all ids are null it is the smallest text hash; of rows that repeat a key one stays.
+    Where all ids are null it is the smallest text hash; of rows that repeat a key one stays. Only rows
+    that may go, or repeat a key, are moved.
     """
-    first = groups.groupBy(group).agg(F.min(F.struct((F.col("kid") == NO_ID).alias("unnamed"), "kid", "h")).alias("m"))
-    chosen = staged(first.select("m.kid", "m.h"))
+    key = ["kid", "h"]
+    chosen = groups.groupBy(group).agg(F.min(F.struct((F.col("kid") == NO_ID).alias("unnamed"), *key)).alias("m")).select("m.kid", "m.h", F.lit(True).alias("first"))
+    times = groups.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).join(chosen, key, "left")
+    looked = staged(times.where("first is null or times > 1").select(*key, F.coalesce("first", F.lit(False)).alias("first")))
     unstage(*getattr(groups, "_held", ()))
-    again = Window.partitionBy("kid", "h").orderBy("kid")
-    kept = packed(docs).join(chosen, ["kid", "h"], "left_semi").withColumn("again", F.row_number().over(again)).where("again = 1")
-    return unpacked(kept)
+    found = marked(packed(docs), looked, *key, bits=GROUP_BITS)
+    moved = found.where("hit").join(looked, key, "left")
+    kept = found.where("not hit").select("row").union(moved.where("first is null").select("row"))
+    return unpacked(kept.union(moved.where("first").groupBy(*key).agg(F.first("row").alias("row")).select("row")))
 
 
 def marked(df: DataFrame, keys: DataFrame, *by: str, bits: int = FILTER_BITS) -> DataFrame:
