@@ -9,8 +9,13 @@ The draws run as SQL folds: one deals the shards' capacities to groups of ``GROU
 group, a row of its own, deals its share to its partitions. Their size does not depend on the rows.
 A draw walks outward from the mode by the ratio of neighbouring probabilities, so nothing underflows.
 
-Edge cases: null text counts as empty (size 1); null ids are kept; equal rows are dealt out
-separately; an empty table gives no rows.
+Every row draws for itself: it is numbered by its place in the input, in a staged table that lost tasks read
+again, so rows that are equal fall as independently as others, and many of them are no hot key. Another
+order of the input gives another shuffle.
+
+Edge cases: null text counts as empty (size 1), also a very long one is only measured; null ids are kept; equal rows
+are dealt out separately; other columns, whatever their names, are ignored; ties cannot occur but in 64-bit
+draws, which the row's number breaks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Rows a logical partition or block holds on average, and the most partitions.
 ROWS_EACH, MOST_PARTITIONS = 20_000, 65_536
 #: Partitions whose draws are one fold.
@@ -93,11 +100,12 @@ def shards(docs: DataFrame, n_shards: int = 8, seed: int = 20) -> DataFrame:
     parts = min(MOST_PARTITIONS, max(16, -(-total // ROWS_EACH)))
     blocks = max(8, -(-total // (n_shards * ROWS_EACH)))
     light = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    light = light.withColumn("mix", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("text_crc32")))
+    light = staged(light.withColumn("row", F.monotonically_increasing_id()))
+    light = light.withColumn("mix", F.xxhash64(F.lit(seed), F.col("row"), F.col("doc_id"), F.col("size"), F.col("text_crc32")))
     light = light.withColumn("part", F.pmod(F.shiftrightunsigned("mix", 32), F.lit(parts)).cast("int"))
 
     cuts = matrix(light.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), n_shards, seed)
-    local = Window.partitionBy("part").orderBy("mix", "doc_id")
+    local = Window.partitionBy("part").orderBy("mix", "row")
     sent = (
         light.withColumn("place", F.row_number().over(local) - 1)
         .join(F.broadcast(cuts), "part")  # at most MOST_PARTITIONS rows
@@ -105,11 +113,11 @@ def shards(docs: DataFrame, n_shards: int = 8, seed: int = 20) -> DataFrame:
     )
     # The second permutation: by a fresh hash, dealt in blocks so that a shard is never one task's work.
     sent = sent.withColumn("mix", F.xxhash64(F.lit(seed + 1), F.col("part"), F.col("place"))).withColumn("block", F.pmod(F.shiftrightunsigned("mix", 32), F.lit(blocks)).cast("int"))
-    sent = sent.select("doc_id", "size", "text_crc32", "shard", "mix", "block")
+    sent = sent.select("doc_id", "size", "text_crc32", "shard", "mix", "block", "row")
     sizes = sent.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "block").orderBy("mix", "doc_id")
+    inside = Window.partitionBy("shard", "block").orderBy("mix", "row")
     return (
         sent.withColumn("place", F.row_number().over(inside) - 1)
         .join(starts, ["shard", "block"])
