@@ -4,11 +4,11 @@ Every participant of a conversation gets a rendering of the whole dialogue in wh
 are the assistant's, all others speak as named users, and the loss mask covers their own words only.
 Turns of a narrator (``system``) are rendered as such in every perspective and are no perspective.
 
-A rendering comes in chunks of at most ``CHUNK`` turns, one row each, so a conversation of any length
-never meets in one row or task: turns are numbered over range partitions, not per conversation. A
-chunk's mask holds code-point spans within its own text.
+A rendering is one row, the whole dialogue. Where conversations may be too long for a row (2 GB), ``chunk`` cuts a rendering
+into rows of so many turns: turns are numbered over range partitions, not per conversation, so then no
+conversation meets in one row or task. A mask holds code-point spans within its own row's text.
 
-Edge cases: null text is an empty turn; a null role is the speaker ``unknown``; turns with a null
+Edge cases: null text is an empty turn, a very long one is rendered whole; columns beside the four, whatever their names, are ignored; a null role is the speaker ``unknown``; turns with a null
 conv_id form one conversation; equal turn numbers are ordered by role and text, null ones first;
 repeated rows are turns of their own; an empty table gives no rows. ``<|`` inside a text or a role is
 written ``<\\|``, and ``|>`` inside a role ``|\\>``, so that neither can forge a mark; between these two signs
@@ -17,12 +17,11 @@ one backslash is added to those that are there, so taking one away gives the tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, numbered
 
-CHUNK = 512
 #: Fixed marks of the rendered format.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>\n"
 NARRATORS, UNKNOWN = ("system",), "unknown"
@@ -36,8 +35,8 @@ def _clean_name(c: Column) -> Column:
     return F.regexp_replace(_clean(c), r"\|(\\*)>", r"|\\$1>")
 
 
-def render(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """conv_id, perspective, chunk, n_turns, text, mask (array of start and end): one row per chunk of each perspective."""
+def render(conversations: DataFrame, chunk: int | None = None) -> DataFrame:
+    """conv_id, perspective, chunk, n_turns, text, mask (array of start and end): one row per perspective, or per chunk of each."""
     turns = conversations.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv"),
         F.col("turn").cast("long").alias("turn"),
@@ -47,7 +46,7 @@ def render(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     placed = numbered(turns, [F.col(c).asc_nulls_first() for c in ("conv", "turn", "role", "text")])
     begins = placed.groupBy("conv").agg(F.min("pos").alias("begin"))
     placed = placed.join(begins, "conv").withColumn("place", F.col("pos") - F.col("begin"))
-    placed = placed.withColumn("chunk", F.floor(F.col("place") / chunk).cast("int")).select("conv", "chunk", "place", "role", "text")
+    placed = placed.withColumn("chunk", (F.floor(F.col("place") / chunk) if chunk else F.lit(0)).cast("int")).select("conv", "chunk", "place", "role", "text")
 
     speakers = turns.where(~F.col("role").isin(*NARRATORS)).select("conv", F.col("role").alias("perspective")).distinct()
     seen = placed.join(speakers, "conv")
@@ -57,20 +56,15 @@ def render(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
         "conv", "perspective", "chunk",
         F.struct("place", F.concat(F.lit(OPEN), head, F.lit(CLOSE + "\n")).alias("head"), F.concat(_clean(F.col("text")), F.lit(END)).alias("body"), mine.alias("mine")).alias("turn"),
     )
-    gathered = parts.groupBy("conv", "perspective", "chunk").agg(F.sort_array(F.collect_list("turn")).alias("turns"))  # at most ``chunk`` turns
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(a: Column, t: Column) -> Column:
-        begin = a["at"] + F.length(t["head"])
-        end = begin + F.length(t["body"])
-        own = F.when(t["mine"], F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(none)
-        return F.struct(end.alias("at"), F.concat(a["mask"], own).alias("mask"))
-
-    mask = F.aggregate("turns", F.struct(F.lit(0).alias("at"), none.alias("mask")), step, lambda a: a["mask"])
-    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"])), "")
+    row = ["conv", "perspective", "chunk"]
+    size = F.length("turn.head") + F.length("turn.body")
+    ends = parts.withColumn("stop", F.sum(size).over(Window.partitionBy(*row).orderBy("turn.place")))
+    own = F.when(F.col("turn.mine"), F.struct((F.col("stop") - F.length("turn.body")).cast("int").alias("start"), F.col("stop").cast("int").alias("end")))
+    each = ends.select(*row, F.struct("turn.place", F.concat("turn.head", "turn.body").alias("text"), own.alias("span")).alias("turn"))
+    gathered = each.groupBy(*row).agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     return gathered.select(
-        F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), "perspective", "chunk",
-        F.size("turns").cast("long").alias("n_turns"), text.alias("text"), mask.alias("mask"),
+        F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), "perspective", "chunk", F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: t["text"]), "").alias("text"), F.array_compact(F.transform("turns", lambda t: t["span"])).alias("mask"),
     )
 
 
@@ -80,7 +74,7 @@ def rotated(conversations: DataFrame) -> DataFrame:
     return render(conversations).withColumn("mask", spans)
 
 
-#: DuckDB SQL for ``rotated`` with chunks of 512 turns.
+#: DuckDB SQL for ``rotated``.
 ROTATED_SQL = r"""
 WITH t AS (
   SELECT coalesce(conv_id, -9223372036854775808) AS conv, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
@@ -89,7 +83,7 @@ WITH t AS (
 ), s AS (
   SELECT DISTINCT conv, role AS perspective FROM t WHERE role <> 'system'
 ), r AS (
-  SELECT n.conv, perspective, CAST(place // 512 AS INT) AS chunk, place, role = perspective AS mine,
+  SELECT n.conv, perspective, CAST(0 AS INT) AS chunk, place, role = perspective AS mine,
     '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') END || '|>' || chr(10) AS head,
     regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body
   FROM n JOIN s ON n.conv = s.conv
