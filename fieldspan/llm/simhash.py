@@ -3,25 +3,28 @@
 A document's fingerprint has a bit set where more than half of its shingle hashes have it. Two
 fingerprints link when they differ in at most two bits, so at least six of their eight positional
 bytes are equal: that is the guaranteed minimum. The index is inverted over positional bytes: each
-fingerprint is posted under the 28 choices of six of them. A pair that shares s bytes meets in as many
-lists as there are choices of six out of s (1, 7 or 28), so the pair's tally of lists says how many
-bytes it shares; pairs that reach the minimum are verified bit by bit.
+fingerprint is posted under the 56 choices of five of them. A pair that shares s bytes meets in as many
+lists as there are choices of five out of s (1, 6, 21 or 56 for 5, 6, 7 or 8). The tally of lists of a pair
+therefore counts its bytes: pairs below the minimum, which met in one list only, go, the others are
+verified bit by bit. (Single bytes would make lists of a 256th of the table.)
 
-The members of a list agree in six bytes, so a list has at most 65,536. Lists longer than
-``MOST_LISTED`` are split: of the four half bytes in which its members may differ a linked pair shares
-two at least, so each member is posted again under the six choices of two. Such a sublist has at most
-256 members, so a fingerprint meets a fixed number of others, however large the table is.
+The members of a list agree in five bytes. Lists longer than ``MOST_LISTED`` are split: of the six half bytes in
+which its members may differ a linked pair shares four at least, so each member is posted again under the
+15 choices of four. Such a sublist has at most 256 members, so a fingerprint meets a fixed number of others,
+however large the table is, and linked pairs keep their tally.
 
 Exact copies share a fingerprint and are one class; classes, not documents, are linked.
 
-Edge cases: null or wordless text has fingerprint zero and links like any other; a null doc_id gets
-its component's smallest id (null if the component has none); repeated rows give a row each.
+Edge cases: null, empty or wordless text has fingerprint zero and links like any other; very long texts are read whole; a
+null doc_id gets its component's smallest id (null if the component has none); repeated rows give a row
+each; a bit set in exactly half of the hashes is 0; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,8 @@ from xxhash import xxh64_intdigest
 
 from .common import components, doc_id_of, doc_rows, kept_rows, staged
 
-#: Bits in which linked fingerprints may differ, and so the bytes that they share at least.
-NEAR, LEAST_SHARED = 2, 6
+#: Bits in which linked fingerprints may differ, so the bytes that they share at least; bytes of a list's key.
+NEAR, LEAST_SHARED, POSTED = 2, 6, 5
 MOST_LISTED = 32
 
 #: _BITS[v, j]: bit j of the byte v.
@@ -89,17 +92,15 @@ def _joined(parts: list[Column], bits: int, head: Column) -> Column:
 
 
 def pairs(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
-    """a, b, lists: pairs of the distinct longs ``fp`` that meet in the index, and in how many of the 28 kinds of lists.
+    """a, b, lists: pairs of the distinct longs ``fp`` that meet in the index, and in how many of the 56 kinds of lists.
 
     Every pair within two bits is there; farther pairs that meet in a split list may not be.
     """
-    rest, posts = [], []
-    for k, six in enumerate(combinations(range(8), 6)):
-        key = _joined([_part(F.col("fp"), i, 8) for i in six], 8, F.lit(0).cast("long"))
-        posts.append(F.struct(F.lit(k).alias("kind"), key.alias("key")))
-        free = [i for i in range(8) if i not in six]
-        rest.append(_joined([_part(F.col("fp"), i, 8) for i in free], 8, F.lit(0).cast("long")))
-    posted = prints.select("fp", F.explode(F.array(*posts)).alias("p")).select("fp", "p.kind", "p.key")
+    posts = []
+    for k, five in enumerate(combinations(range(8), POSTED)):
+        key, free = (_joined([_part(F.col("fp"), i, 8) for i in some], 8, F.lit(0).cast("long")) for some in (five, [i for i in range(8) if i not in five]))
+        posts.append(F.struct(F.lit(k).cast("byte").alias("kind"), key.alias("key"), free.cast("int").alias("free")))
+    posted = prints.select("fp", F.explode(F.array(*posts)).alias("p")).select("fp", "p.*")
     sizes = posted.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
     met = posted.join(sizes, ["kind", "key"])
 
@@ -109,8 +110,7 @@ def pairs(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
         return gathered.select("kind", each)
 
     short = meet(met.where(F.col("listed") <= most_listed), "key")
-    free = F.element_at(F.array(*rest), F.col("kind") + 1)
-    halves = [F.struct(F.lit(k).alias("place"), _joined([_part(free, i, 4) for i in two], 4, F.lit(0).cast("long")).alias("half")) for k, two in enumerate(combinations(range(4), 2))]
+    halves = [F.struct(F.lit(k).alias("place"), _joined([_part(F.col("free"), i, 4) for i in four], 4, F.lit(0).cast("long")).alias("half")) for k, four in enumerate(combinations(range(6), 4))]
     long = met.where(F.col("listed") > most_listed).select("kind", "key", "fp", F.explode(F.array(*halves)).alias("h")).select("kind", "key", "h.*", "fp")
     split = meet(long, "key", "place", "half").distinct()  # a pair may share several half bytes of one list
     return short.union(split).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
@@ -118,8 +118,7 @@ def pairs(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
 
 def links(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
     """a, b: the pairs of the distinct longs ``fp`` within two bits."""
-    shared = F.when(F.col("lists") >= 28, 8).when(F.col("lists") >= 7, 7).when(F.col("lists") >= 1, 6).otherwise(0)
-    tallied = pairs(prints, most_listed).withColumn("shared", shared).where(F.col("shared") >= LEAST_SHARED)
+    tallied = pairs(prints, most_listed).where(F.col("lists") >= comb(LEAST_SHARED, POSTED))
     return tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= NEAR).select("a", "b")
 
 
