@@ -101,6 +101,15 @@ def near_fingerprints(items: DataFrame, windows: DataFrame, radius: int = RADIUS
     return found.select(*size, "fp", "iid", hamming.alias("hamming")).where(F.col("hamming") <= radius).distinct()
 
 
+def every_window(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As ``windows``, but all windows of each size that an item has: what the bound saves, for comparison."""
+    sizes = wanted.select("width", "n").distinct().collect()  # lengths of items, not items
+    each = F.explode(F.array(*(F.struct(F.lit(r["width"]).alias("width"), F.lit(r["n"]).alias("n")) for r in sizes))) if sizes else F.lit(None).cast("struct<width:int,n:int>")
+    sized = rows.withColumn("size", each).select("kid", "h", "size.*", (F.size("words") - F.col("size.width")).alias("last")).where("last >= 0")
+    nw = F.least(F.col("n"), F.col("last") + 1)
+    return sized.select("kid", "h", "width", "n", nw.alias("nw"), F.sequence(F.lit(0), F.col("last") - nw + 1).alias("starts"))
+
+
 def windows(rows: DataFrame, wanted: DataFrame, widths: list[int], similarity: float) -> DataFrame:
     """kid, h, width, n (shingles of the item size), nw (own shingles), starts: windows that may be similar to an item of the size.
 
@@ -124,11 +133,15 @@ def windows(rows: DataFrame, wanted: DataFrame, widths: list[int], similarity: f
     return chosen.groupBy("kid", "h", "width", "n", "nw").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
 
 
-def matches(docs: DataFrame, named: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """kid, h, iid, first (word), m (words of the window), hamming, similarity: the best window of each document and item."""
+def matches(docs: DataFrame, named: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, prune: bool = True) -> DataFrame:
+    """kid, h, iid, first (word), m (words of the window), hamming, similarity: the best window of each document and item.
+
+    ``prune``: whether windows that share too few shingles with any item of their size are left out before they get a
+    fingerprint. The bound loses nothing; without it the index alone finds the candidates.
+    """
     wanted, widths = item_shingles(named)
     rows = doc_rows(docs).select("kid", "h", words(F.col("text")).alias("words"))
-    asked = staged(windows(rows, wanted, widths, similarity))
+    asked = staged(windows(rows, wanted, widths, similarity) if prune else every_window(rows, wanted))
 
     # The texts of the few documents that are left are read again for whole windows; no others move.
     some, _ = split_by_keys(doc_rows(docs), asked)
@@ -152,10 +165,10 @@ def matches(docs: DataFrame, named: DataFrame, similarity: float = SIMILARITY, r
     return verified.groupBy("kid", "h", "iid").agg(best).select("kid", "h", "iid", (-F.col("b.first")).alias("first"), "b.m", (-F.col("b.hamming")).alias("hamming"), "b.similarity")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, prune: bool = True) -> DataFrame:
     """One row for each document and benchmark item found in it: the most similar window."""
     named = staged(named_items(items))
-    found = matches(docs, named, similarity, radius).join(named.select("iid", "item_id"), "iid")
+    found = matches(docs, named, similarity, radius, prune).join(named.select("iid", "item_id"), "iid")
     return found.select(doc_id_of(F.col("kid")), "item_id", F.col("first").cast("long").alias("first_word"), F.col("m").cast("long").alias("n_words"), "hamming", "similarity")
 
 
