@@ -51,8 +51,11 @@ def _(spark, d):
 
 @query("o02_o03_csv", _spots(".csv", "accuracy_m"))
 def _(spark, d):
-    line = F.format_string("%.8f;%.8f;%s;%.1f;\"a;b\"", "lat", "lon", iso_utc(F.col("t")), "accuracy_m")
-    return _read(readers.csv(_files(Tables(spark, d).fixes, line, "Latitude;GPS Lon;Time stamp;hAcc;note\n".replace("Time stamp", "Date Time"), "\n", "\n", ".csv")))
+    """Notes hold separators, doubled quotes, line ends and quotes that open nothing."""
+    n = F.col("n") % 5
+    note = F.when(n == 0, '"a;b"').when(n == 1, '5" nozzle').when(n == 2, '"said ""so""; then"').when(n == 3, '"two\nlines; 12"').otherwise('half" open;')
+    line = F.format_string("%.8f;%.8f;%s;%.1f;%s", "lat", "lon", iso_utc(F.col("t")), "accuracy_m", note)
+    return _read(readers.csv(_files(Tables(spark, d).fixes, line, "Latitude;GPS Lon;Date Time;hAcc;note\n", "\n", "\n", ".csv")))
 
 
 @query("o05_geojson", _spots(".geojson", "accuracy_m"))

@@ -7,10 +7,11 @@ Spark's own text, JSON and CSV functions, so files are spread over tasks and pos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspan.functions.times import to_epoch
+from fieldspan.sources.separated import records
 
 #: Column names that are understood, first match wins.
 ALIASES = {
@@ -20,8 +21,8 @@ ALIASES = {
     "acc": ("accuracy", "gps_accuracy", "hacc", "horizontal_accuracy", "epx"),
     "speed": ("speed", "velocity", "gps_speed"),
 }
-#: Separators that are tried, metres of accuracy per unit of dilution of precision.
-SEPARATORS, METRES_PER_DOP = (",", ";", "\t", "|"), 5.0
+#: Fixed value: metres of accuracy per unit of dilution of precision.
+METRES_PER_DOP = 5.0
 COLUMNS = ["path", "track_name", "source", "input_ord", "t", "lat", "lon", "accuracy_m", "speed_ms"]
 
 
@@ -75,35 +76,23 @@ def matched(header: Column, key: str) -> Column:
     return F.coalesce(*(F.nullif(F.array_position(header, a), F.lit(0)) for a in ALIASES[key])) - 1
 
 
-def _cells(line: Column, sep: Column) -> Column:
-    """The cells of a line, of any number: quotes may hold separators, line breaks and doubled quotes."""
-    pattern = F.concat(F.lit("["), sep, F.lit(r"""]((?:[^"""), F.lit('"'), sep, F.lit(r"""]++|"[^"]*+"|")*+)"""))
-    raw = F.regexp_extract_all(F.concat(sep, line), pattern, F.lit(1))
-    bare = lambda x: F.when(x.rlike(r'(?s)^".*"$') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
-    return F.transform(raw, lambda x: bare(F.trim(x)))
-
-
 def csv(files_: DataFrame) -> DataFrame:
-    """Separated values with a header; the separator is the one that the header holds most of.
+    """Separated values with a header, read as ``separated`` says.
 
-    Lines may have any number of cells, and quoted cells may span lines. Lines without the header's
-    cells, or with a position that is no number, are skipped; so is a file without a position's columns.
+    Records without the header's cells, or with a position that is no number, are skipped; so is a
+    file without a position's columns.
     """
-    line = F.lit(r"""(?:[^"\r\n]++|"[^"]*+"|")++""")
-    lines = files_.select("path", F.filter(F.regexp_extract_all("content", line, F.lit(0)), lambda x: F.trim(x) != "").alias("lines")).where(F.size("lines") > 1)
-    head = F.get("lines", F.lit(0))
-    counts = [F.struct(F.length(head) - F.length(F.replace(head, F.lit(s), F.lit(""))), F.lit(-i), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)]
-    lines = lines.select("path", "lines", F.greatest(*counts)["sep"].alias("sep"))
-    header = F.transform(_cells(head, F.col("sep")), _normal)
-    own = lines.select("path", "sep", header.alias("header"), F.slice("lines", 2, F.size("lines")).alias("rest"))
-    own = own.select("path", "sep", *(matched(F.col("header"), k).cast("int").alias(k) for k in ALIASES), F.posexplode("rest").alias("input_ord", "line"))
-    read = own.where("lat is not null and lon is not null and time is not null").select("path", "input_ord", *ALIASES, _cells(F.col("line"), F.col("sep")).alias("v"))
+    rows = records(files_)
+    header = F.transform("cells", _normal)
+    places = F.struct(*(matched(header, k).cast("int").alias(k) for k in ALIASES))
+    headed = rows.withColumn("at", F.first(F.when(F.col("n") == 0, places)).over(Window.partitionBy("path").orderBy("n")))
+    read = headed.where("n > 0 and at.lat is not null and at.lon is not null and at.time is not null").withColumn("input_ord", F.col("n") - 1)
 
     def value(key: str) -> Column:
-        return F.get("v", F.col(key))
+        return F.trim(F.get("cells", F.col(f"at.{key}")))
 
-    rows = read.select(*_row("csv", _name("CSV track"), t=to_epoch(value("time")), lat=value("lat").try_cast("double"), lon=value("lon").try_cast("double"), accuracy_m=value("acc").try_cast("double"), speed_ms=value("speed").try_cast("double")))
-    return rows.where("lat is not null and lon is not null")
+    out = read.select(*_row("csv", _name("CSV track"), t=to_epoch(value("time")), lat=value("lat").try_cast("double"), lon=value("lon").try_cast("double"), accuracy_m=value("acc").try_cast("double"), speed_ms=value("speed").try_cast("double")))
+    return out.where("lat is not null and lon is not null")
 
 
 def geojson(files_: DataFrame) -> DataFrame:

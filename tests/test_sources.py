@@ -117,9 +117,50 @@ def exif(order="<", lat=(38, 18, 1.8), south=False, altitude=40, below=False):
     return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 300, 600) + b"\3" * 10 + b"\xff\xd9"
 
 
+def blank_png(height, width):
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * height * (1 + width * 4))) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("strip_pixels", [1, 60, 1 << 18])
+def test_pictures_in_strips(spark, strip_pixels):
+    """Any decoder reads the parts in order: chunks with their checksums, one stream of all strips, the pixels."""
+    rng = np.random.default_rng(1)
+    shapes = {0: (7, 11), 1: (1, 1), 2: (23, 5), 3: (4, 4)}
+    rows = [(k, int(r), int(c), int(rng.integers(0, 5))) for k, (ny, nx) in shapes.items() if k < 3 for r, c in np.argwhere(rng.random((ny, nx)) < 0.5)] + [(1, 0, 0, 2)]
+    rows = sorted({x[:3]: x for x in rows}.values())
+    classes = spark.createDataFrame(rows, "project_id long, r long, c long, class int")
+    grid = spark.createDataFrame([(k, nx, ny) for k, (ny, nx) in shapes.items()], "project_id long, nx long, ny long")
+    files = {}
+    for p in sinks.picture_parts(classes, grid, strip_pixels).orderBy("project_id", "part").collect():
+        files[p["project_id"]] = files.get(p["project_id"], b"") + bytes(p["bytes"])
+    assert set(files) == {x[0] for x in rows}
+    if strip_pixels == 1 << 18:
+        assert {r["project_id"]: bytes(r["png"]) for r in sinks.overlays(classes, grid).collect()} == files
+    for k, file in files.items():
+        ny, nx = shapes[k]
+        assert file[:8] == b"\x89PNG\r\n\x1a\n"
+        at, body, kinds = 8, b"", []
+        while at < len(file):
+            n = int.from_bytes(file[at : at + 4], "big")
+            kind, data = file[at + 4 : at + 8], file[at + 8 : at + 8 + n]
+            assert int.from_bytes(file[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + data)
+            kinds.append(kind)
+            body += data if kind == b"IDAT" else b""
+            at += 12 + n
+        assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND" and set(kinds[1:-1]) == {b"IDAT"}
+        lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(ny, 1 + 4 * nx)  # the stream's own checksum is tested here
+        want = np.zeros((ny, nx, 4), np.uint8)
+        for p, r, c, kind in rows:
+            if p == k:
+                want[ny - 1 - r, c] = sinks.COLOURS[kind]
+        assert (lines[:, 1:].reshape(ny, nx, 4) == want).all() and (lines[:, 0] == 0).all()
+
+
 def test_image_headers(spark):
-    blank = sinks.png(np.zeros((37, 91, 4), np.uint8))
-    assert zlib.decompress(blank[blank.index(b"IDAT") + 4 : -16]) == b"\0" * 37 * (1 + 91 * 4)
+    blank = blank_png(37, 91)
     rows = [("a", blank), ("b", exif()), ("c", exif(">", south=True, below=True)), ("d", b"GIF89a"), ("e", exif()[:60])]
     df = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
     found = {r["path"]: r for r in images.headers(df).collect()}
@@ -188,7 +229,7 @@ def test_store(spark, tmp_path):
         store.add_tracks(1, walk(9, 0).where("1 = 0"))
     store.remove_track(1, 7)
     assert store.tracks(1).count() == 1
-    store.add_photo(1, 4, "p", sinks.png(np.zeros((10, 10, 4), np.uint8)), "{}")
+    store.add_photo(1, 4, "p", blank_png(10, 10), "{}")
     store.set_photo(1, 4, opacity=7)
     assert store.photos(1).first()["opacity"] == 1.0
     with pytest.raises(ValueError):
