@@ -1,8 +1,8 @@
-"""Aligning a photo to a walked route by its edges.
+"""Aligning photos to walked routes by their edges, any number of photos in one job.
 
-Features are rows (px, py, feature) of a small image; a candidate is a row of placement parameters.
-Scores are a join of route points and candidates by a fixed number of candidates a round, never a
-product of two growing tables.
+Features are rows (image_id, px, py, feature) of small images; a candidate is a row of placement parameters.
+Everything is keyed by image_id: scores are a join of each image's route points with its candidates, a fixed number a
+round, never a product of two growing tables, and nothing comes back to the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspan.operators import placement
+from fieldspan.staging import staged, unstage
 
 #: Luminance weights, working width, share of points that must land, least points, least gain.
 GREY, WORK_WIDTH, MUST_LAND, LEAST_POINTS, LEAST_GAIN = (0.299, 0.587, 0.114), 256, 0.8, 20, 1.02
@@ -43,41 +44,63 @@ def features(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").applyInPandas(run, "image_id long, px int, py int, feature double")
 
 
-def scores(route: DataFrame, candidates: DataFrame, feature: DataFrame, width: int, height: int) -> DataFrame:
-    """cand, score: the mean feature under all route points (lat, lon), -1 if under four in five land on the picture."""
-    where = placement.spot_to_pixel(F.col("p"), F.col("lat"), F.col("lon"), F.lit(float(width)), F.lit(float(height)))
-    spots = route.join(F.broadcast(candidates), F.lit(True)).withColumn("w", where)  # a few hundred candidates
-    spots = spots.select("cand", F.floor("w.px").cast("int").alias("px"), F.floor("w.py").cast("int").alias("py"))
-    met = spots.join(feature.select("px", "py", "feature"), ["px", "py"], "left")
-    sums = met.groupBy("cand").agg(F.count(F.lit(1)).alias("n"), F.count("feature").alias("landed"), F.sum(F.coalesce("feature", F.lit(0.0))).alias("s"))
-    return sums.select("cand", F.when(F.col("landed") >= MUST_LAND * F.col("n"), F.col("s") / F.col("n")).otherwise(F.lit(-1.0)).alias("score"))
+def scores(route: DataFrame, candidates: DataFrame, feature: DataFrame) -> DataFrame:
+    """image_id, cand, score: the mean feature under all points of the image's route, -1 if under four in five land on the picture.
+
+    route: image_id, lat, lon. candidates: image_id, cand, p (placement), width, height (pixels). feature: image_id, px, py, feature.
+    Points of a route meet the candidates of their own image only, and of the features only those that are not 0.
+    """
+    where = placement.spot_to_pixel(F.col("p"), F.col("lat"), F.col("lon"), F.col("width").cast("double"), F.col("height").cast("double"))
+    spots = route.join(candidates, "image_id").withColumn("w", where)
+    px, py = F.floor("w.px").cast("int"), F.floor("w.py").cast("int")
+    on = (px >= 0) & (py >= 0) & (px < F.col("width")) & (py < F.col("height"))
+    spots = spots.select("image_id", "cand", px.alias("px"), py.alias("py"), F.coalesce(on, F.lit(False)).alias("on"))
+    # Several points of a route often share a pixel.
+    spots = spots.groupBy("image_id", "cand", "px", "py", "on").agg(F.count(F.lit(1)).alias("points"))
+    met = spots.join(feature.where("feature > 0").select("image_id", "px", "py", "feature"), ["image_id", "px", "py"], "left")
+    sums = met.groupBy("image_id", "cand").agg(F.sum("points").alias("n"), F.sum(F.col("on").cast("long") * F.col("points")).alias("landed"), F.sum(F.coalesce("feature", F.lit(0.0)) * F.col("points")).alias("s"))
+    return sums.select("image_id", "cand", F.when(F.col("landed") >= MUST_LAND * F.col("n"), F.col("s") / F.col("n")).otherwise(F.lit(-1.0)).alias("score"))
+
+
+def tries(best: DataFrame, share: float, span_m: float, span_deg: float, span_scale: float, lock_width: bool) -> DataFrame:
+    """image_id, cand, lat, lon, ground_m, rotation, width, height: the placements of one round around each image's best so far.
+
+    All steps to the east, north, in rotation and (unless locked) in width; the last candidate is the best itself.
+    """
+    steps = [2 * i / (SIDE - 1) - 1 for i in range(SIDE)]
+    ways = [(e, n, t, w) for e in steps for n in steps for t in steps for w in ([0.0] if lock_width else steps)] + [(0.0, 0.0, 0.0, 0.0)]
+    each = F.posexplode(F.array(*(F.struct(*(F.lit(x).alias(k) for x, k in zip(way, "entw"))) for way in ways))).alias("cand", "way")
+    m_lat, m_lon = 111_132.0, 111_320.0 * F.cos(F.radians("lat"))
+    spread = best.select("image_id", "lat", "lon", "ground_m", "rotation", "width", "height", each)
+    return spread.select(
+        "image_id", "cand", (F.col("lat") + F.col("way.n") * (share * span_m) / m_lat).alias("lat"), (F.col("lon") + F.col("way.e") * (share * span_m) / m_lon).alias("lon"),
+        (F.col("ground_m") * (1 + F.col("way.w") * (share * span_scale))).alias("ground_m"), (F.col("rotation") + F.col("way.t") * (share * span_deg)).alias("rotation"), "width", "height",
+    )
 
 
-def refine(route: DataFrame, feature: DataFrame, width: int, height: int, lat: float, lon: float, ground_m: float, rotation: float, span_m: float = 6.0, span_deg: float = 10.0, span_scale: float = 0.15, lock_width: bool = False) -> tuple[dict, float, float]:
-    """The best placement around a first one, its score, and the first one's score: four rounds, coarse to fine.
+def refine(route: DataFrame, feature: DataFrame, starts: DataFrame, span_m: float = 6.0, span_deg: float = 10.0, span_scale: float = 0.15, lock_width: bool = False) -> DataFrame:
+    """image_id, lat, lon, ground_m, rotation, width, height, score, start, moved: the best placement of every image around its first one.
 
-    A round tries SIDE values of east, north, rotation and (unless locked) width, all in one job; only
-    the winner comes back. A start with too few points or too little gain is returned as it was.
+    starts: image_id, lat, lon, ground_m, rotation, width, height. Four rounds, coarse to fine, over all images at once: a round
+    makes each image's candidates from its best so far, scores them by one join, and keeps the best (of
+    equal scores the last). An image without enough points on its picture, or with too little gain, stays where it was.
     """
-    best = {"lat": lat, "lon": lon, "ground_m": ground_m, "rotation": rotation}
-    start = None
-    steps = np.linspace(-1, 1, SIDE)
-    for share in ROUNDS:
-        tries = []
-        for e in steps:
-            for n in steps:
-                for t in steps:
-                    for w in (0.0,) if lock_width else steps:
-                        tries.append((best["lat"] + n * share * span_m / 111_132.0, best["lon"] + e * share * span_m / (111_320.0 * np.cos(np.radians(best["lat"]))), best["ground_m"] * (1 + w * share * span_scale), best["rotation"] + t * share * span_deg))
-        tries.append(tuple(best[k] for k in ("lat", "lon", "ground_m", "rotation")))
-        spark = route.sparkSession
-        table = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(tries)], "cand int, clat double, clon double, ground double, rot double")
-        p = placement.centred(F.col("clat"), F.col("clon"), F.lit(float(width)), F.lit(float(height)), F.col("ground"), F.col("rot"))
-        found = {r["cand"]: r["score"] for r in scores(route, table.select("cand", p.alias("p")), feature, width, height).collect()}  # 626 rows
-        if start is None:
-            start = found.get(len(tries) - 1, -1.0)
-        top = max(found, key=lambda k: (found[k], k))
-        best, score = dict(zip(("lat", "lon", "ground_m", "rotation"), map(float, tries[top]))), found[top]
-    if score <= LEAST_GAIN * max(start, 0.0):
-        return {"lat": lat, "lon": lon, "ground_m": ground_m, "rotation": rotation}, start, start
-    return best, score, start
+    place = ["lat", "lon", "ground_m", "rotation"]
+    best = starts.select("image_id", *place, "width", "height")
+    for k, share in enumerate(ROUNDS):
+        around = staged(tries(best, share, span_m, span_deg, span_scale, lock_width))
+        p = placement.centred(F.col("lat"), F.col("lon"), F.col("width").cast("double"), F.col("height").cast("double"), F.col("ground_m"), F.col("rotation"))
+        found = scores(route, around.select("image_id", "cand", p.alias("p"), "width", "height"), feature)
+        rated = around.join(found, ["image_id", "cand"])
+        top = rated.groupBy("image_id").agg(F.max_by(F.struct(*place, "width", "height", "score"), F.struct("score", "cand")).alias("b"), F.max_by("score", "cand").alias("own"))
+        then = top.select("image_id", "b.*", *([F.col("own").alias("start")] if not k else ["own"]))
+        now = staged(then if not k else then.drop("own").join(best.select("image_id", "start"), "image_id"))
+        unstage(around, *([best] if k else []))
+        best = now
+    first = starts.select("image_id", *(F.col(c).alias(f"{c}_0") for c in place), F.col("width").alias("width_0"), F.col("height").alias("height_0"))
+    points = route.groupBy("image_id").agg(F.count(F.lit(1)).alias("points"))
+    gained = F.coalesce((F.col("score") > LEAST_GAIN * F.greatest("start", F.lit(0.0))) & (F.col("points") >= LEAST_POINTS), F.lit(False))
+    return first.join(best, "image_id", "left").join(points, "image_id", "left").select(
+        "image_id", *(F.when(gained, F.col(c)).otherwise(F.col(f"{c}_0")).alias(c) for c in place), F.col("width_0").alias("width"), F.col("height_0").alias("height"),
+        F.coalesce(F.when(gained, F.col("score")).otherwise(F.col("start")), F.lit(-1.0)).alias("score"), F.coalesce("start", F.lit(-1.0)).alias("start"), gained.alias("moved"),
+    )

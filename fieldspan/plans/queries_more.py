@@ -246,31 +246,66 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", guess["how"].alias("how"))
 
 
-@query("o129_features", None)
-def _(spark, d):
-    p = spark.range(64 * 64).select(F.lit(1).cast("long").alias("image_id"), (F.col("id") % 64).cast("int").alias("px"), F.floor(F.col("id") / 64).cast("int").alias("py"))
-    lit = F.when((F.col("px") > 20) & (F.col("px") < 44), 255).otherwise(0)
-    return snap.features(p.withColumns({"r": lit, "g": lit, "b": lit}))
+_SIDE, _GROUND = 48, 24.0
 
 
-def _route_and_features(spark) -> tuple[DataFrame, DataFrame]:
-    route = spark.range(40).select((38.3 + (F.col("id") - 20) * 1e-6).alias("lat"), F.lit(32.9).alias("lon"))
-    feature = spark.range(100 * 100).select((F.col("id") % 100).cast("int").alias("px"), F.floor(F.col("id") / 100).cast("int").alias("py")).withColumn("feature", F.when(F.col("px") == 55, 1.0).when(F.col("px").isin(54, 56), 0.5).otherwise(0.0))
-    return route, feature
+def _photo_pixels(spark, d) -> DataFrame:
+    """A picture of every track: 48 x 48 pixels of half a metre, grey, with a bright band of one metre that runs north."""
+    tracks = Tables(spark, d).fixes.where("n < 24").groupBy(F.col("track_id").alias("image_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    at = tracks.withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(_SIDE - 1)))).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(_SIDE - 1))))
+    left = (18 + F.col("image_id") % 12).cast("int")
+    lit = F.when((F.col("px") >= left) & (F.col("px") < left + 2), 250).otherwise(40)
+    return at.select("image_id", "px", "py", lit.alias("r"), lit.alias("g"), lit.alias("b"))
 
 
-@query("o130_scores", None)
+def _photo_routes(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each track's first lane, and where its picture is taken to lie: at the lane's middle, so that the band is up to four metres off."""
+    lane = Tables(spark, d).fixes.where("n < 24")
+    route = lane.select(F.col("track_id").alias("image_id"), F.lit(38.3005).alias("lat0"), "lat", "lon")
+    middle = route.groupBy("image_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("n")).where("n >= 20")
+    starts = middle.select("image_id", "lat", "lon", F.lit(_GROUND).alias("ground_m"), F.lit(0.0).alias("rotation"), F.lit(_SIDE).alias("width"), F.lit(_SIDE).alias("height"))
+    return route.select("image_id", "lat", "lon"), starts
+
+
+_IMAGES = "(SELECT track_id AS image_id, count(*) AS n FROM fx0 WHERE n < 24 GROUP BY 1)"
+#: Slopes are equal in four columns around the band; smoothed twice (1, 4, 6, 4, 1 of 16) they are 15, 11, 5 and 1 sixteenths.
+_PROFILE = "CASE abs(2 * px - 2 * l - 1) WHEN 1 THEN 1.0::DOUBLE WHEN 3 THEN 11 / 15.0::DOUBLE WHEN 5 THEN 5 / 15.0::DOUBLE WHEN 7 THEN 1 / 15.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@query("o129_features", over(f"""SELECT image_id, px, round({_PROFILE}, 3) AS strongest, CAST(42 AS BIGINT) AS n_full FROM (
+  SELECT image_id, CAST(18 + image_id % 12 AS INT) AS l, CAST(unnest(range(0, 48)) AS INT) AS px FROM {_IMAGES} WHERE n >= 20) WHERE {_PROFILE} > 0""", "fx0"))
 def _(spark, d):
-    route, feature = _route_and_features(spark)
-    turn = spark.range(9).select(F.col("id").alias("cand"), placement.centred(F.lit(38.3), F.lit(32.9) + (F.col("id") - 4) * 2e-6, F.lit(100.0), F.lit(100.0), F.lit(10.0), F.lit(0.0)).alias("p"))
-    return snap.scores(route, turn, feature, 100, 100)
+    """By columns of each picture: the strongest feature, and in how many rows it is that strong: the three at either rim are weaker."""
+    found = snap.features(_photo_pixels(spark, d))
+    top = found.groupBy("image_id", "px").agg(F.max("feature").alias("m"))
+    full = found.join(top, ["image_id", "px"]).where("m > 1e-9 and feature > m - 1e-9")
+    return full.groupBy("image_id", "px").agg(F.round(F.max("m"), 3).alias("strongest"), F.count(F.lit(1)).alias("n_full"))
 
 
-@query("o131_refine", None)
+@query("o130_scores", None)
 def _(spark, d):
-    route, feature = _route_and_features(spark)
-    best, score, start = snap.refine(route, feature, 100, 100, 38.3, 32.9, 10.0, 0.0, span_m=1.0, span_deg=4.0)
-    return spark.createDataFrame([(score, start, best["rotation"], best["ground_m"])], "score double, start double, rotation double, ground_m double")
+    """Each picture at nine places a half metre apart, scored."""
+    route, starts = _photo_routes(spark, d)
+    shift = F.posexplode(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda i: i * 0.5)).alias("cand", "east")
+    moved = starts.select("*", shift).withColumn("at", F.col("lon") + F.col("east") / 87_000.0)
+    p = placement.centred(F.col("lat"), F.col("at"), F.col("width").cast("double"), F.col("height").cast("double"), F.col("ground_m"), F.col("rotation"))
+    found = snap.scores(route, moved.select("image_id", "cand", p.alias("p"), "width", "height"), snap.features(_photo_pixels(spark, d)))
+    return found.select("image_id", "cand", F.round("score", 9).alias("score"))
+
+
+@query("o131_refine", over(f"SELECT image_id, true AS moved, true AS on_the_band FROM {_IMAGES} WHERE n >= 20", "fx0"))
+def _(spark, d):
+    """Every picture aligned in one job: all move, and end with the band's middle within half a metre of the route."""
+    route, starts = _photo_routes(spark, d)
+    found = snap.refine(route, snap.features(_photo_pixels(spark, d)), starts, lock_width=True)
+    first = starts.select("image_id", F.col("lon").alias("route_lon"), F.col("lat").alias("route_lat"))
+    band = ((18 + F.col("image_id") % 12) + 1.0) * (_GROUND / _SIDE) - _GROUND / 2  # metres east of the picture's middle, unturned
+    m_lat, m_lon = geo.metres_per_degree(F.col("lat"))
+    turn = F.radians("rotation")
+    # how far the route's middle lies from the band's line
+    east, north = (F.col("route_lon") - F.col("lon")) * m_lon, (F.col("route_lat") - F.col("lat")) * m_lat
+    off = east * F.cos(turn) - north * F.sin(turn) - band
+    return found.join(first, "image_id").select("image_id", "moved", (F.abs(off) < 0.75).alias("on_the_band"))
 
 
 @query("o132_bounds_meet", "SELECT a.n_nationkey, a.n_nationkey % 7 <= 3 AND a.n_nationkey % 7 + 2 >= 1 AS meet FROM nation a")

@@ -195,11 +195,24 @@ def test_placement_inverses_and_refusals(spark):
 def test_snap_finds_the_edge(spark):
     edge = snap.feature_map(np.where(np.arange(64)[None, :] < 30, 0, 255) * np.ones((64, 1)))
     assert edge.max() == 1 and abs(int(edge.sum(axis=0).argmax()) - 30) <= 1
-    from fieldspan.plans.queries_more import _route_and_features
 
-    route, feature = _route_and_features(spark)
-    best, score, start = snap.refine(route, feature, 100, 100, 38.3, 32.9, 10.0, 0.0, span_m=1.0, span_deg=4.0, lock_width=True)
-    assert score > max(start, 0.4) and best["ground_m"] == 10.0
+
+def test_many_photos_in_one_job(spark):
+    """Pictures whose bright line lies east of their middle by so many pixels; one with too few points, one whose route misses it."""
+    shifts = {1: 5, 2: -3, 3: 0, 4: 5, 5: 5}
+    route = [(k, 38.3 + (i - 20) * 1e-6 + (1 if k == 5 else 0), 32.9) for k in shifts for i in range(10 if k == 4 else 40)]
+    pixels = [(k, x, y, {0: 1.0, 1: 0.5}.get(abs(x - 50 - s), 0.0)) for k, s in shifts.items() for x in range(100) for y in range(100) if abs(x - 50 - s) < 2]
+    starts = [(k, 38.3, 32.9, 10.0, 0.0, 100, 100) for k in shifts]
+    r = spark.createDataFrame(route, "image_id long, lat double, lon double")
+    f = spark.createDataFrame(pixels, "image_id long, px int, py int, feature double")
+    s = spark.createDataFrame(starts, "image_id long, lat double, lon double, ground_m double, rotation double, width int, height int")
+    found = {x["image_id"]: x for x in snap.refine(r, f, s, span_m=1.0, span_deg=4.0, lock_width=True).collect()}
+    assert set(found) == set(shifts) and all(x["ground_m"] == 10.0 for x in found.values())
+    for k in (1, 2):
+        assert found[k]["moved"] and found[k]["score"] > max(found[k]["start"], 0.4) and (found[k]["lon"] < 32.9) == (shifts[k] > 0)
+    assert not found[4]["moved"] and not found[5]["moved"] and found[5]["score"] == -1 and found[4]["lon"] == 32.9
+    one = snap.scores(r, s.where("image_id = 3").selectExpr("image_id", "7 AS cand", "width", "height", "lat", "lon").withColumn("p", placement.centred(F.col("lat"), F.col("lon"), F.lit(100.0), F.lit(100.0), F.lit(10.0), F.lit(0.0))).drop("lat", "lon"), f).collect()
+    assert [(x["image_id"], x["cand"]) for x in one] == [(3, 7)] and one[0]["score"] == pytest.approx(1.0)
 
 
 def test_spike_and_accuracy_filters(spark):
