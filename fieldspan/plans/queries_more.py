@@ -94,9 +94,34 @@ def _(spark, d):
     return readers.trackers(states)
 
 
-@query("o15_synthetic_walk", None)
-def _(spark, d):
-    return generate.walk(spark)
+_WALKS = """WITH p AS (SELECT c_custkey AS plot_id, 2 + c_custkey % 4 AS lanes, CAST(10 + c_custkey % 7 AS DOUBLE) AS len FROM customer),
+l0 AS (SELECT plot_id, len, lane, CAST(row_number() OVER (PARTITION BY plot_id ORDER BY lane) - 1 AS BIGINT) AS trip, count(*) OVER (PARTITION BY plot_id) AS trips,
+    12.0::DOUBLE + (lane + 0.5::DOUBLE) + CASE WHEN lane = 1 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS x FROM (SELECT *, unnest(range(0, lanes)) AS lane FROM p) WHERE lane <> plot_id % 3),
+l1 AS (SELECT *, CASE WHEN trip % 2 = 0 THEN len ELSE 0.0::DOUBLE END AS far, CASE WHEN trip % 2 = 0 THEN 0.0::DOUBLE ELSE len END AS near, lag(x, 1, 0.0::DOUBLE) OVER (PARTITION BY plot_id ORDER BY trip) AS last_x,
+    trip > 0 AND trip % 2 = 0 AS refill FROM l0),
+g0 AS (SELECT plot_id, trip, 0 AS part, 0.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS bx, 0.0::DOUBLE AS "by", 90.0::DOUBLE AS s FROM l1 WHERE trip = 0
+  UNION ALL SELECT plot_id, trip, 1, last_x, near, 0, 0, sqrt(last_x * last_x + near * near) / (5.0::DOUBLE / 3.6) FROM l1 WHERE refill
+  UNION ALL SELECT plot_id, trip, 2, 0, 0, 0, 0, 150.0::DOUBLE FROM l1 WHERE refill
+  UNION ALL SELECT plot_id, trip, 3, CASE WHEN refill OR trip = 0 THEN 0 ELSE last_x END, CASE WHEN refill OR trip = 0 THEN 0 ELSE near END, x, near,
+    CASE WHEN refill OR trip = 0 THEN sqrt(x * x + near * near) / (5.0::DOUBLE / 3.6) ELSE abs(x - last_x) / (1.2::DOUBLE / 3.6) END FROM l1
+  UNION ALL SELECT plot_id, trip, 4, x, near, x, far, len / (2.5::DOUBLE / 3.6) FROM l1
+  UNION ALL SELECT plot_id, trip, 5, x, far, 0, 0, sqrt(x * x + far * far) / (5.0::DOUBLE / 3.6) FROM l1 WHERE trip = trips - 1
+  UNION ALL SELECT plot_id, trip, 6, 0, 0, 0, 0, 90.0::DOUBLE FROM l1 WHERE trip = trips - 1),
+g AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(sum(s) OVER (PARTITION BY plot_id ORDER BY trip, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t, CAST(greatest(1, round(s / 2)) AS BIGINT) AS steps
+  FROM g0 WHERE s > 0 WINDOW w AS (PARTITION BY plot_id ORDER BY trip, part)),
+j AS (SELECT *, unnest(range(CASE WHEN k = 0 THEN 0 ELSE 1 END, steps + 1)) AS j FROM g)
+SELECT plot_id, row_number() OVER (PARTITION BY plot_id ORDER BY k, j) - 1 AS n, round(t + s * (CAST(j AS DOUBLE) / steps), 4) AS t, round(ax + (bx - ax) * (CAST(j AS DOUBLE) / steps), 5) + 0 AS x, round(ay + ("by" - ay) * (CAST(j AS DOUBLE) / steps), 5) + 0 AS y FROM j"""
+
+
+@query("o15_synthetic_walk", _WALKS)
+def _(spark, d):
+    """A walk for every customer, without scatter: its lanes, their length, the one left out and the one moved differ."""
+    k = F.col("c_custkey")
+    table = spark.read.parquet(f"{d}/customer.parquet").select(
+        k.alias("plot_id"), (2 + k % 4).cast("int").alias("lanes"), (10 + k % 7).cast("double").alias("length_m"), F.array((k % 3).cast("int")).alias("skip"), F.lit(2).alias("per_load"), F.lit(0.0).alias("still_m"), F.lit(0.0).alias("t0")
+    )
+    found = generate.walks(generate.plots(table, shift={1: 0.25}))
+    return found.select("plot_id", "n", F.round("t", 4).alias("t"), (F.round("x", 5) + 0).alias("x"), (F.round("y", 5) + 0).alias("y"))
 
 
 @query("o16_straight_pass", "SELECT CAST(i AS BIGINT) AS n, round(i * (25.0::DOUBLE / (2.5::DOUBLE / 3.6::DOUBLE) / 36), 6) AS t, round(i * (25.0::DOUBLE / 36), 6) AS y FROM range(0, 37) q(i)")

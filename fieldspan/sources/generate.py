@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,26 +24,45 @@ def straight_pass(spark: SparkSession, length_m: float = 25.0, speed_kmh: float
     return _on_earth(walk, lat0, lon0)
 
 
-def lane_table(spark: SparkSession, lanes: int, length_m: float, swath_m: float, offset_m: float, per_load: int, skip: tuple[int, ...], shift: dict[int, float]) -> DataFrame:
-    """A row a worked lane: trip (from 0), x, near and far (y where it is entered and left), last_x, refill (the tank is empty before it)."""
-    lane, moved = F.col("id"), F.lit(0.0)
-    for k, by in shift.items():
-        moved = F.when(F.col("id") == k, F.lit(float(by))).otherwise(moved)
-    gone = reduce(Column.__add__, ((lane > k).cast("int") for k in skip), F.lit(0))
-    worked = spark.range(lanes).where(~lane.isin(*skip) if skip else F.lit(True))
-    placed = worked.select((lane - gone).alias("trip"), (F.lit(offset_m) + F.lit(swath_m) * (lane + 0.5) + moved).alias("x"))
-    far = F.lit(float(length_m)) * (1 - F.col("trip") % 2)  # even trips go up, odd ones down
-    order = Window.orderBy("trip")  # one row a lane
-    return placed.select("trip", "x", (F.lit(float(length_m)) - far).alias("near"), far.alias("far"), F.lag("x", 1, 0.0).over(order).alias("last_x"), ((F.col("trip") > 0) & (F.col("trip") % per_load == 0)).alias("refill"))
+#: A walk over the default plot. Lanes are counted from 0; ``shift`` moves a lane east, ``still_m`` is the scatter while standing.
+DEFAULTS = {
+    "lanes": 24, "length_m": 40.0, "swath_m": 1.0, "offset_m": 12.0, "per_load": 8, "skip": (13,), "shift": {5: -0.4}, "refill_s": 150.0, "work_kmh": 2.5, "walk_kmh": 5.0, "turn_kmh": 1.2,
+    "interval_s": 2.0, "noise_m": 0.0, "still_m": 0.6, "seed": 7, "t0": PLOT_T, "lat0": PLOT_LAT, "lon0": PLOT_LON,
+}
+
+
+def _value(v) -> Column:
+    if isinstance(v, dict):
+        return F.map_from_arrays(F.lit(list(v)).cast("array<int>"), F.lit([float(x) for x in v.values()]).cast("array<double>"))
+    return F.array(*map(F.lit, v)).cast("array<int>") if isinstance(v, tuple) else F.lit(v)
+
+
+def plots(table: DataFrame, **given) -> DataFrame:
+    """``table`` (plot_id, and any of the parameters in DEFAULTS as columns) with all parameters: its own, those given, or the defaults."""
+    return table.withColumns({k: _value(given.get(k, v)) for k, v in DEFAULTS.items() if k not in table.columns})
+
 
+def lane_table(plot: DataFrame) -> DataFrame:
+    """A row a worked lane of each plot, with the plot's parameters: trip (from 0), x, near and far (y where it is entered and left),
+    last_x, refill (the tank is empty before it), final (the walk's last)."""
+    lane = F.col("lane")
+    every = plot.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).where(~F.array_contains("skip", lane))
+    gone = F.size(F.filter(F.array_distinct("skip"), lambda k: (k >= 0) & (k < lane)))
+    left_out = F.size(F.filter(F.array_distinct("skip"), lambda k: (k >= 0) & (k < F.col("lanes"))))
+    placed = every.withColumns({
+        "trip": lane - gone, "x": F.col("offset_m") + F.col("swath_m") * (lane + 0.5) + F.coalesce(F.try_element_at("shift", lane), F.lit(0.0)), "final": lane - gone == F.col("lanes") - left_out - 1,
+    })
+    far = F.col("length_m") * (1 - F.col("trip") % 2)  # even trips go up, odd ones down
+    order = Window.partitionBy("plot_id").orderBy("trip")
+    return placed.withColumns({"near": F.col("length_m") - far, "far": far, "last_x": F.lag("x", 1, 0.0).over(order), "refill": (F.col("trip") > 0) & (F.col("trip") % F.col("per_load") == 0)})
 
-def legs(spark: SparkSession, lanes: int = 24, length_m: float = 40.0, swath_m: float = 1.0, offset_m: float = 12.0, per_load: int = 8, skip: tuple[int, ...] = (13,), shift: dict[int, float] | None = None, refill_s: float = 150.0, work_kmh: float = 2.5, walk_kmh: float = 5.0, turn_kmh: float = 1.2) -> DataFrame:
-    """k, ax, ay, bx, by, t, s, still: the walk's legs in order, when each begins and how long it takes.
+
+def legs(plot: DataFrame) -> DataFrame:
+    """plot_id, k, ax, ay, bx, by, t, s, still, and the parameters that positions need: the walks' legs in order, when each begins and how long it takes.
 
     Each lane's legs are columns of its row: home and a stay before a lane with a fresh tank, the way to
     its near end, the lane itself. A stay of 90 s at home opens and closes the walk.
     """
-    table = lane_table(spark, lanes, length_m, swath_m, offset_m, per_load, skip, {5: -0.4} if shift is None else shift)
     zero, x, near, far = F.lit(0.0), F.col("x"), F.col("near"), F.col("far")
     first, fresh = F.col("trip") == 0, F.col("refill") | (F.col("trip") == 0)
 
@@ -53,33 +70,45 @@ def legs(spark: SparkSession, lanes: int = 24, length_m: float = 40.0, swath_m:
         way = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
         return F.struct(F.lit(part).alias("part"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), (way / (kmh / 3.6) if stay is None else stay).alias("s"), F.lit(stay is not None).alias("still"))
 
-    walking, last_x = F.lit(float(walk_kmh)), F.col("last_x")
-    home = [leg(1, last_x, near, zero, zero, walking), leg(2, zero, zero, zero, zero, walking, F.lit(float(refill_s)))]
+    walking, last_x, rest = F.col("walk_kmh"), F.col("last_x"), F.lit(90.0)
     to_x, to_y = F.when(fresh, zero).otherwise(last_x), F.when(fresh, zero).otherwise(near)
-    enter = leg(3, to_x, to_y, x, near, F.when(fresh, walking).otherwise(F.lit(float(turn_kmh))))
-    along = leg(4, x, near, x, far, F.lit(float(work_kmh)))
-    rest = F.lit(90.0)
-    opening = F.when(first, F.array(leg(0, zero, zero, zero, zero, walking, rest))).otherwise(F.slice(F.array(along), 1, 0))
-    closing = F.when(F.col("trip") == lanes - sum(0 <= k < lanes for k in set(skip)) - 1, F.array(leg(5, x, far, zero, zero, walking), leg(6, zero, zero, zero, zero, walking, rest))).otherwise(F.slice(F.array(along), 1, 0))
-    refills = F.when(F.col("refill"), F.array(*home)).otherwise(F.slice(F.array(along), 1, 0))
-    each = table.select("trip", F.explode(F.concat(opening, refills, F.array(enter, along), closing)).alias("leg")).select("trip", "leg.*").where("s > 0")
-    order = Window.orderBy("trip", "part")  # a few rows a lane
+    along = leg(4, x, near, x, far, F.col("work_kmh"))
+    none = F.slice(F.array(along), 1, 0)
+    opening = F.when(first, F.array(leg(0, zero, zero, zero, zero, walking, rest))).otherwise(none)
+    refills = F.when(F.col("refill"), F.array(leg(1, last_x, near, zero, zero, walking), leg(2, zero, zero, zero, zero, walking, F.col("refill_s")))).otherwise(none)
+    enter = leg(3, to_x, to_y, x, near, F.when(fresh, walking).otherwise(F.col("turn_kmh")))
+    closing = F.when(F.col("final"), F.array(leg(5, x, far, zero, zero, walking), leg(6, zero, zero, zero, zero, walking, rest))).otherwise(none)
+    kept = ["plot_id", "interval_s", "noise_m", "still_m", "seed", "t0", "lat0", "lon0"]
+    each = lane_table(plot).select(*kept, "trip", F.explode(F.concat(opening, refills, F.array(enter, along), closing)).alias("leg")).select(*kept, "trip", "leg.*").where("s > 0")
+    order = Window.partitionBy("plot_id").orderBy("trip", "part")  # a few rows a lane
     begun = F.coalesce(F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, -1)), zero)
-    return each.select((F.row_number().over(order) - 1).alias("k"), "ax", "ay", "bx", "by", begun.alias("t"), "s", "still")
+    return each.select(*kept, (F.row_number().over(order) - 1).alias("k"), "ax", "ay", "bx", "by", begun.alias("t"), "s", "still")
+
 
+def walks(plot: DataFrame) -> DataFrame:
+    """plot_id, n, t, x, y, lat, lon, accuracy_m: back and forth over each of ``plots`` with refills at (0, 0).
 
-def walk(spark: SparkSession, interval_s: float = 2.0, noise_m: float = 0.0, seed: int = 7, t0: float = PLOT_T, lat0: float = PLOT_LAT, lon0: float = PLOT_LON, **plot) -> DataFrame:
-    """n, t, x, y, lat, lon, accuracy_m: back and forth over the plot with refills at (0, 0)."""
-    table = legs(spark, **plot).withColumn("n", F.greatest(F.lit(1), F.round(F.col("s") / interval_s)).cast("int"))
-    share = (F.col("j") / F.col("n")).alias("share")
-    each = table.withColumn("j", F.explode(F.sequence(F.when(F.col("k") == 0, 0).otherwise(1), "n"))).withColumn("share", share)
+    Any number of walks is one job: times are running sums within a walk, and no step looks across walks.
+    """
+    table = legs(plot).withColumn("steps", F.greatest(F.lit(1), F.round(F.col("s") / F.col("interval_s"))).cast("int"))
+    counted = F.col("steps") + F.when(F.col("k") == 0, 1).otherwise(0)
+    before = Window.partitionBy("plot_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    table = table.withColumn("first_n", F.coalesce(F.sum(counted).over(before), F.lit(0)))
+    each = table.withColumn("j", F.explode(F.sequence(F.when(F.col("k") == 0, 0).otherwise(1), "steps"))).withColumn("share", F.col("j") / F.col("steps"))
 
     def jitter(c: int):
-        wide = F.when(F.col("still"), 0.6).otherwise(0.0)
+        wide = F.when(F.col("still"), F.col("still_m")).otherwise(0.0)
         # Box-Muller on hashes: the same for a position however the rows are dealt.
-        u, v = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(c), F.lit(i), "k", "j"), 11) * F.lit(2.0**-53) for i in (0, 1))
-        return (wide + F.lit(float(noise_m))) * F.sqrt(-2 * F.log(u + F.lit(1e-300))) * F.cos(2 * F.lit(3.141592653589793) * v)
+        u, v = (F.shiftrightunsigned(F.xxhash64("seed", F.lit(c), F.lit(i), "k", "j"), 11) * F.lit(2.0**-53) for i in (0, 1))
+        return (wide + F.col("noise_m")) * F.sqrt(-2 * F.log(u + F.lit(1e-300))) * F.cos(2 * F.lit(3.141592653589793) * v)
+
+    n = F.col("first_n") + F.col("j") - F.when(F.col("k") == 0, 0).otherwise(1)
+    spots = each.select("plot_id", "lat0", "lon0", n.cast("long").alias("n"), (F.col("t0") + F.col("t") + F.col("s") * F.col("share")).alias("t"), (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("share") + jitter(0)).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("share") + jitter(1)).alias("y"))
+    m_lat, m_lon = geo.metres_per_degree(F.col("lat0"))
+    lat, lon = geo.inverse(F.col("x"), F.col("y"), F.col("lat0"), F.col("lon0"), m_lat, m_lon)
+    return spots.select("plot_id", "n", "t", "x", "y", lat.alias("lat"), lon.alias("lon"), F.lit(2.0).alias("accuracy_m"))
+
 
-    spots = each.select("k", "j", (t0 + F.col("t") + F.col("s") * F.col("share")).alias("t"), (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("share") + jitter(0)).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("share") + jitter(1)).alias("y"))
-    n = F.row_number().over(Window.orderBy("k", "j")) - 1  # one walk: a few thousand positions
-    return _on_earth(spots.select(n.cast("long").alias("n"), "t", "x", "y"), lat0, lon0).withColumn("accuracy_m", F.lit(2.0))
+def walk(spark: SparkSession, **given) -> DataFrame:
+    """``walks`` of one plot: n, t, x, y, lat, lon, accuracy_m."""
+    return walks(plots(spark.range(1).select(F.col("id").alias("plot_id")), **given)).drop("plot_id")
