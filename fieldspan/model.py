@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Segment states.
 STOPPED, WORKING, TRANSPORT, AT_BASE, SILENT = 0, 1, 2, 3, 4
 #: WGS84 semi-major axis in metres, flattening, first eccentricity squared; m2 per hectare.
@@ -17,6 +20,10 @@ SPIKE_MS, SPIKE_SLACK_M = 40.0, 1.0
 MOST_CELLS, COARSEST_M, MOST_PATCHES, HULL_CELLS = 12_000_000, 50.0, 50, 20_000
 
 
+#: What settings must be, compared with a number or with another setting.
+RULES = (("swath_width_m", ">", 0), ("tank_capacity_l", ">", 0), ("cell_size_m", ">", 0), ("max_gap_s", ">", 0), ("min_speed_kmh", ">=", 0), ("max_speed_kmh", ">", "min_speed_kmh"))
+
+
 @dataclass(frozen=True)
 class Settings:
     """How wide the treated band is, and what counts as work. Speeds in km/h."""
@@ -33,11 +40,10 @@ class Settings:
     field_close_factor: float = 2.0
 
     def __post_init__(self) -> None:
-        for name in ("swath_width_m", "tank_capacity_l", "cell_size_m", "max_gap_s"):
-            if not getattr(self, name) > 0:
-                raise ValueError(f"{name} must be positive")
-        if self.min_speed_kmh < 0 or self.max_speed_kmh <= self.min_speed_kmh:
-            raise ValueError("max_speed_kmh must be above min_speed_kmh, which must not be negative")
+        for name, sign, other in RULES:
+            bound = getattr(self, other) if isinstance(other, str) else other
+            if not (getattr(self, name) > bound or sign == ">=" and getattr(self, name) == bound):
+                raise ValueError(f"{name} must be {sign} {other}")
 
     @classmethod
     def merged(cls, old: Settings, changes: dict) -> Settings:
@@ -45,6 +51,19 @@ class Settings:
         known = {f.name for f in fields(cls)}
         return cls(**{f.name: getattr(old, f.name) for f in fields(cls)} | {k: float(v) for k, v in changes.items() if k in known and v is not None})
 
+    @classmethod
+    def merged_columns(cls, changes: Column) -> tuple[Column, Column]:
+        """The defaults with ``changes`` (a map of names to numbers) as a struct, and whether that is valid: rules for a table of projects.
+
+        Unknown keys and nulls are ignored, as by ``merged``.
+        """
+        each = {f.name: F.coalesce(F.try_element_at(changes, F.lit(f.name)).cast("double"), F.lit(float(f.default))) for f in fields(cls)}
+        valid = F.lit(True)
+        for name, sign, other in RULES:
+            bound = each[other] if isinstance(other, str) else F.lit(float(other))
+            valid = valid & (each[name] > bound if sign == ">" else each[name] >= bound) & ~F.isnan(each[name])
+        return F.struct(*(c.alias(n) for n, c in each.items())), valid
+
     @classmethod
     def from_environment(cls, environ: Mapping[str, str], prefix: str = "FIELDSPAN_") -> Settings:
         """Defaults for a new project: a setting's variable is the prefix and its name in capitals; what is no number is ignored."""

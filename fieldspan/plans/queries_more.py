@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from fieldspan.plans.oracles import over
 from fieldspan.plans.tables import Tables
 from fieldspan.sources import generate, images, readers
 from fieldspan.sources.store import Store
-from fieldspan.staging import shared_dir
+from fieldspan.staging import own_folder
 
 QUERIES: dict = {}
 
@@ -141,23 +142,33 @@ def _(spark, d):
 
 
 def _store(spark, d) -> Store:
-    """A store in the shared folder with the logs of one project, one of its tracks switched off."""
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    fx = Tables(spark, d).fixes.where("project_id = 2")
-    store.save_project(2, "two", Settings(swath_width_m=1.5), Base(38.3, 32.9), now=5.0)
-    store.add_tracks(2, fx.select("track_id", F.concat(F.lit("t"), F.col("track_id").cast("string")).alias("track_name"), F.lit("gpx").alias("source"), F.col("n").alias("input_ord"), "t", "lat", "lon", "accuracy_m", F.lit(None).cast("double").alias("speed_ms")))
-    store.set_track(2, 7, enabled=False)
+    """A store in the shared folder with the logs of all projects, in each of which track 7 (mod 10) is switched off."""
+    store = Store(spark, f"{own_folder(spark)}/store-{uuid.uuid4().hex}")
+    fx = Tables(spark, d).fixes
+    logs = fx.select("project_id", "track_id", F.concat(F.lit("t"), F.col("track_id").cast("string")).alias("track_name"), F.lit("gpx").alias("source"), F.col("n").alias("input_ord"), "t", "lat", "lon", "accuracy_m", F.lit(None).cast("double").alias("speed_ms"))
+    for p in _PROJECTS:
+        store.save_project(p, f"p{p}", Settings(swath_width_m=1.5), Base(38.3, 32.9), now=5.0)
+        store.add_tracks(p, logs.where(F.col("project_id") == p).drop("project_id"))
+        store.set_tracks(p, F.col("track_id") % 10 == 7, enabled=False)
     return store
 
 
-@query("o135_o136_store", over("SELECT track_id, 't' || track_id AS track_name, track_id <> 7 AS enabled, min(t) AS start_t, max(t) AS end_t, count(*) AS n_points, CASE WHEN track_id <> 7 THEN count(*) ELSE 0 END AS n_loaded FROM fx WHERE project_id = 2 GROUP BY 1", "fx"))
+#: The projects of the derived logs.
+_PROJECTS = range(5)
+
+
+@query("o135_o136_store", over("SELECT project_id, track_id, 't' || track_id AS track_name, track_id % 10 <> 7 AS enabled, min(t) AS start_t, max(t) AS end_t, count(*) AS n_points, CASE WHEN track_id % 10 <> 7 THEN count(*) ELSE 0 END AS n_loaded FROM fx GROUP BY 1, 2", "fx"))
 def _(spark, d):
     store = _store(spark, d)
-    loaded = store.load_fixes(2).groupBy("track_id").agg(F.count(F.lit(1)).alias("n_loaded"))
-    return store.tracks(2).join(loaded, "track_id", "left").select("track_id", "track_name", "enabled", "start_t", "end_t", "n_points", F.coalesce("n_loaded", F.lit(0)).alias("n_loaded"))
+
+    def one(p: int) -> DataFrame:
+        loaded = store.load_fixes(p).groupBy("track_id").agg(F.count(F.lit(1)).alias("n_loaded"))
+        return store.tracks(p).join(loaded, "track_id", "left").select(F.lit(p).cast("long").alias("project_id"), "track_id", "track_name", "enabled", "start_t", "end_t", "n_points", F.coalesce("n_loaded", F.lit(0)).alias("n_loaded"))
+
+    return reduce(DataFrame.union, map(one, _PROJECTS))
 
 
-@query("o141_project_json", over("SELECT 2::BIGINT AS project_id, 'two' AS name, 1.5::DOUBLE AS swath_width_m, 38.3::DOUBLE AS base_lat, track_id AS id, 't' || track_id AS track, count(*) AS n_points, track_id <> 7 AS enabled FROM fx WHERE project_id = 2 GROUP BY track_id", "fx"))
+@query("o141_project_json", over("SELECT project_id, 'p' || project_id AS name, 1.5::DOUBLE AS swath_width_m, 38.3::DOUBLE AS base_lat, track_id AS id, 't' || track_id AS track, count(*) AS n_points, track_id % 10 <> 7 AS enabled FROM fx GROUP BY project_id, track_id", "fx"))
 def _(spark, d):
     rows = _store(spark, d).project_json()
     schema = "name string, config struct<swath_width_m double>, base struct<lat double>, tracks array<struct<id long, name string, n_points long, enabled boolean>>"
@@ -165,9 +176,10 @@ def _(spark, d):
     return r.select("project_id", "name", "swath_width_m", "base_lat", "t.id", F.col("t.name").alias("track"), "t.n_points", "t.enabled")
 
 
-@query("o48_store_selection", over("SELECT track_id, count(*) AS n FROM fx WHERE project_id = 2 AND track_id <> 7 GROUP BY 1", "fx"))
+@query("o48_store_selection", over("SELECT project_id, track_id, count(*) AS n FROM fx WHERE track_id % 10 <> 7 GROUP BY 1, 2", "fx"))
 def _(spark, d):
-    return _store(spark, d).load_fixes(2).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    store = _store(spark, d)
+    return reduce(DataFrame.union, (store.load_fixes(p).groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).cast("long").alias("project_id"), "track_id", "n") for p in _PROJECTS))
 
 
 @query("o120_image_sizes", "SELECT p_partkey, CAST(p_size * 10 AS INT) AS width, CAST(p_partkey % 5000 + 1 AS INT) AS height FROM part")
@@ -234,16 +246,16 @@ def _(spark, d):
     return back.select("p_partkey", "s.lat", "s.lon", (F.round("b.px", 6) + 0).alias("px"), (F.round("b.py", 6) + 0).alias("py"), F.col("q.lat").alias("br_lat"), F.col("q.lon").alias("br_lon"))
 
 
-@query("o123_o124_o128_centred", "SELECT p_partkey, round(20.0::DOUBLE + p_size, 4) AS width_m, round((20.0::DOUBLE + p_size) / 2, 4) AS height_m, round(CAST(p_partkey % 360 - 180 AS DOUBLE), 4) AS rotation FROM part WHERE p_partkey % 360 > 0")
+@query("o123_o124_o128_centred", "SELECT p_partkey, round(20.0::DOUBLE + p_size, 4) AS width_m, round((20.0::DOUBLE + p_size) / 2, 4) AS height_m, round(CAST(p_partkey % 360 - 180 AS DOUBLE), 4) AS rotation FROM part")
 def _(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 360 > 0")
+    p = spark.read.parquet(f"{d}/part.parquet")
     place = placement.centred(F.lit(38.3), F.lit(32.9), F.lit(600.0), F.lit(300.0), 20.0 + F.col("p_size"), (F.col("p_partkey") % 360 - 180).cast("double"))
     # measured on the plane of the centre's latitude, so the size comes back to the rounding
     sized = p.select("p_partkey", "p_size", place.alias("p"))
     m_lat, m_lon = geo.metres_per_degree(F.lit(38.3))
     ax, ay = (F.col("p.top_right.lon") - F.col("p.top_left.lon")) * m_lon, (F.col("p.top_right.lat") - F.col("p.top_left.lat")) * m_lat
     bx, by = (F.col("p.bottom_left.lon") - F.col("p.top_left.lon")) * m_lon, (F.col("p.bottom_left.lat") - F.col("p.top_left.lat")) * m_lat
-    return sized.select("p_partkey", F.round(geo.length(ax, ay), 4).alias("width_m"), F.round(geo.length(bx, by), 4).alias("height_m"), F.round(F.pmod(F.degrees(F.atan2(ax, ay)) + 90, F.lit(360.0)) - 180, 4).alias("rotation"))
+    return sized.select("p_partkey", F.round(geo.length(ax, ay), 4).alias("width_m"), F.round(geo.length(bx, by), 4).alias("height_m"), (F.pmod(F.round(F.pmod(F.degrees(F.atan2(ax, ay)) + 90, F.lit(360.0)), 4), F.lit(360.0)) - 180).alias("rotation"))
 
 
 @query("o125_pins", "SELECT p_partkey, round(38.3::DOUBLE, 7) AS lat, round(32.9::DOUBLE, 7) AS lon FROM part")
@@ -358,18 +370,10 @@ _RULES = {"swath_width_m": "k > 4", "tank_capacity_l": "k > 4", "cell_size_m": "
 
 @query("o138_settings", "SELECT n_nationkey, name, CASE name " + " ".join(f"WHEN '{n}' THEN {r.replace('k', 'n_nationkey')}" for n, r in _RULES.items()) + " END AS valid FROM nation, (VALUES " + ", ".join(f"('{n}')" for n in _RULES) + ") q(name)")
 def _(spark, d):
-    """Each setting merged with a small whole number of a row; a row a setting says whether that is refused."""
-
-    @F.udf("boolean", useArrow=False)
-    def valid(name, value):
-        try:
-            Settings.merged(Settings(), {name: value})
-        except ValueError:
-            return False
-        return True
-
+    """Each setting merged with a small whole number of a row; a row a setting says whether that is valid."""
     names = F.explode(F.array(*map(F.lit, _RULES))).alias("name")
-    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", names).select("n_nationkey", "name", valid("name", F.col("n_nationkey") - 4).alias("valid"))
+    changed = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", names).withColumn("changes", F.create_map("name", (F.col("n_nationkey") - 4).cast("double")))
+    return changed.select("n_nationkey", "name", Settings.merged_columns(F.col("changes"))[1].alias("valid"))
 
 
 @query("o142_base", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 38.5::DOUBLE WHEN c_custkey % 3 = 1 THEN 38.3::DOUBLE END AS lat, CASE WHEN c_custkey % 3 < 2 THEN CASE WHEN c_custkey % 2 = 0 THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END END AS radius_m FROM customer")

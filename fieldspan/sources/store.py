@@ -11,7 +11,7 @@ import dataclasses
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -127,11 +127,14 @@ class Store:
     def tracks(self, project_id: int) -> DataFrame:
         return self._of("track_records", project_id).orderBy("start_t", "track_id")
 
+    def set_tracks(self, project_id: int, which: Column, **changes) -> None:
+        """Change ``enabled`` or ``track_name`` of the tracks of whose records ``which`` is true, all at once."""
+        rows = self._of("track_records", project_id)
+        self._replace("track_records", rows.withColumns({k: F.when(which, F.lit(v)).otherwise(F.col(k)) for k, v in changes.items() if k in ("enabled", "track_name")}), project_id)
+
     def set_track(self, project_id: int, track_id: int, **changes) -> None:
         """Change ``enabled`` or ``track_name`` of a track."""
-        rows = self._of("track_records", project_id)
-        this = F.col("track_id") == track_id
-        self._replace("track_records", rows.withColumns({k: F.when(this, F.lit(v)).otherwise(F.col(k)) for k, v in changes.items() if k in ("enabled", "track_name")}), project_id)
+        self.set_tracks(project_id, F.col("track_id") == track_id, **changes)
 
     def remove_track(self, project_id: int, track_id: int) -> None:
         for name in ("track_records", "fixes"):

@@ -40,7 +40,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """The folder of this application's tables."""
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -52,7 +52,7 @@ def _folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
