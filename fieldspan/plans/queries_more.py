@@ -384,13 +384,3 @@ def _(spark, d):
     radius = F.when(k % 4 == 0, F.lit(None).cast("double")).when(k % 2 == 0, 0.0).otherwise(5.0)
     base = results.resolved_base(captured, F.when(captured.isNotNull(), 32.9), configured, F.when(configured != 0, 32.9).otherwise(0.0), radius, F.lit(None).cast("double"))
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", base.alias("b")).select("c_custkey", "b.lat", "b.radius_m")
-
-
-@query("o144_last_values", over("SELECT project_id, max(end_t) AS end_t, max_by(track_id, (end_t, track_id, pass_no)) AS track_id, max_by(pass_no, (end_t, track_id, pass_no)) AS pass_no FROM ps GROUP BY 1", "ps"))
-def _(spark, d):
-    return results.last_values(Tables(spark, d).passes.select("project_id", "end_t", "track_id", "pass_no"), "project_id")
-
-
-@query("o85_latest_results", over("SELECT project_id, track_id, pass_no, end_t FROM ps ORDER BY end_t DESC, track_id DESC, pass_no DESC LIMIT 20", "ps"))
-def _(spark, d):
-    return results.latest(Tables(spark, d).passes.select("project_id", "track_id", "pass_no", "end_t"), "end_t", "track_id", "pass_no")

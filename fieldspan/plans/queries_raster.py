@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -9,12 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fieldspan.model import MOST_PATCHES, Base
+from fieldspan.model import MOST_PATCHES, Base, Settings
 from fieldspan.operators import coverage, kernels, metrics, outlines, polygons, sinks
+from fieldspan.plans.analysis import Analysis
+from fieldspan.plans.history import History
 from fieldspan.plans.oracles import over
 from fieldspan.plans.queries_cover import NEEDS, SUM
 from fieldspan.plans.queries_motion import _E2, _MLAT, _MLON
 from fieldspan.plans.tables import Tables
+from fieldspan.staging import own_folder
 
 QUERIES: dict = {}
 BASE = Base(38.3005, 32.8985)
@@ -192,3 +196,33 @@ def _(spark, d):
     total = lambda c, f: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x[f]), 4)
     whole = read.groupBy("project_id").agg(F.max(F.size("a.loads")).cast("long").alias("n_loads"), F.max(total("a.loads", "volume_l")).alias("volume_l"), F.max(F.size("a.gaps")).cast("long").alias("n_gaps"), F.max(total("a.gaps", "area_m2")).alias("gap_m2"), F.max("a.summary.spraying_runs").alias("spraying_runs"))
     return read.select("project_id", "sensor").join(whole, "project_id")
+
+
+class _Derived(Tables):
+    """The derived logs' analysis over given positions."""
+
+    def __init__(self, fixes, settings, base, rings) -> None:
+        Analysis.__init__(self, fixes, settings, base, rings)
+
+
+def _history(spark, d) -> History:
+    """Two runs: all projects, then all again, where only project 2 has lost its tracks 7, 17, ..."""
+    history = History(spark, f"{own_folder(spark)}/history-{uuid.uuid4().hex}")
+    fixes = Tables(spark, d).fixes
+    history.run(1, fixes, Settings(), analysis=_Derived)
+    history.run(2, fixes.where("project_id <> 2 or track_id % 10 <> 7"), Settings(), analysis=_Derived)
+    return history
+
+
+_RUNS = """SELECT run, project_id, count(*) AS points_raw, count(DISTINCT track_id) || ' sessions' AS track FROM fx, (VALUES (1), (2)) q(run)
+WHERE (project_id, track_id) IN (SELECT (project_id, track_id) FROM ps) AND (run = 1 OR project_id = 2 AND track_id % 10 <> 7) GROUP BY 1, 2"""
+
+
+@query("o85_latest_results", over(f"SELECT * FROM ({_RUNS}) ORDER BY run DESC, project_id DESC LIMIT 20", "fx", "ps"))
+def _(spark, d):
+    return _history(spark, d).latest().select("run", "project_id", "points_raw", "track")
+
+
+@query("o144_last_values", over(f"SELECT project_id, arg_max(points_raw, run) AS points_raw, arg_max(track, run) AS track, max(run) AS run FROM ({_RUNS}) GROUP BY 1", "fx", "ps"))
+def _(spark, d):
+    return _history(spark, d).last_values().select("run", "project_id", "points_raw", "track")
