@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspan.staging import staged
+
 RING = ["project_id", "ring_id"]
 
 
@@ -121,7 +123,7 @@ def crossings(edge: DataFrame) -> DataFrame:
 def enclosed(rings: DataFrame) -> DataFrame:
     """project_id, ring_id, low, high, left0, left1, right0, right1: the ground as trapezoids, from height ``low`` to
     ``high`` between a left and a right edge (their x at low and high). Trapezoids of a ring don't overlap."""
-    edge = edges(rings)
+    edge = staged(edges(rings))  # read by several of the steps
     heights = edge.select(*RING, F.col("ay").alias("y")).union(crossings(edge)).distinct()
     slabs = heights.select(*RING, F.col("y").alias("low"), F.lead("y").over(Window.partitionBy(*RING).orderBy("y")).alias("high")).where("high is not null")
     # An edge meets the slabs between its ends: numbered, so that it is a range of numbers.
