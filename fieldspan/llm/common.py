@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspan.operators.graph import components
 from fieldspan.staging import shared_dir, staged, unstage
 
-__all__ = ["NO_ID", "components", "doc_id_of", "doc_rows", "kept_rows", "marked", "numbered", "packed", "shared_dir", "shuffle_width", "split_by_keys", "staged", "unpacked", "unstage"]
+__all__ = ["NO_ID", "components", "doc_id_of", "doc_rows", "kept_rows", "marked", "numbered", "packed", "shared_dir", "shuffle_width", "small_batches", "split_by_keys", "staged", "unpacked", "unstage"]
 
 #: Stands in for a null doc_id inside joins; ``row_hash`` keeps the two apart.
 NO_ID = -(2**63)
@@ -18,6 +20,18 @@ FILTER_BITS = 1 << 23
 GROUP_BITS = 1 << 26
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Python workers get so many rows at once in what runs inside: for whole texts, thousands of rows are much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
