@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspan.functions import geo
-from fieldspan.model import M2_PER_HA, SILENT, TRANSPORT, WORKING, Settings
+from fieldspan.model import SILENT, TRANSPORT, WORKING, Settings
 from fieldspan.operators.motion import TRACK
 
 

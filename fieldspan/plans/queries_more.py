@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldspan.functions import geo
 from fieldspan.functions.times import iso_utc
 from fieldspan.model import Base, Settings
-from fieldspan.operators import coverage, kernels, motion, placement, results, sinks, snap
+from fieldspan.operators import coverage, kernels, placement, results, sinks, snap
 from fieldspan.plans.oracles import over
 from fieldspan.plans.tables import Tables
 from fieldspan.sources import generate, images, readers
