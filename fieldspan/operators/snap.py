@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspan.operators import placement
-from fieldspan.staging import staged, unstage
+from fieldspan.staging import large, staged, unstage
 
 #: Luminance weights, working width, share of points that must land, least points, least gain.
 GREY, WORK_WIDTH, MUST_LAND, LEAST_POINTS, LEAST_GAIN = (0.299, 0.587, 0.114), 256, 0.8, 20, 1.02
@@ -51,13 +51,13 @@ def scores(route: DataFrame, candidates: DataFrame, feature: DataFrame) -> DataF
     Points of a route meet the candidates of their own image only, and of the features only those that are not 0.
     """
     where = placement.spot_to_pixel(F.col("p"), F.col("lat"), F.col("lon"), F.col("width").cast("double"), F.col("height").cast("double"))
-    spots = route.join(candidates, "image_id").withColumn("w", where)
+    spots = route.join(large(candidates), "image_id").withColumn("w", where)
     px, py = F.floor("w.px").cast("int"), F.floor("w.py").cast("int")
     on = (px >= 0) & (py >= 0) & (px < F.col("width")) & (py < F.col("height"))
     spots = spots.select("image_id", "cand", px.alias("px"), py.alias("py"), F.coalesce(on, F.lit(False)).alias("on"))
     # Several points of a route often share a pixel.
     spots = spots.groupBy("image_id", "cand", "px", "py", "on").agg(F.count(F.lit(1)).alias("points"))
-    met = spots.join(feature.where("feature > 0").select("image_id", "px", "py", "feature"), ["image_id", "px", "py"], "left")
+    met = spots.join(large(feature.where("feature > 0").select("image_id", "px", "py", "feature")), ["image_id", "px", "py"], "left")
     sums = met.groupBy("image_id", "cand").agg(F.sum("points").alias("n"), F.sum(F.col("on").cast("long") * F.col("points")).alias("landed"), F.sum(F.coalesce("feature", F.lit(0.0)) * F.col("points")).alias("s"))
     return sums.select("image_id", "cand", F.when(F.col("landed") >= MUST_LAND * F.col("n"), F.col("s") / F.col("n")).otherwise(F.lit(-1.0)).alias("score"))
 
@@ -87,20 +87,22 @@ def refine(route: DataFrame, feature: DataFrame, starts: DataFrame, span_m: floa
     """
     place = ["lat", "lon", "ground_m", "rotation"]
     best = starts.select("image_id", *place, "width", "height")
+    feature = staged(feature.where("feature > 0").select("image_id", "px", "py", "feature"))  # read in every round
     for k, share in enumerate(ROUNDS):
         around = staged(tries(best, share, span_m, span_deg, span_scale, lock_width))
         p = placement.centred(F.col("lat"), F.col("lon"), F.col("width").cast("double"), F.col("height").cast("double"), F.col("ground_m"), F.col("rotation"))
         found = scores(route, around.select("image_id", "cand", p.alias("p"), "width", "height"), feature)
-        rated = around.join(found, ["image_id", "cand"])
+        rated = around.join(large(found), ["image_id", "cand"])
         top = rated.groupBy("image_id").agg(F.max_by(F.struct(*place, "width", "height", "score"), F.struct("score", "cand")).alias("b"), F.max_by("score", "cand").alias("own"))
         then = top.select("image_id", "b.*", *([F.col("own").alias("start")] if not k else ["own"]))
-        now = staged(then if not k else then.drop("own").join(best.select("image_id", "start"), "image_id"))
+        now = staged(then if not k else then.drop("own").join(large(best.select("image_id", "start")), "image_id"))
         unstage(around, *([best] if k else []))
         best = now
+    unstage(feature)
     first = starts.select("image_id", *(F.col(c).alias(f"{c}_0") for c in place), F.col("width").alias("width_0"), F.col("height").alias("height_0"))
     points = route.groupBy("image_id").agg(F.count(F.lit(1)).alias("points"))
     gained = F.coalesce((F.col("score") > LEAST_GAIN * F.greatest("start", F.lit(0.0))) & (F.col("points") >= LEAST_POINTS), F.lit(False))
-    return first.join(best, "image_id", "left").join(points, "image_id", "left").select(
+    return first.join(large(best), "image_id", "left").join(large(points), "image_id", "left").select(
         "image_id", *(F.when(gained, F.col(c)).otherwise(F.col(f"{c}_0")).alias(c) for c in place), F.col("width_0").alias("width"), F.col("height_0").alias("height"),
         F.coalesce(F.when(gained, F.col("score")).otherwise(F.col("start")), F.lit(-1.0)).alias("score"), F.coalesce("start", F.lit(-1.0)).alias("start"), gained.alias("moved"),
     )

@@ -18,3 +18,17 @@ def test_rings(spark):
     areas = polygons.enclosed_areas(rings)
     assert broadcasts(areas) == 0
     assert [tuple(r) for r in areas.groupBy("area_m2").count().collect()] == [(4.0, 200)]
+
+
+def test_photos(spark):
+    place = {"lat": 38.3, "lon": 32.9, "ground_m": 24.0, "rotation": 0.0}
+    starts = staged(spark.range(30).select(F.col("id").alias("image_id"), *(F.lit(v).alias(k) for k, v in place.items()), F.lit(48).alias("width"), F.lit(48).alias("height")))
+    around = staged(snap.tries(starts, 1.0, 6.0, 10.0, 0.15, True))
+    p = snap.placement.centred(F.col("lat"), F.col("lon"), F.col("width").cast("double"), F.col("height").cast("double"), F.col("ground_m"), F.col("rotation"))
+    route = staged(starts.select("image_id", "lat", "lon"))
+    feature = staged(starts.select("image_id", F.lit(24).alias("px"), F.lit(24).alias("py"), F.lit(1.0).alias("feature")))
+    found = snap.scores(route, around.select("image_id", "cand", p.alias("p"), "width", "height"), feature)
+    assert broadcasts(found) == 0
+    assert found.count() == 30 * 126
+    out = snap.refine(route, feature, starts, lock_width=True)
+    assert broadcasts(out) == 0 and out.count() == 30
