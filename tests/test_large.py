@@ -32,3 +32,12 @@ def test_photos(spark):
     assert found.count() == 30 * 126
     out = snap.refine(route, feature, starts, lock_width=True)
     assert broadcasts(out) == 0 and out.count() == 30
+
+
+def test_loads_of_a_document_do_not_hold_its_lines(spark):
+    from fieldspan.plans import catalog
+
+    found = catalog.queries()["o140_result_json"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode(loads" in line]
+    assert exploded and not any(x in line for line in exploded for x in (" sessions#", " track#", " histogram#"))
