@@ -41,3 +41,12 @@ def test_loads_of_a_document_do_not_hold_its_lines(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     exploded = [line for line in plan.splitlines() if "Generate explode(loads" in line]
     assert exploded and not any(x in line for line in exploded for x in (" sessions#", " track#", " histogram#"))
+
+
+def test_cells_are_not_the_small_side(spark):
+    cells = staged(spark.range(3000).select(F.lit(1).cast("long").alias("project_id"), (F.col("id") % 50).alias("r"), F.floor(F.col("id") / 50).alias("c")))
+    boxes = kernels._boxes(cells)
+    plan = kernels._by_tile(cells, boxes, 1024)._jdf.queryExecution().optimizedPlan()
+    left, right = (int(str(plan.collectLeaves().apply(i).stats().sizeInBytes())) for i in (0, 1))
+    assert boxes._staged_at and boxes.count() == 1 and right < left
+    assert broadcasts(coverage.minus_cells(cells, cells)) == 0
