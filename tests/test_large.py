@@ -50,3 +50,13 @@ def test_cells_are_not_the_small_side(spark):
     left, right = (int(str(plan.collectLeaves().apply(i).stats().sizeInBytes())) for i in (0, 1))
     assert boxes._staged_at and boxes.count() == 1 and right < left
     assert broadcasts(coverage.minus_cells(cells, cells)) == 0
+
+
+def test_pictures_and_summaries_need_no_distances(spark):
+    from fieldspan.operators.kernels import squared_distances
+    from fieldspan.plans import analysis, catalog
+
+    plan = catalog.queries()["o21_overlay_classes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "d2" not in plan and "patches" not in analysis.SHARED
+    cells = spark.createDataFrame([(0, r, c, 1) for r in range(5) for c in range(5)], "project_id long, r long, c long, patch int")
+    assert squared_distances(cells).agg(F.max("d2")).first()[0] == 9
