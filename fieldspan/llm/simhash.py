@@ -28,11 +28,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, doc_id_of, doc_rows, kept_rows, staged
+from .common import components, doc_id_of, doc_rows, kept_rows, large, staged
 
 #: Bits in which linked fingerprints may differ, so the bytes that they share at least; bytes of a list's key.
 NEAR, LEAST_SHARED, POSTED = 2, 6, 5
@@ -80,15 +80,16 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     return doc_rows(docs).select("kid", "h", of(F.col("text").cast("binary")).alias("fp"))
 
 
-def _part(c: Column, i: int, bits: int) -> Column:
-    """The i-th group of so many bits."""
-    return F.shiftrightunsigned(c, bits * i).bitwiseAND(F.lit((1 << bits) - 1))
+def _mask(parts: tuple[int, ...], bits: int) -> int:
+    """A signed long with these groups of so many bits set."""
+    found = sum(((1 << bits) - 1) << (bits * i) for i in parts)
+    return found - (found >> 63 << 64)
 
 
-def _joined(parts: list[Column], bits: int, head: Column) -> Column:
-    for p in parts:
-        head = F.shiftleft(head, bits).bitwiseOR(p)
-    return head
+#: The bits of each choice of five bytes, and for each those of any four of the six half bytes that are left.
+FIVES = list(combinations(range(8), POSTED))
+FIVE_MASKS = [_mask(five, 8) for five in FIVES]
+HALF_MASKS = [[_mask(four, 4) for four in combinations([h for i in range(8) if i not in five for h in (2 * i, 2 * i + 1)], 4)] for five in FIVES]
 
 
 def pairs(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
@@ -96,13 +97,10 @@ def pairs(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
 
     Every pair within two bits is there; farther pairs that meet in a split list may not be.
     """
-    posts = []
-    for k, five in enumerate(combinations(range(8), POSTED)):
-        key, free = (_joined([_part(F.col("fp"), i, 8) for i in some], 8, F.lit(0).cast("long")) for some in (five, [i for i in range(8) if i not in five]))
-        posts.append(F.struct(F.lit(k).cast("byte").alias("kind"), key.alias("key"), free.cast("int").alias("free")))
-    posted = prints.select("fp", F.explode(F.array(*posts)).alias("p")).select("fp", "p.*")
+    # One literal of masks, not an expression for each: plans stay small.
+    posted = prints.select("fp", F.posexplode(F.lit(FIVE_MASKS)).alias("kind", "mask")).select("fp", "kind", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = posted.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
-    met = posted.join(sizes, ["kind", "key"])
+    met = posted.join(large(sizes), ["kind", "key"])
 
     def meet(lists: DataFrame, *key: str) -> DataFrame:
         gathered = lists.groupBy("kind", *key).agg(F.sort_array(F.collect_list("fp")).alias("f")).where("size(f) > 1")
@@ -110,8 +108,7 @@ def pairs(prints: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
         return gathered.select("kind", each)
 
     short = meet(met.where(F.col("listed") <= most_listed), "key")
-    halves = [F.struct(F.lit(k).alias("place"), _joined([_part(F.col("free"), i, 4) for i in four], 4, F.lit(0).cast("long")).alias("half")) for k, four in enumerate(combinations(range(6), 4))]
-    long = met.where(F.col("listed") > most_listed).select("kind", "key", "fp", F.explode(F.array(*halves)).alias("h")).select("kind", "key", "h.*", "fp")
+    long = met.where(F.col("listed") > most_listed).select("kind", "key", "fp", F.posexplode(F.get(F.lit(HALF_MASKS), F.col("kind"))).alias("place", "mask")).withColumn("half", F.col("fp").bitwiseAND(F.col("mask")))
     split = meet(long, "key", "place", "half").distinct()  # a pair may share several half bytes of one list
     return short.union(split).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
 

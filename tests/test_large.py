@@ -60,3 +60,20 @@ def test_pictures_and_summaries_need_no_distances(spark):
     assert "d2" not in plan and "patches" not in analysis.SHARED
     cells = spark.createDataFrame([(0, r, c, 1) for r in range(5) for c in range(5)], "project_id long, r long, c long, patch int")
     assert squared_distances(cells).agg(F.max("d2")).first()[0] == 9
+
+
+def test_simhash_lists(spark):
+    prints = staged(spark.range(300).select(F.xxhash64("id").alias("fp")))
+    assert broadcasts(simhash.links(prints)) == 0
+
+
+def test_simhash_plan_is_small_and_finds_every_link(spark):
+    fps = [(k * 0x9E3779B97F4A7C15 + 5) % 2**64 for k in range(30)]
+    near = [fp ^ (1 << (k % 64)) ^ (1 << (7 * k + 3) % 64) for k, fp in enumerate(fps)]
+    rows = [(x - (x >> 63 << 64),) for x in {*fps, *near}]
+    prints = staged(spark.createDataFrame(rows, "fp long"))
+    for most_listed in (32, 1):  # 1: every list is split
+        found = simhash.links(prints, most_listed)
+        assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+        brute = {(min(a, b), max(a, b)) for (a,) in rows for (b,) in rows if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
+        assert {tuple(r) for r in found.collect()} == brute and len(brute) >= 25
