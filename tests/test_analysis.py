@@ -200,3 +200,12 @@ def test_settings():
     with pytest.raises(ValueError):
         Settings.merged(Settings(), {"swath_width_m": -1})
     assert Settings.merged(Settings(), {"swath_width_m": 2, "unknown": 1}).swath_width_m == 2
+
+
+def test_derived_logs_are_placed_where_they_lie(spark):
+    from fieldspan.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    told = t.fixes.select("project_id", "x", "y", F.col("lat").alias("own_lat"), F.col("lon").alias("own_lon"))
+    off = t.located(told).select(F.max(F.abs(F.col("lat") - F.col("own_lat"))), F.max(F.abs(F.col("lon") - F.col("own_lon"))), F.count(F.lit(1))).first()
+    assert off[0] < 1e-9 and off[1] < 1e-9 and off[2] == t.fixes.count() > 0
