@@ -7,11 +7,12 @@ Spark's own text, JSON and CSV functions, so files are spread over tasks and pos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspan.functions.times import to_epoch
 from fieldspan.sources.separated import records
+from fieldspan.staging import staged
 
 #: Column names that are understood, first match wins.
 ALIASES = {
@@ -82,11 +83,11 @@ def csv(files_: DataFrame) -> DataFrame:
     Records without the header's cells, or with a position that is no number, are skipped; so is a
     file without a position's columns.
     """
-    rows = records(files_)
-    header = F.transform("cells", _normal)
-    places = F.struct(*(matched(header, k).cast("int").alias(k) for k in ALIASES))
-    headed = rows.withColumn("at", F.first(F.when(F.col("n") == 0, places)).over(Window.partitionBy("path").orderBy("n")))
-    read = headed.where("n > 0 and at.lat is not null and at.lon is not null and at.time is not null").withColumn("input_ord", F.col("n") - 1)
+    def places(cells: Column) -> Column:
+        header = F.transform(cells, _normal)
+        return F.struct(*(matched(header, k).cast("int").alias(k) for k in ALIASES))
+
+    read = records(files_, places).where("n > 0 and at.lat is not null and at.lon is not null and at.time is not null").withColumn("input_ord", F.col("n") - 1)
 
     def value(key: str) -> Column:
         return F.trim(F.get("cells", F.col(f"at.{key}")))
@@ -148,8 +149,8 @@ def kind_of(path: Column, content: Column) -> Column:
 
 
 def tracks(files_: DataFrame) -> DataFrame:
-    """All files by the reader that fits each."""
-    kinds = files_.withColumn("kind", kind_of(F.col("path"), F.col("content")))
+    """All files by the reader that fits each. The files are staged: every reader would fetch or make them again."""
+    kinds = staged(files_.withColumn("kind", kind_of(F.col("path"), F.col("content"))))
     out = None
     for kind, reader in READERS.items():
         part = reader(kinds.where(F.col("kind") == kind).drop("kind"))

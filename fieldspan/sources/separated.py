@@ -11,6 +11,8 @@ by running sums and last values, so lines are rows from the start and no task wa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,10 +70,29 @@ def _unquoted(record: Column, sep: Column) -> Column:
     return F.split(F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), begin, step, lambda a: a["out"]), _CUT, -1)
 
 
-def records(files: DataFrame) -> DataFrame:
-    """path, n (from 0: the header), cells (array of string): the records of each file (path, content) that are no blank lines."""
+def records(files: DataFrame, about: Callable[[Column], Column] | None = None) -> DataFrame:
+    """path, n (from 0: the header), cells (array of string): the records of each file (path, content) that are no blank lines.
+
+    ``about``: adds a column ``at``, what it makes of the header's cells. A file without a quote has a record a line, so its
+    lines need not meet again: only files with quotes are gone through by windows.
+    """
     lines = F.split("content", "\r\n|\r|\n", -1)
-    each = files.select("path", lines.alias("lines")).withColumn("sep", separator(F.col("lines"))).select("path", "sep", F.posexplode("lines").alias("i", "line"))
+    split = files.select("path", lines.alias("lines"), F.contains("content", F.lit('"')).alias("has_quotes")).withColumn("sep", separator(F.col("lines")))
+    return _plain(split.where("not has_quotes"), about).union(_quoted(split.where("has_quotes"), about))
+
+
+def _plain(split: DataFrame, about: Callable[[Column], Column] | None) -> DataFrame:
+    """The records of files (path, lines, sep) without quotes."""
+    cells = lambda line: F.split(F.replace(line, F.col("sep"), F.lit(_CUT)), _CUT, -1)
+    filled = split.select("path", "sep", F.filter("lines", lambda x: F.trim(x) != "").alias("lines"))
+    at = [about(cells(F.get("lines", F.lit(0)))).alias("at")] if about else []
+    each = filled.select("path", "sep", "lines", *at).select("path", "sep", *(["at"] if about else []), F.posexplode("lines").alias("n", "line"))
+    return each.select("path", "n", cells(F.col("line")).alias("cells"), *(["at"] if about else []))
+
+
+def _quoted(split: DataFrame, about: Callable[[Column], Column] | None) -> DataFrame:
+    """The records of any files (path, lines, sep)."""
+    each = split.select("path", "sep", F.posexplode("lines").alias("i", "line"))
     line, sep = F.col("line"), F.col("sep")
     each = each.withColumns({"plain": _ends_quoted(line, sep, False), "quoted": _ends_quoted(line, sep, True)})
 
@@ -87,4 +108,7 @@ def records(files: DataFrame) -> DataFrame:
     whole = each.groupBy("path", "sep", "record").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("ls"))
     text = whole.select("path", "sep", "record", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text")).where(F.trim("text") != "")
     cells = F.when(F.contains("text", F.lit('"')), _unquoted(F.col("text"), sep)).otherwise(F.split(F.replace("text", sep, F.lit(_CUT)), _CUT, -1))
-    return text.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("record")) - 1).alias("n"), cells.alias("cells"))
+    out = text.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("record")) - 1).alias("n"), cells.alias("cells"))
+    if about is None:
+        return out
+    return out.withColumn("at", F.first(F.when(F.col("n") == 0, about(F.col("cells")))).over(Window.partitionBy("path").orderBy("n")))

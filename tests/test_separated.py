@@ -53,3 +53,20 @@ def test_the_separator_is_the_consistent_one(spark):
     """The header has more commas than semicolons, but every line has the same semicolons."""
     text = "lat (deg, N, WGS84);lon (deg, E);time\n1;2;2024-05-01T00:00:00Z\n3;4;2024-05-01T00:00:01Z"
     assert read(spark, [text])[0][1] == ["1", "2", "2024-05-01T00:00:00Z"]
+
+
+def test_files_without_quotes_need_no_windows_and_read_as_the_others(spark):
+    from pyspark.sql import functions as F
+
+    from fieldspan.sources import separated
+
+    texts = ["lat;lon;time\n1;2;3\n\n  \n4;5;6\n", "a\tb\r\nc\td", "", "\n\nx,y\n1,2,3\n,\n", "one"]
+    files = spark.createDataFrame([(f"/{k}.csv", t) for k, t in enumerate(texts)], "path string, content string")
+    lines = F.split("content", "\r\n|\r|\n", -1)
+    split = files.select("path", lines.alias("lines")).withColumn("sep", separated.separator(F.col("lines")))
+    about = F.size
+    rows = lambda df: sorted((r["path"], r["n"], r["cells"], r["at"]) for r in df.collect())
+    plain = separated._plain(split, about)
+    assert rows(plain) == rows(separated._quoted(split, about)) == rows(separated.records(files, about)) and plain.count() == 9
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
