@@ -313,10 +313,9 @@ _PROFILE = "CASE abs(2 * px - 2 * l - 1) WHEN 1 THEN 1.0::DOUBLE WHEN 3 THEN 11
   SELECT image_id, CAST(18 + image_id % 12 AS INT) AS l, CAST(unnest(range(0, 48)) AS INT) AS px FROM {_IMAGES} WHERE n >= 20) WHERE {_PROFILE} > 0""", "fx0"))
 def _(spark, d):
     """By columns of each picture: the strongest feature, and in how many rows it is that strong: the three at either rim are weaker."""
-    found = snap.features(_photo_pixels(spark, d))
-    top = found.groupBy("image_id", "px").agg(F.max("feature").alias("m"))
-    full = found.join(top, ["image_id", "px"]).where("m > 1e-9 and feature > m - 1e-9")
-    return full.groupBy("image_id", "px").agg(F.round(F.max("m"), 3).alias("strongest"), F.count(F.lit(1)).alias("n_full"))
+    found = snap.features(_photo_pixels(spark, d)).where("feature > 0")
+    columns = found.groupBy("image_id", "px").agg(F.collect_list("feature").alias("fs")).withColumn("m", F.array_max("fs")).where("m > 1e-9")
+    return columns.select("image_id", "px", F.round("m", 3).alias("strongest"), F.size(F.filter("fs", lambda f: f > F.col("m") - 1e-9)).cast("long").alias("n_full"))
 
 
 @query("o130_scores", None)

@@ -77,3 +77,19 @@ def test_simhash_plan_is_small_and_finds_every_link(spark):
         assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
         brute = {(min(a, b), max(a, b)) for (a,) in rows for (b,) in rows if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
         assert {tuple(r) for r in found.collect()} == brute and len(brute) >= 25
+
+
+def test_features_are_made_once(spark):
+    from fieldspan.plans import catalog
+
+    plan = catalog.queries()["o129_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "Join" not in plan
+
+
+def test_the_band_is_stamped_once(spark, monkeypatch):
+    from fieldspan.plans import catalog
+
+    stamp, calls = coverage.stamp, []
+    monkeypatch.setattr(coverage, "stamp", lambda *args: calls.append(1) or stamp(*args))
+    catalog.queries()["o29_sensor_attributes"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
