@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, small_batches, unpacked
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
@@ -187,7 +187,8 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Where there is no language to learn (no training row has one), only null and letterless texts go.
     """
-    model = train(docs.where(fold() != 2))
+    with small_batches(docs.sparkSession):
+        model = train(docs.where(fold() != 2))
     if not model.classes:
         return docs.where(F.col("text").rlike(_LETTER.pattern))
     predict = predictor(model, docs.sparkSession)
