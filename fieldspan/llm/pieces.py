@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
+from .common import trimmed
+
 #: Where the public model lies unless the caller says otherwise.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MOST_CACHED, MOST_PAIRS = 600_000, 1_000_000
+MOST_CACHED, MOST_PAIRS = 150_000, 400_000
 #: Characters of the words that an encoder keeps.
-MOST_KEPT = 16_000_000
+MOST_KEPT = 4_000_000
 #: Texts and characters that are encoded together.
 BLOCK, BLOCK_CHARS = 1024, 4_000_000
 
@@ -57,7 +59,8 @@ class Pieces:
         self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
         values = {i: b for b, i in enumerate(byte_ids)}
         self.bytes = [bytes([values[i]]) if i in values else b"" if i < 3 else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: By one number for two pieces (which takes a quarter of a pair of strings); by the strings where the first is no piece.
+        self.pairs: dict[int | tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}  # ids as 32-bit integers
         self.kept = 0  # characters in ``words``
 
@@ -87,16 +90,16 @@ class Pieces:
         """The byte pieces of a character that has no piece."""
         return np.array([self.byte_ids[b] for b in char.encode()], np.int32).tobytes()
 
-    def fits(self, last: str, piece: str) -> bool:
-        """Whether ``piece`` can follow ``last`` (empty: begin a word)."""
+    def fits(self, last: str, piece: str, pair: int | tuple[str, str]) -> bool:
+        """Whether ``piece`` can follow ``last`` (empty: begin a word); ``pair`` is their key in the cache."""
         if len(self.pairs) >= MOST_PAIRS:
             self.pairs.clear()
-        fit = self.pairs[last, piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
+        fit = self.pairs[pair] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return fit
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words, in sorted order, into the cache."""
-        ids, fits, sizes, known = self.ids, self.fits, self.sizes.get, self.pairs.get
+        ids, many, fits, sizes, known = self.ids.get, len(self.bytes), self.fits, self.sizes.get, self.pairs.get
         before, ends = "", [""]  # ends[d]: the piece that ends the best segmentation of the first d characters
         for raw in sorted(words):
             word = raw.replace(" ", MARK)
@@ -107,10 +110,11 @@ class Pieces:
             for end in range(common + 1, len(word) + 1):
                 for size in sizes(word[end - 3 : end], (2,)) if end > 2 else (end,):
                     piece = word[end - size : end] if size <= end else ""
-                    if piece in ids:
-                        pair = (ends[end - size], piece)
+                    if (at := ids(piece)) is not None:
+                        last = ends[end - size]
+                        pair = (last, piece) if (code := ids(last)) is None else code * many + at
                         fit = known(pair)
-                        if fit if fit is not None else fits(*pair):
+                        if fit if fit is not None else fits(last, piece, pair):
                             break
                 else:
                     piece = word[end - 1]
@@ -133,9 +137,8 @@ class Pieces:
         words = set(chain.from_iterable(cut))
         fresh = words.difference(self.words)
         if len(self.words) + len(fresh) > MOST_CACHED or self.kept > MOST_KEPT:
-            self.words.clear()
-            self.kept = 0
-            fresh = words
+            self.words = {w: self.words[w] for w in words.intersection(self.words)}  # frequent words stay
+            self.kept = sum(map(len, self.words))
         self.learn(fresh)
         of = self.words.__getitem__
         return [np.frombuffer(b"".join(map(of, words)), np.int32) for words in cut]
@@ -150,21 +153,25 @@ def encode(docs: DataFrame, model: str = MODEL, keep: list[str] | None = None) -
     own = ["n_pieces", "piece_ids", "round_trip"]
     keep = [c for c in (keep if keep is not None else ["doc_id"]) if c not in own]
     shared = spark.sparkContext.broadcast(Pieces.load(model))  # as large as the model's vocabulary
-    # The caller's columns travel as one struct, so their names do not matter.
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in keep)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    # The caller's columns travel as one struct, so their names do not matter; a text that is one of them travels once.
+    place = keep.index("text") if "text" in keep and dict(docs.dtypes)["text"] == "string" else None
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in keep)).alias("row"), *([F.coalesce("text", F.lit("")).alias("text")] if place is None else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()  # what the step before has left
         pieces = shared.value
         for batch in batches:
-            sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            column = batch.column(1) if place is None else pc.fill_null(batch.column(0).field(place), "")
+            sizes = pc.utf8_length(column).to_numpy(zero_copy_only=False)
             for at, end in _blocks(sizes):
                 part = batch.slice(at, end - at)
-                texts = part.column(1).to_pylist()
+                texts = column.slice(at, end - at).to_pylist()
                 ids = pieces.encode(texts)
                 many = np.array([len(x) for x in ids], np.int32)
                 same = [pieces.decode(x.tolist()) == t for x, t in zip(ids, texts)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(many.astype(np.int64)), lists, pa.array(same)], names=["row", *own])
+        trimmed()
 
     schema = StructType([rows.schema["row"]]).add("n_pieces", LongType()).add("piece_ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
     return rows.mapInArrow(run, schema).select(*(F.col("row")[c].alias(c) for c in keep), *own)
