@@ -71,6 +71,22 @@ def test_sampled_hull(spark, patches):
         assert found[k] == outlines.hull(np.stack([c[::17] + 0.5, r[::17] + 0.5], axis=1)).tolist()
 
 
+def test_large_patches_are_outlined_like_small_ones(spark):
+    """Two letters U, of 1,200 and of 30,000 cells: each ring has its letter's eight corners and ground, notch left out."""
+    letters = []
+    for n in (40, 200):
+        mask = np.ones((n, n), bool)
+        mask[n // 2 :, n // 4 : n // 4 + n // 2] = False
+        letters.append(mask)
+    found = {r["project_id"]: np.array(r["ring"]) for r in outlines.outlines(table(spark, letters), as_grid(spark, letters, 1.0)).collect()}
+    for k, mask in enumerate(letters):
+        (x, y), n = found[k].T, len(mask)
+        assert len(x) == 9 and abs(np.sum(x[:-1] * y[1:] - x[1:] * y[:-1])) / 2 == mask.sum()
+        assert [x.min(), x.max(), y.min(), y.max()] == [0, n, 0, n]
+    shown = outlines.outlines(table(spark, letters), as_grid(spark, letters, 1.0), hulls=True).collect()  # the option still samples
+    assert max(np.array(r["ring"])[:, 0].max() for r in shown) == 199.5
+
+
 def test_a_million_cells(spark):
     """A comb of 1,000 by 1,000 cells: its ring has 1,000 teeth."""
     n = F.col("id")
@@ -87,6 +103,19 @@ def test_nothing(spark):
     assert outlines.outlines(empty, as_grid(spark, [np.ones((2, 2), bool)])).count() == 0
 
 
+def test_long_rings_are_simplified_alike(monkeypatch):
+    """Equal and unequal teeth: by blocks the same corners stay as when every point is looked at."""
+    rng = np.random.default_rng(3)
+    for heights in (np.where(np.arange(3000) % 2, 90, 5), rng.integers(5, 92, 3000), rng.integers(0, 40_000, 3000)):
+        n = len(heights)
+        back = np.stack([np.repeat(np.arange(n, -1, -1), 2)[1:-1], np.repeat(heights, 2)], axis=1)
+        ring = np.concatenate([[[0, 0], [n, 0]], back, [[0, 0]]]).astype(float)
+        monkeypatch.setattr(outlines, "BLOCK", 16)
+        found = outlines.simplify(ring, 0.75)
+        monkeypatch.setattr(outlines, "BLOCK", len(ring))
+        assert np.array_equal(found, outlines.simplify(ring, 0.75))
+
+
 def test_simplify_and_hull():
     ring = np.array([[0, 0], [1, 0], [2, 0.1], [4, 0], [4, 4], [0, 4], [0, 0]], float)
     assert len(outlines.simplify(ring, 0.75)) == 5
