@@ -116,3 +116,36 @@ def test_ten_thousand_points_on_twelve_million_cells(spark):
     took = time.perf_counter() - began
     twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1]))
     assert n * 0.09 == pytest.approx(twice / 2, rel=0.01) and took < 60
+
+
+def mixed():
+    rng = random.Random(9)
+    return [p for p, _ in KNOWN.values()] + [[(rng.randint(0, 16) / 2, rng.randint(0, 16) / 2) for _ in range(rng.randint(1, 12))] for _ in range(60)] + [[(rng.random(), rng.random()) for _ in range(n)] for n in (3, 7, 20, 32, 33, 40)]
+
+
+def test_arrays_and_joins_cut_alike(spark, monkeypatch):
+    rings = table(spark, mixed())
+    found = {r["ring_id"]: r["area_m2"] for r in polygons.enclosed_areas(rings).collect()}
+    assert {r["ring_id"]: r["area_m2"] for r in polygons.usable_rings(rings, sized=True).collect()} == pytest.approx(found)
+    monkeypatch.setattr(polygons, "FEW_POINTS", 0)
+    assert {r["ring_id"]: r["area_m2"] for r in polygons.enclosed_areas(rings).collect()} == pytest.approx(found)
+
+
+def test_rings_of_few_points_do_not_move(spark, monkeypatch):
+    """Their edges meet in no join: neither crossings nor slabs are tables."""
+    monkeypatch.setattr(polygons, "crossings", None)
+    monkeypatch.setattr(polygons, "enclosed", None)
+    rings = table(spark, [p for p, _ in KNOWN.values()])
+    assert "Exchange" not in polygons.usable_rings(rings)._jdf.queryExecution().executedPlan().toString()
+    assert polygons.enclosed_areas(rings).count() == len(KNOWN) - 3
+
+
+def test_rings_of_several_rows(spark):
+    """A square with a hole as two rows, beside a ring of its own, a long one, and one without an id."""
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    circle = [(math.cos(2 * math.pi * k / 100), math.sin(2 * math.pi * k / 100)) for k in range(100)]
+    rows = [(1, 1, square(0.0, 4.0)), (1, 1, square(1.0, 2.0)[::-1]), (1, 2, square(0.0, 3.0)), (1, 3, circle), (1, None, square(0.0, 1.0)), (2, 1, square(0.0, 1.0))]
+    rings = spark.createDataFrame(rows, RINGS)
+    found = {(r["project_id"], r["ring_id"]): r["area_m2"] for r in polygons.enclosed_areas(rings).collect()}
+    assert found == pytest.approx({(1, 1): 15.0, (1, 2): 9.0, (1, 3): 50 * math.sin(2 * math.pi / 100), (2, 1): 1.0})
+    assert sorted((r["project_id"], r["ring_id"]) for r in polygons.usable_rings(rings).collect()) == [(1, 1), (1, 1), (1, 2), (1, 3), (2, 1)]
